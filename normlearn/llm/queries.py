@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op10_exact_dedup": exact_dedup.op10_exact_dedup}
+    return {"op1_source_mix": mixing.op1_source_mix, "op10_exact_dedup": exact_dedup.op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_source_mix": mixing.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
