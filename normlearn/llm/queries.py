@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_counts, token_files
 
 
 def queries() -> dict:
-    return {"op1_source_mix": mixing.op1_source_mix, "op10_exact_dedup": exact_dedup.op10_exact_dedup}
+    return {
+        "op1_source_mix": mixing.op1_source_mix,
+        "op2_packing": packing.op2_packing,
+        "op3_token_counts": token_counts.op3_token_counts,
+        "op4_token_files": token_files.op4_token_files,
+        "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
