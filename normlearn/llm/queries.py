@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, token_counts, token_files
+from . import exact_dedup, media, mixing, packing, quality, token_counts, token_files
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_packing": packing.op2_packing,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_token_files": token_files.op4_token_files,
+        "op5_quality": quality.op5_quality,
+        "op9_media": media.op9_media,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
