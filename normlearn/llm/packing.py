@@ -22,6 +22,7 @@ from . import pretokens
 from .token_counts import vocabulary
 
 WINDOW, END_ID = 2048, 1
+ROWS = 128  # texts encoded at once
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 #: (doc_id, start, doc_tokens, ids)
@@ -133,13 +134,14 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 512):
-                for doc_id, ids in zip(names[at : at + 512], table.ids(texts[at : at + 512], end_id), strict=True):
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                coded = table.ids(part.column("text").to_pylist(), end_id)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coded, strict=True):
                     for full in packer.add(doc_id, ids):
                         done.append(full)
                         held += 1
-                if held >= 1000:
+                if held >= 500:
                     yield flushed()
         done.extend(packer.close())
         if done:

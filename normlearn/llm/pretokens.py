@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 SAFE = 0x250  # code points below this are classified here
-CHUNK = 1 << 20  # characters handled at once
+CHUNK = 1 << 18  # characters handled at once; bounds what a worker holds besides its table
 SPACE, LETTER, NUMBER, OTHER = 1, 2, 3, 4
 U64 = np.uint64
 _BASE, _LENGTH_MIX, _MIX = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)
@@ -143,7 +143,7 @@ def _blank(text: str, at: int) -> int:
 class Table:
     """Pre-tokens' ids by hash: one entry a slot, replaced by later ones, so its size is fixed."""
 
-    def __init__(self, path: str, bits: int = 22, pool: int = 1 << 24) -> None:
+    def __init__(self, path: str, bits: int = 21, pool: int = 1 << 23) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -151,7 +151,7 @@ class Table:
         self.shift, self.limit = U64(64 - bits), pool
         self.keys = np.zeros(1 << bits, U64)
         self.at = np.zeros(1 << bits, np.int32)
-        self.count = np.zeros(1 << bits, np.int32)
+        self.count = np.zeros(1 << bits, np.uint16)
         self.pool = np.zeros(pool, np.uint32)
         self.used = 0
 
@@ -183,6 +183,8 @@ class Table:
         begin = begin + self.used
         self.used += len(flat)
         at[miss], count[miss] = begin[back], sizes[back]
+        short = sizes < 1 << 16
+        new, begin, sizes = new[short], begin[short], sizes[short]
         slot = (new >> self.shift).astype(np.int64)
         self.keys[slot], self.at[slot], self.count[slot] = new, begin, sizes
         # of two new keys for one slot either may have won each assignment: drop what does not fit

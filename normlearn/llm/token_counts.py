@@ -22,6 +22,7 @@ from . import pretokens
 
 HOT_BITS = 16  # the broadcast table has at most 2^16 entries of 10 bytes
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 2000
+ROWS = 128  # texts counted at once
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -141,7 +142,10 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = count_texts(batch.column("text").to_pylist(), path, shared.value)
+            parts = range(0, batch.num_rows, ROWS)
+            text = batch.column("text")
+            each = [count_texts(text.slice(at, ROWS).to_pylist(), path, shared.value) for at in parts]
+            n = np.concatenate(each) if each else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(n), pa.array(n > limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -32,6 +32,7 @@ END_ID = 2
 MAGIC = b"EFTOKEN1"
 HEADER = struct.Struct("<8sqqqqqq")  # magic, documents, null ids, least id, ids, bytes an id, bytes of the id sequence
 SAMPLE = 256
+ROWS = 128  # texts encoded at once
 
 
 class EliasFano:
@@ -172,9 +173,9 @@ def write_token_files(
         names, ids = [], []
         for batch in batches:
             names += batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 512):
-                ids += [x.astype(f"<u{width}") for x in table.ids(texts[at : at + 512], end_id)]
+            for at in range(0, batch.num_rows, ROWS):
+                texts = batch.column("text").slice(at, ROWS).to_pylist()
+                ids += [x.astype(f"<u{width}") for x in table.ids(texts, end_id)]
         if not names:
             return
         part = TaskContext.get().partitionId()
