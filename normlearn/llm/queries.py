@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, near_dup, packing, quality, token_counts, token_files
+from . import exact_dedup, licenses, lm_scoring, media, mixing, near_dup, packing, quality, token_counts, token_files
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_token_files": token_files.op4_token_files,
         "op5_quality": quality.op5_quality,
+        "op6_licenses": licenses.op6_licenses,
+        "op7_lm_scoring": lm_scoring.op7_lm_scoring,
         "op8_near_dup": near_dup.op8_near_dup,
         "op9_media": media.op9_media,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
