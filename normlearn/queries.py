@@ -1,11 +1,471 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries over the driver's tables, and their DuckDB SQL.
+
+Most take S = lineitem (key l_partkey) and R = part, with the label 1 for returned
+items and coefficients of 0.1.  Floating results are rounded to 6 decimals, since
+sums depend on their order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from normlearn.functions import sql as sql_functions
+from normlearn.functions import vectors as V
+from normlearn.operators import train as T
+from normlearn.operators.data import NormalizedData, normalized
+from normlearn.plans import gradient as G
+from normlearn.sources import datagen, text, workspace
+from normlearn.sources.spec import TrainSpec
+from normlearn.streaming import incremental
+
+W = [0.1] * 5
+LAMBDA = 2.0
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def main_data(spark: SparkSession, sf_dir: str) -> NormalizedData:
+    """lineitem and part."""
+    s = _table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sid"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.col("l_partkey").alias("forkey"),
+        # + 0.0 turns a negative zero into zero
+        F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10 + 0.0, F.col("l_tax") * 10 + 0.0).alias("xs"),
+    )
+    r = _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("rid"), F.array(F.col("p_size") / 50, F.col("p_retailprice") / 2000).alias("xr")
+    )
+    return normalized(s, r, d_s=3, d_r=2)
+
+
+def orders_data(spark: SparkSession, sf_dir: str) -> NormalizedData:
+    """orders and customer."""
+    s = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("sid"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("label"),
+        F.col("o_custkey").alias("forkey"),
+        F.array(F.col("o_totalprice") / 5e5).alias("xs"),
+    )
+    r = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), F.array(F.col("c_acctbal") / 1e4).alias("xr"))
+    return normalized(s, r, d_s=1, d_r=1)
+
+
+def events_data(spark: SparkSession, sf_dir: str) -> NormalizedData:
+    """events and customer."""
+    s = _table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("sid"),
+        (F.col("event_type") == "purchase").cast("int").alias("label"),
+        F.col("user_id").alias("forkey"),
+        F.array(F.col("value") / 500).alias("xs"),
+    )
+    r = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid"), F.array(F.col("c_acctbal") / 1e4).alias("xr"))
+    return normalized(s, r, d_s=1, d_r=1)
+
+
+def wide_data(spark: SparkSession, sf_dir: str) -> NormalizedData:
+    """lineitem and embeddings: 64 attribute features.  Entity rows whose part has no vector have no match."""
+    s = main_data(spark, sf_dir).s
+    r = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("rid"), F.transform("embedding", lambda v: v.cast("double")).alias("xr")
+    )
+    return normalized(s, r, d_s=3, d_r=64)
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    """Double columns with 6 decimals; a negative zero becomes zero."""
+    return rows.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+def _spread(rows: DataFrame, column: str, n: int, prefix: str) -> DataFrame:
+    """An array column as n columns."""
+    rest = [c for c in rows.columns if c != column]
+    return rows.select(*rest, *[F.get(column, i).alias(f"{prefix}{i}") for i in range(n)])
+
+
+# ---- sources -------------------------------------------------------------------
+
+
+def _round_trip(write: Callable, read: Callable, rows: Callable, n: int, column: str) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = workspace.fresh(spark, "text")
+        write(rows(main_data(spark, sf_dir)), path)
+        return _rounded(_spread(read(spark, path), column, n, "x"))
+
+    return query
+
+
+def _materialize_t(key: str) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = workspace.fresh(spark, "joined")
+        G.denormalized(main_data(spark, sf_dir), key).write.parquet(path)
+        return _rounded(_spread(spark.read.parquet(path), "x", 5, "x"))
+
+    return query
+
+
+# ---- passes --------------------------------------------------------------------
+
+
+def _pass(plan: Callable[[NormalizedData], DataFrame], data: Callable = main_data) -> Callable:
+    return lambda spark, sf_dir: _rounded(plan(data(spark, sf_dir)))
+
+
+def _materialized(data: NormalizedData) -> DataFrame:
+    path = workspace.fresh(data.s.sparkSession, "joined")
+    G.denormalized(data).write.parquet(path)
+    return G.materialize(data.s.sparkSession.read.parquet(path), W)
+
+
+def _array_form(data: NormalizedData) -> DataFrame:
+    """The sums as one array, as an aggregate function over joined rows returns them."""
+    packed = G.stream(data, W).select(F.array("loss", *G.names(5)).alias("lg"))
+    return _spread(packed, "lg", 6, "lg")
+
+
+def _auto(data: NormalizedData) -> DataFrame:
+    counts = data.s.agg(F.count("*")).first()[0], data.r.agg(F.count("*")).first()[0]
+    return G.build(data, W, G.choose(data, *counts))
+
+
+def _cross_state(data: NormalizedData) -> DataFrame:
+    """The two one-row states of the factorized pass, put side by side on a constant condition."""
+    keys = G.per_key(data, W)
+    return G.entity_sums(keys, data.d_s).join(F.broadcast(G.attribute_sums(keys, data)), F.lit(True))
+
+
+def _with_regulariser(data: NormalizedData) -> DataFrame:
+    half = LAMBDA * 0.5 * float(np.dot(W, W))
+    rows = G.factorized(data, W)
+    return rows.select((F.col("loss") + half).alias("loss"), *[(F.col(g) + LAMBDA * w).alias(g) for g, w in zip(G.names(5), W, strict=True)])
+
+
+def _sql_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = main_data(spark, sf_dir)
+    sql_functions.register(spark)
+    data.s.createOrReplaceTempView("normlearn_s")
+    data.r.createOrReplaceTempView("normlearn_r")
+    w = "array(0.1D, 0.1D, 0.1D, 0.1D, 0.1D)"
+    sums = ", ".join(f"coalesce(sum(row_gscale(label, wx) * get(x, {i})), 0D) AS g{i}" for i in range(5))
+    return _rounded(
+        spark.sql(
+            f"SELECT coalesce(sum(row_loss(label, wx)), 0D) AS loss, {sums} FROM (SELECT label, x, vec_dot(x, {w}) AS wx "
+            "FROM (SELECT label, vec_concat(xs, xr) AS x FROM normlearn_s JOIN normlearn_r ON rid = forkey))"
+        )
+    )
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factorized pass over lineitem read as a stream of files."""
+    data = main_data(spark, sf_dir)
+    path, out = workspace.fresh(spark, "arriving"), workspace.fresh(spark, "sums")
+    data.s.repartition(4).write.parquet(path)
+    arriving = spark.readStream.schema(data.s.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    incremental.start(arriving, data.r, W, data.d_s, out, workspace.fresh(spark, "progress")).awaitTermination()
+    return _rounded(incremental.totals(spark, out, data.d))
+
+
+# ---- rows ----------------------------------------------------------------------
+
+
+def _row(column: Callable[[Column, Column, Column], Column], name: str) -> Callable:
+    """A function of (label, x, wx) for each joined row."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = G.denormalized(main_data(spark, sf_dir))
+        rows = rows.select("sid", "label", "x", V.dot_literal(F.col("x"), W).alias("wx"))
+        return _rounded(rows.select("sid", column(F.col("label"), F.col("x"), F.col("wx")).alias(name)))
+
+    return query
+
+
+def _kernel(column: Callable[[], Column], vector: bool = True) -> Callable:
+    """A kernel of each entity vector xs, with sid."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = main_data(spark, sf_dir).s.select("sid", column().alias("v"))
+        return _rounded(_spread(rows, "v", 3, "v") if vector else rows)
+
+    return query
+
+
+def _concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null on either side gives the other: every third row has a null on the left, every fifth on the right."""
+    rows = main_data(spark, sf_dir).s
+    left = F.when(F.col("sid") % 3 != 0, F.col("xs"))
+    right = F.when(F.col("sid") % 5 != 0, F.col("xs"))
+    rows = rows.select("sid", V.concat_array(left, right).alias("v"))
+    return _rounded(_spread(rows.withColumn("n", F.size("v")).withColumn("n", F.when(F.col("v").isNotNull(), F.col("n"))), "v", 6, "v"))
+
+
+def _zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), V.zeros(3).alias("v"))
+    return _spread(rows, "v", 3, "v")
+
+
+# ---- training ------------------------------------------------------------------
+
+
+def _spec(algo: str, **more) -> TrainSpec:
+    return TrainSpec(**({"approach": "f", "algo": algo, "iters": 5, "w_init": 0.0, "stepsize": 1e-3, "regularizer": LAMBDA} | more))
+
+
+def _trace(algo: str, **more) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(T.fit(main_data(spark, sf_dir), _spec(algo, **more)).trace_frame(spark))
+
+    return query
+
+
+def _flat_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = G.denormalized(main_data(spark, sf_dir))
+    return _rounded(T.fit_rows(rows, _spec("cgd", approach="t"), 5).trace_frame(spark))
+
+
+def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace.fresh(spark, "model")
+    T.fit(main_data(spark, sf_dir), _spec("bgd")).save(spark, path)
+    return _rounded(spark.read.parquet(path))
+
+
+def _step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients after one step of gradient descent."""
+    return _rounded(T.fit(main_data(spark, sf_dir), _spec("bgd", iters=1, w_init=0.1)).model_frame(spark))
+
+
+STEPS = [0.01 * 0.5**k for k in range(8)]
+
+
+def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss along a direction for eight steps, in one pass."""
+    data = main_data(spark, sf_dir)
+    return _rounded(G.ladder(G.products(data, [W, [-1.0, 0.5, 0.25, 1.0, -2.0]], "f"), STEPS))
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of generated tables."""
+    s = datagen.entity_rows(spark, 10, 50, 4, 7)
+    r = datagen.attribute_rows(spark, 50, 4, 7)
+    flat = datagen.flat_rows(spark, 10, 50, 4, 7)
+    counts = s.agg(F.count("*").alias("n_s"), F.countDistinct("forkey").alias("n_keys"), F.max(F.size("xs")).alias("d_s"))
+    return counts.join(r.agg(F.count("*").alias("n_r"), F.max(F.size("xr")).alias("d_r")), F.lit(True)).join(
+        flat.agg(F.count("*").alias("n_t"), F.max(F.size("x")).alias("d_t")), F.lit(True)
+    )
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    y_wx = lambda f: lambda y, x, wx: f(y, wx)
+    index = F.array(F.lit(0), F.lit(2), F.lit(2))
+    values = V.vector([0.5, 2.0, -1.0])
+    xs = F.col("xs")
+    return {
+        # sources and sinks
+        "etl_s": _round_trip(text.write_plain_s, text.read_plain_s, lambda d: d.s, 3, "xs"),
+        "etl_r": _round_trip(text.write_plain_r, text.read_plain_r, lambda d: d.r, 2, "xr"),
+        "hive_text_s": _round_trip(text.write_hive_s, text.read_hive_s, lambda d: d.s, 3, "xs"),
+        "hive_text_r": _round_trip(text.write_hive_r, text.read_hive_r, lambda d: d.r, 2, "xr"),
+        "flat_t": _round_trip(text.write_flat, text.read_flat, G.denormalized, 5, "x"),
+        "roundtrip_s": _round_trip(text.write_hive_s, text.read_hive_s, lambda d: d.s, 3, "xs"),
+        "roundtrip_r": _round_trip(text.write_hive_r, text.read_hive_r, lambda d: d.r, 2, "xr"),
+        "materialize_t": _materialize_t("sid"),
+        "materialize_t_rid": _materialize_t("rid"),
+        # passes
+        "stream_lossgrad": _pass(lambda d: G.stream(d, W)),
+        "materialize_lossgrad": _pass(_materialized),
+        "stream_reuse_lossgrad": _pass(lambda d: G.stream_reuse(d, W, 4)),
+        "fact_lossgrad": _pass(lambda d: G.factorized(d, W)),
+        "fsql_lossgrad": _pass(lambda d: G.fsql(d, W)),
+        "auto_lossgrad": _pass(_auto),
+        "sql_lossgrad": _sql_pass,
+        "incremental_lossgrad": _streamed,
+        "lossgrad_array": _pass(_array_form),
+        "loss_sum": _pass(lambda d: G.scored(d, W).agg(F.sum("l").alias("loss"))),
+        "l2_lossgrad": _pass(_with_regulariser),
+        "orders_lossgrad": _pass(lambda d: G.factorized(d, W[:2]), orders_data),
+        "events_lossgrad": _pass(lambda d: G.factorized(d, W[:2]), events_data),
+        "wide_stream_lossgrad": _pass(lambda d: G.stream(d, [0.1] * 67), wide_data),
+        "wide_fact_lossgrad": _pass(lambda d: G.factorized(d, [0.1] * 67), wide_data),
+        # the factorized pass piece by piece
+        "fact_pass1": _pass(lambda d: G.partial_products(d, W[3:])),
+        "fsql_hr": _pass(lambda d: G.partial_products(d, W[3:])),
+        "fact_sum_g": _pass(lambda d: G.per_key(d, W).select("rid", "sg")),
+        "fact_s_pass": _pass(lambda d: G.entity_sums(G.per_key(d, W), 3)),
+        "fact_r_pass": _pass(lambda d: G.attribute_sums(G.per_key(d, W), d)),
+        "fact_cross_state": _pass(_cross_state),
+        "fsql_hsplus": _pass(lambda d: _spread(G.hs_plus(d, W), "lg", 5, "lg")),
+        # rows
+        "dot": _row(lambda y, x, wx: V.dot(x, V.vector(W)), "wx"),
+        "sigmoid": _row(lambda y, x, wx: V.sigmoid(wx), "p"),
+        "row_loss": _row(y_wx(V.row_loss), "l"),
+        "row_gscale": _row(y_wx(V.gradient_scale), "c"),
+        "predict": lambda s, d: _rounded(T.predict(main_data(s, d), np.array(W), factorized=False)),
+        "predict_fact": lambda s, d: _rounded(T.predict(main_data(s, d), np.array(W))),
+        "concat_array": _concat,
+        "zeros": _zeros,
+        # kernels
+        "k_ball_project": _kernel(lambda: V.ball_project(xs, 0.5)),
+        "k_sparse_dot": _kernel(lambda: V.sparse_dot(xs, index, values), vector=False),
+        "k_axpy": _kernel(lambda: V.axpy(xs, V.vector([1.0, 2.0, 3.0]), 0.5)),
+        "k_sparse_add": _kernel(lambda: V.sparse_add(xs, index, 0.25)),
+        "k_sparse_axpy": _kernel(lambda: V.sparse_axpy(xs, index, values, 0.25)),
+        "k_scale": _kernel(lambda: V.scale(xs, 3.0)),
+        "k_sqnorm": _kernel(lambda: V.squared_norm(xs), vector=False),
+        "k_l1_mask": _kernel(lambda: V.l1_shrink_at(xs, 0.3, index)),
+        "k_l2": _kernel(lambda: V.l2_shrink(xs, 0.3)),
+        "k_l1": _kernel(lambda: V.l1_shrink(xs, 0.3)),
+        "k_logsum": _kernel(lambda: V.log_sum(F.get(xs, 0), F.get(xs, 1)), vector=False),
+        # training
+        "bgd_trace": _trace("bgd"),
+        "cgd_trace": _trace("cgd"),
+        "lbfgs_trace": _trace("lbfgs"),
+        "lbfgs_compat_trace": _trace("lbfgs_compat"),
+        "single_trace": _flat_trace,
+        "bgd_model": _model,
+        "bgd_step1": _step,
+        "line_search_phi": _ladder,
+        # generators
+        "generated": _generated,
+    }
+
+
+# ---- SQL -----------------------------------------------------------------------
+
+_BASE = """WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS sid, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label,
+  l_partkey AS forkey, l_quantity / 50 AS x0, l_discount * 10 + 0.0 AS x1, l_tax * 10 + 0.0 AS x2 FROM lineitem),
+r AS (SELECT p_partkey AS rid, p_size / 50 AS x3, p_retailprice / 2000 AS x4 FROM part),
+t AS (SELECT *, (x0 + x1 + x2 + x3 + x4) * 0.1::DOUBLE AS wx FROM s JOIN r ON rid = forkey),
+z AS (SELECT *, greatest(-label * wx, 0) + ln(1 + exp(-abs(wx))) AS l, -label / (1 + exp(label * wx)) AS c FROM t)
+"""
+
+
+def _r(expression: str, name: str) -> str:
+    return f"round({expression}, 6) + 0.0 AS {name}"
+
+
+_G = [f"coalesce(sum(c * x{i}), 0)" for i in range(5)]
+_GS = ", ".join(_r(g, f"g{i}") for i, g in enumerate(_G))
+_LOSSGRAD = f"{_BASE} SELECT {_r('coalesce(sum(l), 0)', 'loss')}, {_GS} FROM z"
+_XS = ", ".join(_r(f"x{i}", f"x{i}") for i in range(3))
+_XR = f"{_r('x3', 'x0')}, {_r('x4', 'x1')}"
+
+
+def _vector_sql(expression: str) -> str:
+    """A list expression over xs as three columns."""
+    picked = ", ".join(_r(f"v[{i + 1}]", f"v{i}") for i in range(3))
+    return f"{_BASE} SELECT sid, {picked} FROM (SELECT sid, {expression} AS v FROM (SELECT sid, [x0, x1, x2] AS xs FROM s))"
+
+
+def _two_table(entity: str, key: str, label: str, x0: str) -> str:
+    return f"""WITH t AS (SELECT CASE WHEN {label} THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS label, {x0} AS x0, c_acctbal / 10000 AS x1
+  FROM {entity} JOIN customer ON {key} = c_custkey),
+z AS (SELECT *, label * (x0 + x1) * 0.1::DOUBLE AS m FROM t)
+SELECT {_r('sum(greatest(-m, 0) + ln(1 + exp(-abs(m))))', 'loss')}, {_r('sum(-label / (1 + exp(m)) * x0)', 'g0')},
+  {_r('sum(-label / (1 + exp(m)) * x1)', 'g1')} FROM z"""
+
+
+def _wide_sql() -> str:
+    sums = ", ".join(_r(f"sum(c * x{i})", f"g{i}") for i in range(3))
+    rest = ", ".join(_r(f"sum(c * e[{j + 1}]::DOUBLE)", f"g{3 + j}") for j in range(64))
+    head = _BASE.split(",\nr AS")[0]
+    return f"""{head}, t AS (SELECT *, embedding::DOUBLE[] AS e FROM s JOIN embeddings ON vec_id = forkey),
+u AS (SELECT *, (x0 + x1 + x2 + list_sum(e)) * 0.1::DOUBLE AS wx FROM t),
+z AS (SELECT *, greatest(-label * wx, 0) + ln(1 + exp(-abs(wx))) AS l, -label / (1 + exp(label * wx)) AS c FROM u)
+SELECT {_r('sum(l)', 'loss')}, {sums}, {rest} FROM z"""
+
+
+def _step_sql() -> str:
+    half = LAMBDA * 0.5 * float(np.dot(W, W))
+    sums = ", ".join(f"{g} + {LAMBDA} * 0.1::DOUBLE AS g{i}" for i, g in enumerate(_G))
+    norm = " + ".join(f"g{i} * g{i}" for i in range(5))
+    moved = " + ".join(f"(0.1::DOUBLE - a * g{i}) * x{i}" for i in range(5))
+    length = " + ".join(f"(0.1::DOUBLE - a * g{i}) * (0.1::DOUBLE - a * g{i})" for i in range(5))
+    rows = " UNION ALL ".join(f"SELECT {i} AS i, round(0.1::DOUBLE - 1.2 * a * g{i}, 6) + 0.0 AS w FROM best" for i in range(5))
+    return f"""{_BASE}, o AS (SELECT sum(l) + {half} AS loss, {sums} FROM z),
+n AS (SELECT *, {norm} AS nn FROM o),
+a AS (SELECT 0.001::DOUBLE * pow(0.5::DOUBLE, k) AS a FROM range(24) q(k)),
+m AS (SELECT a, any_value(loss) AS loss, any_value(nn) AS nn, any_value({length}) AS len,
+  sum(greatest(-label * ({moved}), 0) + ln(1 + exp(-abs({moved})))) AS phi FROM t, n, a GROUP BY a),
+best AS (SELECT b.a, n.* FROM n, (SELECT max(a) AS a FROM m WHERE phi + {LAMBDA} * 0.5 * len <= loss - 0.0001::DOUBLE * a * nn) b)
+{rows}"""
+
 
-def queries() -> dict:
-    return {}
+def _ladder_sql() -> str:
+    px = "-x0 + 0.5::DOUBLE * x1 + 0.25::DOUBLE * x2 + x3 - 2 * x4"
+    sums = ", ".join(
+        _r(f"sum(greatest(-label * (wx + {a!r}::DOUBLE * px), 0) + ln(1 + exp(-abs(wx + {a!r}::DOUBLE * px))))", f"phi{i}")
+        for i, a in enumerate(STEPS)
+    )
+    return f"{_BASE} SELECT {sums} FROM (SELECT *, {px} AS px FROM t)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    lg = ["sum(l)", "sum(c)", *[f"sum(c * x{i})" for i in range(3)]]
+    concat = ", ".join(_r(f"v[{i + 1}]", f"v{i}") for i in range(6))
+    t_columns = ", ".join(_r(f"x{i}", f"x{i}") for i in range(5))
+    norm = "list_sum(list_transform(xs, lambda v: v * v))"
+    soft = "CASE WHEN v > 0.3 THEN v - 0.3::DOUBLE WHEN v < -0.3 THEN v + 0.3::DOUBLE ELSE 0.0::DOUBLE END"
+    plain_s = f"{_BASE} SELECT sid, label, forkey, {_XS} FROM s"
+    plain_r = f"{_BASE} SELECT rid, {_XR} FROM r"
+    pdp = f"{_BASE} SELECT rid, {_r('(x3 + x4) * 0.1::DOUBLE', 'pdp')} FROM r"
+    return {
+        "etl_s": plain_s,
+        "etl_r": plain_r,
+        "hive_text_s": plain_s,
+        "hive_text_r": plain_r,
+        "roundtrip_s": plain_s,
+        "roundtrip_r": plain_r,
+        "flat_t": f"{_BASE} SELECT sid, label, {t_columns} FROM t",
+        "materialize_t": f"{_BASE} SELECT sid, label, {t_columns} FROM t",
+        "materialize_t_rid": f"{_BASE} SELECT rid, label, {t_columns} FROM t",
+        **dict.fromkeys(
+            (
+                "stream_lossgrad", "materialize_lossgrad", "stream_reuse_lossgrad", "fact_lossgrad", "fsql_lossgrad",
+                "auto_lossgrad", "sql_lossgrad", "incremental_lossgrad", "fact_cross_state",
+            ),
+            _LOSSGRAD,
+        ),
+        "lossgrad_array": f"{_BASE} SELECT {_r('sum(l)', 'lg0')}, {', '.join(_r(g, f'lg{i + 1}') for i, g in enumerate(_G))} FROM z",
+        "loss_sum": f"{_BASE} SELECT {_r('sum(l)', 'loss')} FROM z",
+        "l2_lossgrad": f"{_BASE} SELECT {_r(f'sum(l) + {LAMBDA * 0.5 * float(np.dot(W, W))!r}::DOUBLE', 'loss')}, "
+        + ", ".join(_r(f"{g} + {LAMBDA} * 0.1::DOUBLE", f"g{i}") for i, g in enumerate(_G)) + " FROM z",
+        "orders_lossgrad": _two_table("orders", "o_custkey", "o_orderstatus = 'F'", "o_totalprice / 500000"),
+        "events_lossgrad": _two_table("events", "user_id", "event_type = 'purchase'", "value / 500"),
+        "wide_stream_lossgrad": _wide_sql(),
+        "wide_fact_lossgrad": _wide_sql(),
+        "fact_pass1": pdp,
+        "fsql_hr": pdp,
+        "fact_sum_g": f"{_BASE} SELECT rid, {_r('sum(c)', 'sg')} FROM z GROUP BY rid",
+        "fact_s_pass": f"{_BASE} SELECT {_r('sum(l)', 'loss')}, {', '.join(_r(g, f'g{i}') for i, g in enumerate(_G[:3]))} FROM z",
+        "fact_r_pass": f"{_BASE} SELECT {', '.join(_r(g, f'g{i + 3}') for i, g in enumerate(_G[3:]))} FROM z",
+        "fsql_hsplus": f"{_BASE} SELECT rid, {', '.join(_r(e, f'lg{i}') for i, e in enumerate(lg))} FROM z GROUP BY rid",
+        "dot": f"{_BASE} SELECT sid, {_r('wx', 'wx')} FROM t",
+        "sigmoid": f"{_BASE} SELECT sid, {_r('1 / (1 + exp(-wx))', 'p')} FROM t",
+        "row_loss": f"{_BASE} SELECT sid, {_r('l', 'l')} FROM z",
+        "row_gscale": f"{_BASE} SELECT sid, {_r('c', 'c')} FROM z",
+        "predict": f"{_BASE} SELECT sid, {_r('1 / (1 + exp(-wx))', 'p')} FROM t",
+        "predict_fact": f"{_BASE} SELECT sid, {_r('1 / (1 + exp(-wx))', 'p')} FROM t",
+        "concat_array": f"{_BASE} SELECT sid, {concat}, len(v)::INT AS n FROM (SELECT sid, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a "
+        "ELSE list_concat(a, b) END AS v FROM (SELECT sid, CASE WHEN sid % 3 <> 0 THEN [x0, x1, x2] END AS a, "
+        "CASE WHEN sid % 5 <> 0 THEN [x0, x1, x2] END AS b FROM s))",
+        "zeros": "SELECT n_nationkey::BIGINT AS k, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2 FROM nation",
+        "k_ball_project": _vector_sql(f"CASE WHEN {norm} > 0.25 THEN list_transform(xs, lambda v: v * (0.5::DOUBLE / sqrt({norm}))) ELSE xs END"),
+        "k_sparse_dot": f"{_BASE} SELECT sid, {_r('x0 * 0.5::DOUBLE + x2 * 2 - x2', 'v')} FROM s",
+        "k_axpy": _vector_sql("[xs[1] + 0.5::DOUBLE, xs[2] + 1, xs[3] + 1.5::DOUBLE]"),
+        "k_sparse_add": _vector_sql("[xs[1] + 0.25::DOUBLE, xs[2], xs[3] + 0.5::DOUBLE]"),
+        "k_sparse_axpy": _vector_sql("[xs[1] + 0.125::DOUBLE, xs[2], xs[3] + 0.25::DOUBLE]"),
+        "k_scale": _vector_sql("list_transform(xs, lambda v: v * 3)"),
+        "k_sqnorm": f"{_BASE} SELECT sid, {_r('x0 * x0 + x1 * x1 + x2 * x2', 'v')} FROM s",
+        "k_l1_mask": _vector_sql(f"[list_transform([xs[1]], lambda v: {soft})[1], xs[2], list_transform([xs[3]], lambda v: {soft})[1]]"),
+        "k_l2": _vector_sql("list_transform(xs, lambda v: v / 1.3::DOUBLE)"),
+        "k_l1": _vector_sql(f"list_transform(xs, lambda v: {soft})"),
+        "k_logsum": f"{_BASE} SELECT sid, {_r('greatest(x0, x1) + ln(1 + exp(-abs(x0 - x1)))', 'v')} FROM s",
+        "bgd_step1": _step_sql(),
+        "line_search_phi": _ladder_sql(),
+        "generated": "SELECT 500::BIGINT AS n_s, 50::BIGINT AS n_keys, 3 AS d_s, 50::BIGINT AS n_r, 7 AS d_r, 500::BIGINT AS n_t, 10 AS d_t",
+    }
