@@ -261,9 +261,10 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     y_wx = lambda f: lambda y, x, wx: f(y, wx)
-    index = F.array(F.lit(0), F.lit(2), F.lit(2))
-    values = V.vector([0.5, 2.0, -1.0])
-    xs = F.col("xs")
+    # columns exist only with a session, so they are made when a query runs
+    index = lambda: F.array(F.lit(0), F.lit(2), F.lit(2))
+    values = lambda: V.vector([0.5, 2.0, -1.0])
+    xs = lambda: F.col("xs")
     return {
         # sources and sinks
         "etl_s": _round_trip(text.write_plain_s, text.read_plain_s, lambda d: d.s, 3, "xs"),
@@ -309,17 +310,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "concat_array": _concat,
         "zeros": _zeros,
         # kernels
-        "k_ball_project": _kernel(lambda: V.ball_project(xs, 0.5)),
-        "k_sparse_dot": _kernel(lambda: V.sparse_dot(xs, index, values), vector=False),
-        "k_axpy": _kernel(lambda: V.axpy(xs, V.vector([1.0, 2.0, 3.0]), 0.5)),
-        "k_sparse_add": _kernel(lambda: V.sparse_add(xs, index, 0.25)),
-        "k_sparse_axpy": _kernel(lambda: V.sparse_axpy(xs, index, values, 0.25)),
-        "k_scale": _kernel(lambda: V.scale(xs, 3.0)),
-        "k_sqnorm": _kernel(lambda: V.squared_norm(xs), vector=False),
-        "k_l1_mask": _kernel(lambda: V.l1_shrink_at(xs, 0.3, index)),
-        "k_l2": _kernel(lambda: V.l2_shrink(xs, 0.3)),
-        "k_l1": _kernel(lambda: V.l1_shrink(xs, 0.3)),
-        "k_logsum": _kernel(lambda: V.log_sum(F.get(xs, 0), F.get(xs, 1)), vector=False),
+        "k_ball_project": _kernel(lambda: V.ball_project(xs(), 0.5)),
+        "k_sparse_dot": _kernel(lambda: V.sparse_dot(xs(), index(), values()), vector=False),
+        "k_axpy": _kernel(lambda: V.axpy(xs(), V.vector([1.0, 2.0, 3.0]), 0.5)),
+        "k_sparse_add": _kernel(lambda: V.sparse_add(xs(), index(), 0.25)),
+        "k_sparse_axpy": _kernel(lambda: V.sparse_axpy(xs(), index(), values(), 0.25)),
+        "k_scale": _kernel(lambda: V.scale(xs(), 3.0)),
+        "k_sqnorm": _kernel(lambda: V.squared_norm(xs()), vector=False),
+        "k_l1_mask": _kernel(lambda: V.l1_shrink_at(xs(), 0.3, index())),
+        "k_l2": _kernel(lambda: V.l2_shrink(xs(), 0.3)),
+        "k_l1": _kernel(lambda: V.l1_shrink(xs(), 0.3)),
+        "k_logsum": _kernel(lambda: V.log_sum(F.get(xs(), 0), F.get(xs(), 1)), vector=False),
         # training
         "bgd_trace": _trace("bgd"),
         "cgd_trace": _trace("cgd"),

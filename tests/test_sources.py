@@ -1,0 +1,78 @@
+"""Text layouts, parameters and generators."""
+
+from __future__ import annotations
+
+import json
+
+import numpy as np
+import pytest
+
+from normlearn.sources import datagen, spec, text
+
+S = [(1, 1.0, 4, [0.5, -1e-7]), (2, -1.0, 0, [3.0, 2.0])]
+R = [(4, [1.0, 2.5]), (0, [-0.25, 1e300])]
+
+
+def frames(spark):
+    s = spark.createDataFrame(S, "sid long, label double, forkey long, xs array<double>")
+    return s, spark.createDataFrame(R, "rid long, xr array<double>")
+
+
+def listed(frame, *columns):
+    return sorted(tuple(r) for r in frame.select(*columns).collect())
+
+
+def test_round_trips(spark, tmp_path):
+    s, r = frames(spark)
+    for write, read, rows, columns in (
+        (text.write_plain_s, text.read_plain_s, s, ("sid", "label", "forkey", "xs")),
+        (text.write_hive_s, text.read_hive_s, s, ("sid", "label", "forkey", "xs")),
+        (text.write_plain_r, text.read_plain_r, r, ("rid", "xr")),
+        (text.write_hive_r, text.read_hive_r, r, ("rid", "xr")),
+    ):
+        path = f"{tmp_path}/{write.__name__}"
+        write(rows, path)
+        write(rows, path)  # replaces what is there
+        assert listed(read(spark, path), *columns) == listed(rows, *columns)
+
+
+def test_layouts(spark, tmp_path):
+    (tmp_path / "s").write_text("1 1 7  0.5\t-2\n\n  2 -1 8 1e-3 4 \n")
+    assert listed(text.read_plain_s(spark, f"{tmp_path}/s"), "sid", "label", "forkey", "xs") == [
+        (1, 1.0, 7, [0.5, -2.0]), (2, -1.0, 8, [0.001, 4.0]),
+    ]
+    (tmp_path / "h").write_text("1 7 -1 0.5,2\n")
+    assert listed(text.read_hive_s(spark, f"{tmp_path}/h"), "sid", "forkey", "label", "xs") == [(1, 7, -1.0, [0.5, 2.0])]
+    (tmp_path / "t").write_text("1.0 -1 0.5 2 3\n")
+    assert listed(text.read_flat(spark, f"{tmp_path}/t"), "sid", "label", "x") == [(1, -1.0, [0.5, 2.0, 3.0])]
+
+
+def test_spec(tmp_path):
+    default = spec.from_mapping({})
+    assert (default.iters, default.w_init, default.stepsize, default.regularizer) == (20, 0.01, 1.0, 0.1)
+    (tmp_path / "spec.json").write_text(json.dumps({"algo": "cgd", "approach": "sr", "srsplits": 2}))
+    assert spec.from_json(str(tmp_path / "spec.json")).srsplits == 2
+    flat = spec.from_arguments(["lbfgs", "10", "0", "0.5", "2", "1e-3"])
+    assert (flat.approach, flat.algo, flat.iters, flat.tolerance) == ("t", "lbfgs", 10, 1e-3)
+    for bad in ({"algo": "sgd"}, {"approach": "x"}, {"approach": "sr"}, {"nonsense": 1}, {"model": "svm"}, {"stepsize": 0}):
+        with pytest.raises(ValueError):
+            spec.from_mapping(bad)
+    with pytest.raises(ValueError):
+        spec.from_arguments(["bgd"])
+
+
+def test_generated_tables(spark):
+    w = datagen.coefficients(10, 1)
+    assert w @ w == pytest.approx(1)
+    s = datagen.entity_rows(spark, 10, 500, 4, 7)
+    rows = s.collect()
+    assert [r.forkey for r in sorted(rows, key=lambda r: r.sid)][:11] == [1] * 10 + [2]
+    y, x = np.array([r.label for r in rows]), np.array([r.xs for r in rows]) / w[:3]
+    assert set(y) == {-1.0, 1.0} and abs(y.mean()) < 0.06
+    assert x[y > 0].mean() == pytest.approx(1, abs=0.06) and (x - y[:, None]).std() == pytest.approx(1, abs=0.05)
+    flat = np.array([r.xs for r in datagen.entity_rows(spark, 10, 500, 4, 7, 0.5, shift=False).collect()]) / w[:3]
+    assert flat.mean() == pytest.approx(0, abs=0.03) and flat.std() == pytest.approx(0.5, abs=0.03)
+    again = datagen.entity_rows(spark, 10, 500, 4, 7).repartition(7)
+    assert listed(again, "sid", "label", "forkey", "xs") == listed(s, "sid", "label", "forkey", "xs")
+    assert datagen.flat_rows(spark, 3, 5, 4, 7).count() == 15
+    assert datagen.entity_rows(spark, 2, 3, 1, 2).first().xs == []
