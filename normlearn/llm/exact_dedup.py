@@ -156,6 +156,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = named.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")
     )
+    # written, so that the join has two shuffled sides and Spark can split the partition of a large group
+    groups = scratch.written(groups, "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
@@ -174,16 +176,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = exact_dedup(docs, id_col, text_col, **options)
     repeats = F.count("*").over(_same_row())
     stay = found.withColumn("repeats", repeats).filter("kept").select("doc_id", "text_sha256", (F.col("repeats") > 1).alias("again"))
-    mark = F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256)
     stay = scratch.written(stay, "kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("again").alias("__again")
+        F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "again"
     )
-    joined = docs.withColumn("__mark", mark).join(
-        stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__sha"))
-    )
-    once = joined.filter(~F.col("__again"))
-    many = joined.filter("__again").dropDuplicates(["__id", "__sha"])
-    return once.unionByName(many).select(*[docs[c] for c in docs.columns])
+    # the caller's columns in one struct, so that their names clash with none
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    row = F.col("row")
+    mark = F.sha2(F.encode(normalised(row[text_col]), "UTF-8"), 256)
+    joined = rows.withColumn("mark", mark).join(stay, row[id_col].cast("long").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("sha")))
+    once = joined.filter(~F.col("again"))
+    many = joined.filter("again").dropDuplicates(["id", "sha"])
+    return once.unionByName(many).select("row.*")
 
 
 def _same_row():
