@@ -92,12 +92,29 @@ def fit(good: list[bytes], bad: list[bytes]) -> Model:
     y = np.repeat([1.0, 0.0], [len(good) - cut_good, len(bad) - cut_bad])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    w = _logistic(z, y)
+    return Model(*dictionaries, tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()), prior)
+
+
+def _logistic(z: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Coefficients of a ridge logistic regression, by Newton steps that are halved until they help."""
+
+    def loss(w: np.ndarray) -> float:
+        x = z @ w
+        return float(np.sum(np.logaddexp(0, x) - y * x) + 0.5 * ridge * w @ w)
+
     w = np.zeros(z.shape[1])
-    for _ in range(30):  # Newton steps
+    for _ in range(100):
         p = _sigmoid(z @ w)
-        curve = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 1e-3 * np.eye(len(w))
-        w -= np.linalg.solve(curve, z.T @ (p - y) + 1e-3 * w)
-    return Model(*dictionaries, tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()), prior)
+        curve = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, z.T @ (p - y) + ridge * w)
+        now, size = loss(w), 1.0
+        while loss(w - size * step) > now and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if now - loss(w) < 1e-9 * (1 + now):
+            break
+    return w
 
 
 def held_out(doc_id: Column) -> Column:
