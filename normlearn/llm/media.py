@@ -249,8 +249,8 @@ def histogram_steps(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def shots(steps: np.ndarray, factor: float = 2.0, floor: int = FRAME // 8) -> list[tuple[int, int]]:
-    """(first, past the last) frame of each shot.  A shot's first two steps only need to pass twice the floor."""
+def shots(steps: np.ndarray, factor: float = 3.0, floor: int = FRAME // 4) -> list[tuple[int, int]]:
+    """(first, past the last) frame of each shot.  A shot's first two steps need to pass twice the floor."""
     out, begin, n, total, squares = [], 0, 0, 0, 0
     for k, step in enumerate(steps.tolist()):
         if not k:
@@ -259,7 +259,7 @@ def shots(steps: np.ndarray, factor: float = 2.0, floor: int = FRAME // 8) -> li
             limit = 2.0 * floor
         else:
             mean = total / n
-            limit = max(float(floor), mean + factor * max(0.0, squares / n - mean * mean) ** 0.5)
+            limit = max(float(floor), 2 * mean, mean + factor * max(0.0, squares / n - mean * mean) ** 0.5)
         if step > limit:
             out.append((begin, k))
             begin, n, total, squares = k, 0, 0, 0
