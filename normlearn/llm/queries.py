@@ -5,8 +5,19 @@ from __future__ import annotations
 from . import exact_dedup, licenses, lm_scoring, media, mixing, near_dup, packing, quality, token_counts, token_files
 
 
+from .ship import ship
+
+
+def _shipped(query):
+    def run(spark, sf_dir: str):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {
+    found = {
         "op1_source_mix": mixing.op1_source_mix,
         "op2_packing": packing.op2_packing,
         "op3_token_counts": token_counts.op3_token_counts,
@@ -18,6 +29,7 @@ def queries() -> dict:
         "op9_media": media.op9_media,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
