@@ -45,13 +45,36 @@ def denormalized(data: NormalizedData, key: str = "sid") -> DataFrame:
     return joined.select(key, "label", F.concat("xs", "xr").alias("x"))
 
 
+def _products(parts: Sequence[tuple[str, Sequence[float]]]) -> Column:
+    """The product of a row's vectors, taken one by one, with their coefficients."""
+    out = V.dot_literal(F.col(parts[0][0]), parts[0][1])
+    for column, w in parts[1:]:
+        out = out + V.dot_literal(F.col(column), w)
+    return out
+
+
+def _scaled(rows: DataFrame, parts: Sequence[tuple[str, Sequence[float]]], keep: Sequence[str] = ()) -> DataFrame:
+    """Each row's loss (l), gradient scale (c) and vectors."""
+    columns = [name for name, _ in parts]
+    rows = rows.select(*keep, "label", *columns, _products(parts).alias("wx"))
+    return rows.select(
+        *keep, *columns, V.row_loss(F.col("label"), F.col("wx")).alias("l"), V.gradient_scale(F.col("label"), F.col("wx")).alias("c")
+    )
+
+
+def _gradient(parts: Sequence[tuple[str, Sequence[float]]]) -> list[Column]:
+    """The loss and the gradient over the vectors in their order."""
+    out, first = [_sum(F.col("l")).alias("loss")], 0
+    for column, w in parts:
+        out += _sums(len(w), column, "c", first)
+        first += len(w)
+    return out
+
+
 def over_rows(rows: DataFrame, w: Sequence[float]) -> DataFrame:
     """One pass over rows (label, x)."""
-    wx = V.dot_literal(F.col("x"), w)
-    scaled = rows.select("label", "x", wx.alias("wx")).select(
-        "x", V.row_loss(F.col("label"), F.col("wx")).alias("l"), V.gradient_scale(F.col("label"), F.col("wx")).alias("c")
-    )
-    return scaled.agg(_sum(F.col("l")).alias("loss"), *_sums(len(w), "x"))
+    parts = [("x", w)]
+    return _scaled(rows, parts).agg(*_gradient(parts))
 
 
 def materialize(table: DataFrame, w: Sequence[float]) -> DataFrame:
@@ -59,8 +82,15 @@ def materialize(table: DataFrame, w: Sequence[float]) -> DataFrame:
     return over_rows(table, w)
 
 
+def _sides(data: NormalizedData, w: Sequence[float]) -> list[tuple[str, Sequence[float]]]:
+    """Both tables' vectors and their coefficients; the vectors are never put together."""
+    return [("xs", w[: data.d_s]), ("xr", w[data.d_s :])]
+
+
 def stream(data: NormalizedData, w: Sequence[float]) -> DataFrame:
-    return over_rows(denormalized(data), w)
+    parts = _sides(data, w)
+    joined = data.s.join(data.r, data.s["forkey"] == data.r["rid"])
+    return _scaled(joined, parts).agg(*_gradient(parts))
 
 
 def split(data: NormalizedData, k: int) -> tuple[DataFrame, DataFrame]:
@@ -75,11 +105,8 @@ def stream_reuse(data: NormalizedData, w: Sequence[float], k: int) -> DataFrame:
     """The sum over k hash partitions, each joined by itself."""
     s, r = split(data, k)
     joined = s.join(r, (s["part"] == r["part"]) & (s["forkey"] == r["rid"]))
-    wx = V.dot_literal(F.concat("xs", "xr"), w)
-    rows = joined.select(s["part"], "label", F.concat("xs", "xr").alias("x"), wx.alias("wx")).select(
-        "part", "x", V.row_loss(F.col("label"), F.col("wx")).alias("l"), V.gradient_scale(F.col("label"), F.col("wx")).alias("c")
-    )
-    each = rows.groupBy("part").agg(_sum(F.col("l")).alias("loss"), *_sums(len(w), "x"))
+    parts = _sides(data, w)
+    each = _scaled(joined.select(s["part"], "label", "xs", "xr"), parts, ["part"]).groupBy("part").agg(*_gradient(parts))
     return each.agg(_sum(F.col("loss")).alias("loss"), *[_sum(F.col(g)).alias(g) for g in names(len(w))])
 
 
