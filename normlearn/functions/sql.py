@@ -20,6 +20,9 @@ FUNCTIONS = {
     "row_loss": ("y DOUBLE, wx DOUBLE", "DOUBLE", "greatest(-y * wx, 0D) + log1p(exp(-abs(y * wx)))"),
     "row_gscale": ("y DOUBLE, wx DOUBLE", "DOUBLE", "-y / (1D + exp(y * wx))"),
     "vec_zeros": ("n INT", _V, "array_repeat(0D, n)"),
+    # the names that Hive scripts use for the first two
+    "ConcatArray": (f"a {_V}, b {_V}", _V, "CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE concat(a, b) END"),
+    "FSQLPlus1": (f"w {_V}, x {_V}", "DOUBLE", "aggregate(zip_with(w, x, (a, b) -> a * b), 0D, (s, v) -> s + v)"),
 }
 
 
