@@ -25,20 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(current)
     while state[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.written(both.groupBy("u").agg(F.min("v").alias("m")), "stars")
-        large = (
-            both.join(least, "u")
-            .filter("v > u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
-        )
-        large = scratch.written(large, "large-stars")
-        low = scratch.written(large.groupBy("u").agg(F.min("v").alias("m")), "small-centres")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = scratch.written(small, "edges")
-        scratch.remove(current, least, large, low)
-        current, before, state = after, state, _state(after)
+        before, state = state, _state(after)
+        scratch.remove(current)
+        current = after
         if state == before:
             break
     return current

@@ -1,12 +1,13 @@
 """Near duplicates by a chosen-path similarity join over word shingles.
 
 Documents with the same set of shingles form a class.  Each class has a signature
-of minwise tokens.  A tree starts with all classes in one node; a node picks one
-or two places of the signature by a hash of its own path, and its members go to
-the children named by their tokens there.  Nodes with few members are compared
-exhaustively, larger ones branch again, and several independent trees reach the
-target recall: with 1.5 picks a node on average, a pair of similarity 0.85 misses
-all of ten trees with a probability below 1e-6, however deep the trees are.
+of minwise tokens.  A tree starts with all classes in one node; a node picks places
+of the signature by a hash of its own path, three for each of its picks, and its
+members go to the children named by their three tokens.  Nodes with few members
+are compared exhaustively, larger ones branch again, and independent trees repeat
+this to reach the target recall: a pair of similarity 0.85 meets in a child with
+probability 0.61 a pick, so the root's three picks in six trees miss it with a
+probability below 1e-7; in a node that had to branch twice, below 1e-4.
 
 What is compared: first signatures, to drop pairs far from similar (6 standard
 deviations below the threshold), then the full sets, exactly.  Nodes that do not
@@ -40,12 +41,11 @@ class JoinSpec:
 
     words: int = 5
     percent: int = 85
-    trees: int = 10
-    second: float = 0.5  # probability of a node's second pick
-    second_deep: float = 0.15  # the same below ``deep``
-    deep: int = 4
-    small: int = 128  # members of a node that is compared exhaustively
-    depth: int = 14
+    trees: int = 6
+    picks: tuple[int, ...] = (3, 2, 1)  # of a node by its level, the last for all below
+    tokens: int = 3  # of a pick
+    small: int = 1000  # members of a node that is compared exhaustively
+    depth: int = 10
     seed: int = 11
 
     @property
@@ -164,22 +164,22 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return raw.view("<u4").reshape(-1, PLACES)
 
 
-def _children(nodes: np.ndarray, tokens: np.ndarray, second: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, names) of the children that members of ``nodes`` go to."""
-    n = len(nodes)
-    one = (scrambled(nodes ^ U64(0xA5A5A5A5A5A5A5A5)) % U64(PLACES)).astype(np.int64)
-    other = (scrambled(nodes ^ U64(0x3C3C3C3C3C3C3C3C)) % U64(PLACES - 1)).astype(np.int64)
-    chance = (scrambled(nodes ^ U64(0x5555555555555555)) >> U64(11)).astype(np.float64) / 2.0**53
-    more = np.flatnonzero(chance < second)
-    rows = np.concatenate([np.arange(n), more])
-    place = np.concatenate([one, (one[more] + 1 + other[more]) % PLACES])
-    inner = scrambled(nodes[rows] + place.astype(U64) * U64(0x2545F4914F6CDD1D))
-    return rows, scrambled(inner ^ tokens[rows, place].astype(U64))
+def _children(nodes: np.ndarray, tokens: np.ndarray, picks: int, together: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, names) of the children that members of ``nodes`` go to: ``picks`` for each, by ``together`` tokens."""
+    rows, names = np.arange(len(nodes)), []
+    for pick in range(picks):
+        name = scrambled(nodes + U64(2 * pick + 1) * U64(0x2545F4914F6CDD1D))
+        at = name
+        for _ in range(together):
+            at = scrambled(at ^ U64(0xA5A5A5A5A5A5A5A5))
+            name = scrambled(name ^ tokens[rows, (at % U64(PLACES)).astype(np.int64)].astype(U64))
+        names.append(name)
+    return np.tile(rows, picks), np.concatenate(names)
 
 
 def _branched(members: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
     """Members of the next level's nodes.  At the root: cid, signature; deeper: node, parent_size, cid, signature."""
-    second = spec.second if level < spec.deep else spec.second_deep
+    picks = spec.picks[min(level, len(spec.picks) - 1)]
     roots = scrambled(np.arange(spec.trees, dtype=U64) + U64(spec.seed << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +188,10 @@ def _branched(members: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
             if not level:
                 cid = batch.column("cid").to_numpy()
                 for root in roots:
-                    rows, names = _children(np.full(len(cid), root), tokens, second)
+                    rows, names = _children(np.full(len(cid), root), tokens, picks, spec.tokens)
                     yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(cid[rows])], ["node", "cid"])
             else:
-                rows, names = _children(batch.column("node").to_numpy().view(U64), tokens, second)
+                rows, names = _children(batch.column("node").to_numpy().view(U64), tokens, picks, spec.tokens)
                 rest = batch.select(["n", "cid", "signature"]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names.view(np.int64)), *rest.columns], ["node", "parent_size", "cid", "signature"]
@@ -273,9 +273,8 @@ def _candidates(lists: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFra
 
 def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataFrame:
     """Edges (u, v) that connect the members of ``groups`` as links on the full sets do."""
-    wanted = scratch.written(
-        groups.select(F.explode("members").alias("cid")).distinct().join(classes, "cid").select("cid", "key", "rep"), "wanted"
-    )
+    rows = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cid"))
+    wanted = scratch.written(rows.join(classes.select("cid", "key", "rep"), "cid"), "wanted")
     ids = wanted.select(F.col("rep").alias("__id")).distinct()
     texts = _texts(docs, id_col, text_col)
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
@@ -283,15 +282,15 @@ def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, spec: JoinSpe
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, _, sets in _sets(batch, spec.words):
+                once = {_key(s): s for s in sets if len(s)}  # rows with the same id may have the same text
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
-                    ["key", "members"],
+                    [pa.array(list(once), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in once.values()], pa.binary())],
+                    ["key", "shingles"],
                 )
 
-    sets = texts.select("text").mapInArrow(sets_of, "key binary, members binary")
-    sets = sets.join(wanted.select("key", "cid"), "key").select("cid", F.col("members").alias("shingles"))
-    sets = scratch.written(sets.dropDuplicates(["cid"]), "sets")
-    rows = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cid")).join(sets, "cid")
+    sets = texts.select("text").mapInArrow(sets_of, "key binary, shingles binary")
+    # both sides grow with the input, so they are joined in the same way at every size
+    rows = sets.join(wanted.select("g", "cid", "key").hint("merge"), "key")
     percent = spec.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,35 +334,34 @@ def _node_lists(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.sort_array(F.collect_set("cid")).alias("members")).select("members").distinct()
 
 
-def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, list[DataFrame]]:
-    """Groups to compare, and members of nodes that stayed large, a table a level."""
+def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Classes that share a node with another, groups to compare, and members of nodes that stayed large."""
     small, large = [], []
-    members, level = classes, 0
+    members, active, level = classes, classes, 0
     while True:
         rows = scratch.written(_branched(members, spec, level), f"level-{level}")
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        counts = scratch.written(counts, f"counts-{level}")
-        fits = counts.filter(F.col("n") <= spec.small)
-        small.append(scratch.written(_node_lists(rows.join(fits, "node").select("node", "cid")), f"lists-{level}"))
-        more = counts.filter(F.col("n") > spec.small)
-        if more.isEmpty():
-            break
-        rest = rows.join(more, "node")
+        shared = scratch.written(rows.join(counts.hint("merge"), "node"), f"shared-{level}")
+        scratch.remove(rows)
+        small.append(scratch.written(_node_lists(shared.filter(F.col("n") <= spec.small).select("node", "cid")), f"lists-{level}"))
+        rest = shared.filter(F.col("n") > spec.small)
+        if not level:
+            some = shared.select("cid").distinct()
+            active = scratch.written(classes.join(some.hint("merge"), "cid", "left_semi"), "active")
+            rest = rest.join(active.select("cid", "signature"), "cid")
         level += 1
-        if level == 1:
-            rest = rest.join(classes.select("cid", "signature"), "cid")
-            members = scratch.written(rest.select("node", "n", "cid", "signature"), "large-1")
-        else:
-            stuck = (F.col("n") > 0.9 * F.col("parent_size")) & F.lit(level > 3) | F.lit(level > spec.depth)
+        stuck = F.lit(level > spec.depth)
+        if level > 1:
+            stuck = stuck | (F.lit(level > 3) & (F.col("n") > 0.9 * F.col("parent_size")))
             large.append(scratch.written(rest.filter(stuck).select("node", "n", "cid"), f"stuck-{level}"))
-            members = scratch.written(rest.filter(~stuck).select("node", "n", "cid", "signature"), f"large-{level}")
-        scratch.remove(rows)
+        members = scratch.written(rest.filter(~stuck).select("node", "n", "cid", "signature"), f"large-{level}")
+        scratch.remove(shared)
         if members.isEmpty():
             break
     lists = small[0]
     for part in small[1:]:
         lists = lists.unionByName(part)
-    return lists.distinct(), [x for x in large if not x.isEmpty()]
+    return active, lists.distinct(), [x for x in large if not x.isEmpty()]
 
 
 def _blocks(stuck: DataFrame, found: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -392,24 +390,27 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
     a component_id unless the whole component has none, and such rows are not kept.
     An empty table gives an empty result; other columns are ignored.
     """
-    rows = scratch.written(shingle_rows(docs, spec, id_col, text_col), "shingle-rows")
+    full = scratch.written(shingle_rows(docs, spec, id_col, text_col), "shingle-rows")
     classes = (
-        rows.filter("key is not null")
+        full.filter("key is not null")
         .groupBy("key")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = scratch.written(classes, "classes")
-    lists, stuck = _trees(classes, spec)
-    groups = scratch.written(_candidates(lists, classes, spec), "groups")
-    links = scratch.written(_links(groups, classes, docs, spec, id_col, text_col), "links")
+    rows = scratch.written(full.select("doc_id", "n_shingles", "key"), "rows")
+    scratch.remove(full)
+    active, lists, stuck = _trees(classes, spec)
+    classes = scratch.written(classes.select("cid", "key", "rep"), "class-names")
+    groups = scratch.written(_candidates(lists, active, spec), "groups")
+    links = scratch.written(_links(groups, active, docs, spec, id_col, text_col), "links")
     found = components(links)
     if stuck:
         left = stuck[0]
         for part in stuck[1:]:
             left = left.unionByName(part)
-        again = scratch.written(_candidates(_blocks(left, found, spec), classes, spec), "block-groups")
-        more = scratch.written(_links(again, classes, docs, spec, id_col, text_col), "block-links")
+        again = scratch.written(_candidates(_blocks(left, found, spec), active, spec), "block-groups")
+        more = scratch.written(_links(again, active, docs, spec, id_col, text_col), "block-links")
         found = components(found.unionByName(more))
     label = classes.select("cid", "key", "rep").join(found.withColumnRenamed("u", "cid"), "cid", "left")
     label = scratch.written(label.select("key", "rep", F.coalesce("v", "cid").alias("c")), "labels")
@@ -429,8 +430,10 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
 def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id names their component; rows without shingles or id all stay."""
     found = near_duplicates(docs, spec, id_col, text_col)
-    gone = scratch.written(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left_anti")
+    gone = scratch.written(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    # the caller's columns in one struct, so that their names clash with none
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("row")[id_col].cast("long") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op8_near_dup(spark, sf_dir: str) -> DataFrame:
