@@ -40,8 +40,10 @@ class NormalizedData:
     def d(self) -> int:
         return self.d_s + self.d_r
 
-    def cached(self) -> NormalizedData:
-        return NormalizedData(self.s.persist(), self.r.persist(), self.d_s, self.d_r)
+    def cached(self, parts: int | None = None) -> NormalizedData:
+        """Both tables kept for many passes; with ``parts``, dealt out by the key once, so that passes shuffle neither."""
+        s, r = (self.s.repartition(parts, "forkey"), self.r.repartition(parts, "rid")) if parts else (self.s, self.r)
+        return NormalizedData(s.persist(), r.persist(), self.d_s, self.d_r)
 
     def release(self) -> None:
         self.s.unpersist()
@@ -66,7 +68,10 @@ def _width(rows: DataFrame, column: str) -> int:
 
 
 def validate(data: NormalizedData, strict_fk: bool = False) -> dict[str, int]:
-    """Counts of the tables; raises for duplicate rids, unequal lengths and, if strict, unmatched keys."""
+    """Sizes of the tables: n_s, n_r and most_s, the entity rows of the most frequent key.
+
+    Raises for duplicate rids, unequal lengths and, if strict, unmatched keys.
+    """
     s = data.s.agg(F.count("*").alias("n"), F.count_if(F.size("xs") != data.d_s).alias("bad")).first()
     r = data.r.agg(F.count("*").alias("n"), F.count_if(F.size("xr") != data.d_r).alias("bad")).first()
     if s.bad or r.bad:
@@ -75,4 +80,23 @@ def validate(data: NormalizedData, strict_fk: bool = False) -> dict[str, int]:
         raise ValueError("attribute keys are not unique")
     if strict_fk and not data.s.join(data.r, data.s["forkey"] == data.r["rid"], "left_anti").isEmpty():
         raise ValueError("entity rows refer to attribute rows that are not there")
-    return {"n_s": s.n, "n_r": r.n}
+    most = data.s.groupBy("forkey").count().agg(F.max("count")).first()[0]
+    return {"n_s": s.n, "n_r": r.n, "most_s": most or 0}
+
+
+def parts_by_key(data: NormalizedData, sizes: dict[str, int]) -> int | None:
+    """Into how many parts to deal both tables by key, or None where that does not pay.
+
+    It pays where the attribute table is too large to be broadcast in each pass.
+    It does not where one key would make a part several times the others': there
+    the joins shuffle in each pass, and Spark splits the key's partition.
+    """
+    conf = data.s.sparkSession.conf
+    limit = conf.get("spark.sql.autoBroadcastJoinThreshold")
+    digits = limit.lower().rstrip("b")
+    factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(digits[-1:], 1)
+    most = int(digits[:-1] if factor > 1 else digits) * factor
+    if sizes["n_r"] * (8 * data.d_r + 24) <= most:
+        return None
+    parts = int(conf.get("spark.sql.shuffle.partitions"))
+    return None if sizes["most_s"] > 3 * max(1, sizes["n_s"] // parts) else parts

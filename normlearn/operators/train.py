@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from normlearn.operators.data import NormalizedData, validate
+from normlearn.operators.data import NormalizedData, parts_by_key, validate
 from normlearn.plans import gradient as G
 from normlearn.sources.spec import TrainSpec
 
@@ -135,10 +135,10 @@ def minimize(objective: Objective, w: np.ndarray, spec: TrainSpec) -> FitResult:
 
 def fit(data: NormalizedData, spec: TrainSpec = TrainSpec(), table: DataFrame | None = None, check: bool = True) -> FitResult:
     """Trains over ``data``; approaches m and t over its join, which ``table`` may give."""
-    data = data.cached()
+    counts = validate(data, spec.strict_fk) if check or spec.approach == "auto" else {}
+    data = data.cached(parts_by_key(data, counts) if counts and spec.approach in ("s", "f", "fsql", "auto") else None)
     approach, joined = spec.approach, None
     try:
-        counts = validate(data, spec.strict_fk) if check or approach == "auto" else {}
         if approach == "auto":
             approach = G.choose(data, counts["n_s"], counts["n_r"])
         if approach in ("m", "t"):

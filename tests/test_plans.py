@@ -101,7 +101,7 @@ def test_ladder_is_the_loss_along_a_direction(spark):
 
 def test_validation(spark):
     good = tables(spark, TINY_S, TINY_R, 2, 1)
-    assert validate(good, strict_fk=True) == {"n_s": 4, "n_r": 2}
+    assert validate(good, strict_fk=True) == {"n_s": 4, "n_r": 2, "most_s": 2}
     with pytest.raises(ValueError, match="unique"):
         validate(tables(spark, TINY_S, [*TINY_R, (1, [3.0])], 2, 1))
     with pytest.raises(ValueError, match="lengths"):

@@ -58,3 +58,41 @@ def test_a_skewed_key_gives_the_same_sums(spark):
     for plan in (G.factorized, G.fsql):
         loss, g = G.collected(plan(data, [0.5, -0.2, 0.1]))
         assert loss == pytest.approx(expected[0]) and g == pytest.approx(expected[1])
+
+
+@pytest.fixture
+def threshold(spark):
+    """Sets from which size on nothing is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    yield lambda value: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_tables_are_dealt_out_once(spark, sf_dir, threshold):
+    """Passes over tables kept by key shuffle nothing but the one row of sums."""
+    from normlearn.operators.data import parts_by_key, validate
+
+    threshold("1k")
+    data = main_data(spark, sf_dir)
+    parts = parts_by_key(data, validate(data))
+    assert parts == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = data.cached(parts)
+    expected = G.collected(G.stream(data, W))
+    for plan in (G.stream, G.factorized, G.fsql):
+        frame = plan(kept, W)
+        loss, g = G.collected(frame)
+        assert loss == pytest.approx(expected[0]) and g == pytest.approx(expected[1])
+        frame.collect()
+        final = explained(frame).split("== Initial Plan ==")[0]
+        assert "Exchange hashpartitioning" not in "".join(x for x in final.splitlines() if "REPARTITION" not in x)
+    kept.release()
+
+
+@pytest.mark.parametrize(("limit", "expected"), [("10m", None), ("10485760", None), ("10485760b", None), ("64", 4), ("-1", 4)])
+def test_small_tables_are_broadcast_instead(spark, threshold, limit, expected):
+    from normlearn.operators.data import NormalizedData, parts_by_key
+
+    threshold(limit)
+    data = NormalizedData(spark.range(1), spark.range(1), 3, 4)
+    assert parts_by_key(data, {"n_s": 1000, "n_r": 100, "most_s": 20}) == expected
+    assert parts_by_key(data, {"n_s": 1000, "n_r": 100, "most_s": 990}) is None
