@@ -128,6 +128,7 @@ def pack(
                 sequence += 1
             done.clear()
             held = 0
+            pretokens.trimmed()
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
@@ -141,7 +142,7 @@ def pack(
                     for full in packer.add(doc_id, ids):
                         done.append(full)
                         held += 1
-                if held >= 500:
+                if held >= 250:
                     yield flushed()
         done.extend(packer.close())
         if done:

@@ -11,14 +11,16 @@ library whole; so the result is always the library's.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 SAFE = 0x250  # code points below this are classified here
-CHUNK = 1 << 18  # characters handled at once; bounds what a worker holds besides its table
+CHUNK = 1 << 17  # characters handled at once; bounds what a worker holds besides its table
 SPACE, LETTER, NUMBER, OTHER = 1, 2, 3, 4
 U64 = np.uint64
 _BASE, _LENGTH_MIX, _MIX = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)
@@ -143,7 +145,7 @@ def _blank(text: str, at: int) -> int:
 class Table:
     """Pre-tokens' ids by hash: one entry a slot, replaced by later ones, so its size is fixed."""
 
-    def __init__(self, path: str, bits: int = 21, pool: int = 1 << 23) -> None:
+    def __init__(self, path: str, bits: int = 21, pool: int = 6 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -152,7 +154,9 @@ class Table:
         self.keys = np.zeros(1 << bits, U64)
         self.at = np.zeros(1 << bits, np.int32)
         self.count = np.zeros(1 << bits, np.uint16)
-        self.pool = np.zeros(pool, np.uint32)
+        # half the size where ids fit
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.pool = np.zeros(pool, self.kind)
         self.used = 0
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -170,14 +174,14 @@ class Table:
         spans = miss[where]
         found = self._library([text[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.fromiter((i for ids in found for i in ids), self.kind, int(sizes.sum()))
         begin = np.cumsum(sizes) - sizes
         if self.used + len(flat) > self.limit:  # start again; what this batch found stays valid in a copy
             pool = np.concatenate([self.pool[: self.used], flat])
             at[miss], count[miss] = (begin + self.used)[back], sizes[back]
             self.keys[:] = 0
             self.used = 0
-            self.pool = np.zeros(self.limit, np.uint32)
+            self.pool = np.zeros(self.limit, self.kind)
             return pool, at, count
         self.pool[self.used : self.used + len(flat)] = flat
         begin = begin + self.used
@@ -210,7 +214,7 @@ class Table:
             pool, at, count = self.lookup(span_hashes(codes, starts, ends), text, starts, ends)
             upto = np.cumsum(count)
             total = int(upto[-1])
-            ids = pool[np.repeat(at - (upto - count), count) + np.arange(total)]
+            ids = pool[np.repeat(at - (upto - count), count) + np.arange(total)].astype(np.uint32)
             owner = np.searchsorted(starts, begins)
             yield np.array(numbers), ids, np.append((upto - count)[owner], total)
 
@@ -224,6 +228,15 @@ class Table:
         return [np.concatenate(x + last) if len(x + last) != 1 else (x + last)[0] for x in (y or [np.zeros(0, np.uint32)] for y in out)]
 
 
+def trimmed() -> None:
+    """Gives memory that is free in this process back to the system, for the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 @lru_cache(1)
 def table(path: str) -> Table:
     """The worker's table for a vocabulary; it lives as long as the worker."""

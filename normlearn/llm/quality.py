@@ -23,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pretokens import trimmed
+
 SAMPLE_ROWS = 1800
 SAMPLE_BYTES = 32768
 DICTIONARY_BYTES = 112640
@@ -161,6 +163,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
             )
+        trimmed()
 
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -180,6 +183,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(scorer.scores(texts) >= 0.5))
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
 
