@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
-from .pretokens import U64, scrambled, span_hashes
+from .pretokens import U64, scrambled, span_hashes, trimmed
 
 PLACES = 128
 ROWS = 256  # texts hashed at once
@@ -155,6 +155,7 @@ def shingle_rows(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) ->
                     ],
                     ["doc_id", "n_shingles", "key", "signature"],
                 )
+        trimmed()
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, key binary, signature binary")
 
@@ -267,6 +268,7 @@ def _candidates(lists: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFra
                 for name in np.flatnonzero(np.bincount(label, minlength=b - a) > 1):
                     found.append(np.unique(cid[a:b][label == name]))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["members"])
+        trimmed()
 
     return _grouped(rows.select("g", "cid", "n_shingles", "signature"), "g").mapInArrow(run, "members array<long>").distinct()
 
@@ -274,7 +276,7 @@ def _candidates(lists: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFra
 def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataFrame:
     """Edges (u, v) that connect the members of ``groups`` as links on the full sets do."""
     rows = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cid"))
-    wanted = scratch.written(rows.join(classes.select("cid", "key", "rep"), "cid"), "wanted")
+    wanted = rows.join(classes.select("cid", "key", "rep"), "cid")
     ids = wanted.select(F.col("rep").alias("__id")).distinct()
     texts = _texts(docs, id_col, text_col)
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
@@ -287,6 +289,7 @@ def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, spec: JoinSpe
                     [pa.array(list(once), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in once.values()], pa.binary())],
                     ["key", "shingles"],
                 )
+        trimmed()
 
     sets = texts.select("text").mapInArrow(sets_of, "key binary, shingles binary")
     # both sides grow with the input, so they are joined in the same way at every size
@@ -303,6 +306,7 @@ def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, spec: JoinSpe
                 us.append(cid[a:b][label != np.arange(b - a)])
                 vs.append(cid[a:b][label[label != np.arange(b - a)]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+        trimmed()
 
     return _grouped(rows.select("g", "cid", "shingles"), "g").mapInArrow(run, "u long, v long").distinct()
 
@@ -339,23 +343,21 @@ def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, li
     small, large = [], []
     members, active, level = classes, classes, 0
     while True:
-        rows = scratch.written(_branched(members, spec, level), f"level-{level}")
+        rows = _branched(members, spec, level)  # made twice, which is cheaper than to write them
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         shared = scratch.written(rows.join(counts.hint("merge"), "node"), f"shared-{level}")
-        scratch.remove(rows)
-        small.append(scratch.written(_node_lists(shared.filter(F.col("n") <= spec.small).select("node", "cid")), f"lists-{level}"))
+        small.append(_node_lists(shared.filter(F.col("n") <= spec.small).select("node", "cid")))
         rest = shared.filter(F.col("n") > spec.small)
         if not level:
             some = shared.select("cid").distinct()
             active = scratch.written(classes.join(some.hint("merge"), "cid", "left_semi"), "active")
-            rest = rest.join(active.select("cid", "signature"), "cid")
+            rest = scratch.written(rest.join(active.select("cid", "signature"), "cid"), "large-0")
         level += 1
         stuck = F.lit(level > spec.depth)
         if level > 1:
             stuck = stuck | (F.lit(level > 3) & (F.col("n") > 0.9 * F.col("parent_size")))
-            large.append(scratch.written(rest.filter(stuck).select("node", "n", "cid"), f"stuck-{level}"))
-        members = scratch.written(rest.filter(~stuck).select("node", "n", "cid", "signature"), f"large-{level}")
-        scratch.remove(shared)
+            large.append(rest.filter(stuck).select("node", "n", "cid"))
+        members = rest.filter(~stuck).select("node", "n", "cid", "signature")
         if members.isEmpty():
             break
     lists = small[0]
@@ -390,18 +392,15 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
     a component_id unless the whole component has none, and such rows are not kept.
     An empty table gives an empty result; other columns are ignored.
     """
-    full = scratch.written(shingle_rows(docs, spec, id_col, text_col), "shingle-rows")
+    rows = scratch.written(shingle_rows(docs, spec, id_col, text_col), "shingle-rows")
     classes = (
-        full.filter("key is not null")
+        rows.filter("key is not null")
         .groupBy("key")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = scratch.written(classes, "classes")
-    rows = scratch.written(full.select("doc_id", "n_shingles", "key"), "rows")
-    scratch.remove(full)
     active, lists, stuck = _trees(classes, spec)
-    classes = scratch.written(classes.select("cid", "key", "rep"), "class-names")
     groups = scratch.written(_candidates(lists, active, spec), "groups")
     links = scratch.written(_links(groups, active, docs, spec, id_col, text_col), "links")
     found = components(links)
@@ -413,7 +412,7 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
         more = scratch.written(_links(again, active, docs, spec, id_col, text_col), "block-links")
         found = components(found.unionByName(more))
     label = classes.select("cid", "key", "rep").join(found.withColumnRenamed("u", "cid"), "cid", "left")
-    label = scratch.written(label.select("key", "rep", F.coalesce("v", "cid").alias("c")), "labels")
+    label = label.select("key", "rep", F.coalesce("v", "cid").alias("c"))
     least = scratch.written(label.groupBy("c").agg(F.min("rep").alias("component_id")), "component-ids")
     named = label.join(least, "c").select("key", "component_id")
     out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
