@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlearn.llm import exact_dedup, mixing, near_dup, packing, quality, scratch
+from normlearn.llm.ship import ship
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject; it learns from labels and all documents."""
+    ship(spark)
     every = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality.learn(every, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
@@ -27,6 +29,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: similarity of 0.8 or more over shingles of five words."""
+    ship(spark)
     return near_dup.keep_one(docs, near_dup.JoinSpec(percent=80))
 
 
@@ -37,6 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 2048 token ids."""
+    ship(spark)
     return packing.pack(docs)
 
 

@@ -173,7 +173,7 @@ def _plan(rows: DataFrame, spec: MixSpec) -> DataFrame:
         found = sums.filter((F.col("upto") >= F.col("__need")) & (F.col("upto") - F.col("t") < F.col("__need")))
         found = found.withColumn("__sofar", F.col("upto") - F.col("t")).drop("t", "upto")
         edge = scratch.written(found, f"edge-{k}")
-    return leaves.join(edge.select("__leaf", "__e0", "__e1", "__sofar"), "__leaf", "left")
+    return scratch.written(leaves.join(edge.select("__leaf", "__e0", "__e1", "__sofar"), "__leaf", "left"), "mix-plan")
 
 
 def _taken(rows: DataFrame, plan: DataFrame, spec: MixSpec, tie: list[Column]) -> DataFrame:
@@ -244,15 +244,22 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
     Rows that the mix does not take are gone.  Ties and nulls as in ``take``.
     """
     rows = _narrow(docs, spec, id_col, text_col)
-    columns = docs.columns
-    wide = docs.withColumns({"__id": F.col(id_col).cast("long"), "__n": _count(F.col(text_col))}).withColumns(_leaf(spec))
-    tie = [F.col("__id").asc_nulls_first(), F.col("__n"), F.col(text_col)]
-    out = _taken(wide, _plan(rows, spec), spec, tie)
-    whole = out.filter("__copies > 0").withColumn("__again", F.explode(F.expr("sequence(1, __copies)"))).select(*columns)
+    # the caller's columns in one struct, so that their names clash with none
+    row = F.col("row")
+    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).select(
+        "row",
+        row[id_col].cast("long").alias("__id"),
+        row["lang"].cast("string").alias("lang"),
+        row["source"].cast("string").alias("source"),
+        _count(row[text_col]).alias("__n"),
+    )
+    tie = [F.col("__id").asc_nulls_first(), F.col("__n"), row[text_col]]
+    out = _taken(wide.withColumns(_leaf(spec)), _plan(rows, spec), spec, tie)
+    whole = out.filter("__copies > 0").select("row", F.explode(F.expr("sequence(1, __copies)")).alias("copy")).select("row.*")
     # cut where a token ends: the pieces put together are the text
-    pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    pieces = F.split(row[text_col], r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("__part").cast("int")), "")
-    return whole.unionByName(out.filter("__part > 0").withColumn(text_col, cut).select(*columns))
+    return whole.unionByName(out.filter("__part > 0").select(row.withField(text_col, cut).alias("row")).select("row.*"))
 
 
 def oracle(spec: MixSpec = MixSpec()) -> str:
