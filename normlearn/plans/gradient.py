@@ -20,6 +20,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,19 +64,61 @@ def _scaled(rows: DataFrame, parts: Sequence[tuple[str, Sequence[float]]], keep:
     )
 
 
-def _gradient(parts: Sequence[tuple[str, Sequence[float]]]) -> list[Column]:
-    """The loss and the gradient over the vectors in their order."""
-    out, first = [_sum(F.col("l")).alias("loss")], 0
+#: A vector column, the column it is scaled by, its length, and its place in the gradient.
+Part = tuple[str, str, int, int]
+
+
+def _times(x: str, c: Column) -> Column:
+    return F.transform(x, lambda v: v * c)
+
+
+def _totals(rows: DataFrame, plain: Sequence[Column], parts: Sequence[Part], by: str | None = None) -> DataFrame:
+    """``plain`` sums and the sums of scaled vectors as g0, g1, ..., of all rows or of those of each ``by``.
+
+    Short vectors are summed element by element in generated code.  Long ones are
+    summed whole by the vector summary aggregate, which also has partial sums.
+    """
+    sums, picked = list(plain), []
+    for x, c, n, first in parts:
+        if n <= V.UNROLL:
+            sums += _sums(n, x, c, first)
+            picked += [F.col(f"g{first + i}") for i in range(n)]
+        else:
+            sums.append(vector_to_array(Summarizer.sum(array_to_vector(_times(x, F.col(c))))).alias(f"v{first}"))
+            picked += [F.coalesce(F.get(f"v{first}", i), F.lit(0.0)).alias(f"g{first + i}") for i in range(n)]
+    if by:
+        summed = rows.groupBy(by).agg(*sums)
+    else:
+        if any(n > V.UNROLL for _, _, n, _ in parts):  # the vector summary needs a row
+            rows = rows.unionByName(_zero_row(rows, parts))
+        summed = rows.agg(*sums)
+    of_parts = {f"g{first + i}" for _, _, n, first in parts for i in range(n)} | {f"v{first}" for *_, first in parts}
+    return summed.select(*[c for c in summed.columns if c not in of_parts], *picked)
+
+
+def _zero_row(rows: DataFrame, parts: Sequence[Part]) -> DataFrame:
+    """A row like ``rows`` that adds nothing to any sum."""
+    lengths = {x: n for x, _, n, _ in parts}
+    columns = [
+        (V.zeros(lengths[c]) if c in lengths else (F.lit(None) if t.startswith("array") else F.lit(0)).cast(t)).alias(c)
+        for c, t in rows.dtypes
+    ]
+    return rows.sparkSession.range(1).select(*columns)
+
+
+def _gradient(rows: DataFrame, parts: Sequence[tuple[str, Sequence[float]]], by: str | None = None) -> DataFrame:
+    """The loss and the gradient over the vectors in their order, of rows of ``_scaled``."""
+    places, first = [], 0
     for column, w in parts:
-        out += _sums(len(w), column, "c", first)
+        places.append((column, "c", len(w), first))
         first += len(w)
-    return out
+    return _totals(rows, [_sum(F.col("l")).alias("loss")], places, by)
 
 
 def over_rows(rows: DataFrame, w: Sequence[float]) -> DataFrame:
     """One pass over rows (label, x)."""
     parts = [("x", w)]
-    return _scaled(rows, parts).agg(*_gradient(parts))
+    return _gradient(_scaled(rows, parts), parts)
 
 
 def materialize(table: DataFrame, w: Sequence[float]) -> DataFrame:
@@ -90,7 +134,7 @@ def _sides(data: NormalizedData, w: Sequence[float]) -> list[tuple[str, Sequence
 def stream(data: NormalizedData, w: Sequence[float]) -> DataFrame:
     parts = _sides(data, w)
     joined = data.s.join(data.r, data.s["forkey"] == data.r["rid"])
-    return _scaled(joined, parts).agg(*_gradient(parts))
+    return _gradient(_scaled(joined, parts), parts)
 
 
 def split(data: NormalizedData, k: int) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +150,7 @@ def stream_reuse(data: NormalizedData, w: Sequence[float], k: int) -> DataFrame:
     s, r = split(data, k)
     joined = s.join(r, (s["part"] == r["part"]) & (s["forkey"] == r["rid"]))
     parts = _sides(data, w)
-    each = _scaled(joined.select(s["part"], "label", "xs", "xr"), parts, ["part"]).groupBy("part").agg(*_gradient(parts))
+    each = _gradient(_scaled(joined.select(s["part"], "label", "xs", "xr"), parts, ["part"]), parts, "part")
     return each.agg(_sum(F.col("loss")).alias("loss"), *[_sum(F.col(g)).alias(g) for g in names(len(w))])
 
 
@@ -141,18 +185,15 @@ def entity_sums(keys: DataFrame, d_s: int) -> DataFrame:
 
 def attribute_sums(keys: DataFrame, data: NormalizedData) -> DataFrame:
     """The attribute part of the gradient, from the sums of scales of ``per_key``."""
-    joined = keys.select("rid", "sg").join(data.r, "rid")
-    return joined.agg(*_sums(data.d_r, "xr", "sg", data.d_s))
+    joined = keys.select("rid", "sg").join(data.r, "rid").select("sg", "xr")
+    return _totals(joined, [], [("xr", "sg", data.d_r, data.d_s)])
 
 
 def factorized(data: NormalizedData, w: Sequence[float]) -> DataFrame:
     """Both sides' sums from one pass over the sums per key."""
-    joined = per_key(data, w).join(data.r, "rid")
-    return joined.agg(
-        _sum(F.col("loss")).alias("loss"),
-        *[_sum(F.col(g)).alias(g) for g in names(data.d_s)],
-        *_sums(data.d_r, "xr", "sg", data.d_s),
-    )
+    joined = per_key(data, w).join(data.r, "rid").drop("rid")
+    plain = [_sum(F.col(c)).alias(c) for c in ("loss", *names(data.d_s))]
+    return _totals(joined, plain, [("xr", "sg", data.d_r, data.d_s)])
 
 
 def hs_plus(data: NormalizedData, w: Sequence[float]) -> DataFrame:
@@ -162,12 +203,9 @@ def hs_plus(data: NormalizedData, w: Sequence[float]) -> DataFrame:
 
 
 def fsql(data: NormalizedData, w: Sequence[float]) -> DataFrame:
-    joined = hs_plus(data, w).join(data.r, "rid")
-    return joined.agg(
-        _sum(F.get("lg", 0)).alias("loss"),
-        *[_sum(F.get("lg", 2 + i)).alias(f"g{i}") for i in range(data.d_s)],
-        *[_sum(F.get("lg", 1) * F.get("xr", j)).alias(f"g{data.d_s + j}") for j in range(data.d_r)],
-    )
+    joined = hs_plus(data, w).join(data.r, "rid").select("lg", F.get("lg", 1).alias("sg"), "xr")
+    plain = [_sum(F.get("lg", 0)).alias("loss"), *[_sum(F.get("lg", 2 + i)).alias(f"g{i}") for i in range(data.d_s)]]
+    return _totals(joined, plain, [("xr", "sg", data.d_r, data.d_s)])
 
 
 #: What ``auto`` needs to see before it factorizes: attribute vectors this wide, and

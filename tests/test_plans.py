@@ -132,3 +132,17 @@ def test_factorized_plan_joins_numbers_not_vectors(spark, sf_dir):
 
     plan = G.per_key(wide_data(spark, sf_dir), [0.1] * 67)._jdf.queryExecution().optimizedPlan().toString()
     assert "xr" not in plan.split("Join")[0]
+
+
+@pytest.mark.parametrize(("d_s", "d_r"), [(2, 40), (30, 2), (20, 20)])
+@pytest.mark.parametrize("matched", [True, False])
+def test_long_vectors(spark, d_s, d_r, matched):
+    """Vectors beyond the length that is written out, and a join without rows."""
+    rng = np.random.default_rng(d_s)
+    r = [(k + (0 if matched else 100), rng.normal(size=d_r).tolist()) for k in range(5)]
+    s = [(i, float(rng.choice([-1, 1])), int(rng.integers(0, 5)), rng.normal(size=d_s).tolist()) for i in range(30)]
+    w = rng.normal(size=d_s + d_r).tolist()
+    loss, g = expected(s, r, w)
+    for approach, (found, gradient) in results(tables(spark, s, r, d_s, d_r), w):
+        assert found == pytest.approx(loss), approach
+        assert gradient == pytest.approx(g, abs=1e-9), approach
