@@ -150,6 +150,7 @@ class Table:
 
         self.library = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
         self.shift, self.limit = U64(64 - bits), pool
         self.keys = np.zeros(1 << bits, U64)
         self.at = np.zeros(1 << bits, np.int32)
@@ -162,6 +163,34 @@ class Table:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each pre-token has, and all ids end to end.
+
+        Pre-tokens that are not white space go to the library as lines of one text:
+        a line feed before any of them is a pre-token of its own, and in none of them.
+        """
+        sizes = np.zeros(len(pieces), np.int64)
+        lines = [k for k, piece in enumerate(pieces) if not piece[-1].isspace()]
+        if lines and len(self.line) == 1:
+            ids = np.asarray(self._library(["\n".join([pieces[k] for k in lines])])[0], self.kind)
+            feeds = np.flatnonzero(ids == self.line[0])
+            if len(feeds) == len(lines) - 1:
+                edges = np.concatenate([[-1], feeds, [len(ids)]])
+                rest = sorted(set(range(len(pieces))).difference(lines))
+                other = self._library([pieces[k] for k in rest])
+                sizes[lines] = np.diff(edges) - 1
+                sizes[rest] = [len(x) for x in other]
+                flat = np.zeros(int(sizes.sum()), self.kind)
+                begin = np.cumsum(sizes) - sizes
+                of_lines = np.repeat(begin[lines] - (np.cumsum(sizes[lines]) - sizes[lines]), sizes[lines])
+                flat[of_lines + np.arange(len(of_lines))] = np.delete(ids, feeds)
+                for k, x in zip(rest, other, strict=True):
+                    flat[begin[k] : begin[k] + len(x)] = x
+                return sizes, flat
+        found = self._library(pieces)
+        sizes[:] = [len(x) for x in found]
+        return sizes, np.fromiter((i for x in found for i in x), self.kind, int(sizes.sum()))
+
     def lookup(self, hashes: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pool, at, count): the ids of each pre-token are pool[at : at + count]."""
         slot = (hashes >> self.shift).astype(np.int64)
@@ -172,9 +201,7 @@ class Table:
             return self.pool, at, count
         new, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
         spans = miss[where]
-        found = self._library([text[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), self.kind, int(sizes.sum()))
+        sizes, flat = self._coded([text[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
         begin = np.cumsum(sizes) - sizes
         if self.used + len(flat) > self.limit:  # start again; what this batch found stays valid in a copy
             pool = np.concatenate([self.pool[: self.used], flat])
