@@ -32,9 +32,13 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
-def dot_literal(x: Column, w: Sequence[float]) -> Column:
-    """The inner product with known coefficients."""
-    if len(w) > UNROLL:
+def dot_literal(x: Column, w: Sequence[float], of: int | None = None) -> Column:
+    """The inner product with known coefficients; ``of`` is the length of the whole product it is a part of.
+
+    Written-out coefficients are part of the generated code, which is compiled anew
+    for others; in a wide pass that costs more than it saves.
+    """
+    if max(len(w), of or 0) > UNROLL:
         return dot(x, vector(w))
     out = F.lit(0.0)
     for i, v in enumerate(w):

@@ -72,16 +72,21 @@ def validate(data: NormalizedData, strict_fk: bool = False) -> dict[str, int]:
 
     Raises for duplicate rids, unequal lengths and, if strict, unmatched keys.
     """
-    s = data.s.agg(F.count("*").alias("n"), F.count_if(F.size("xs") != data.d_s).alias("bad")).first()
-    r = data.r.agg(F.count("*").alias("n"), F.count_if(F.size("xr") != data.d_r).alias("bad")).first()
+    s, r = _sizes(data.s, "forkey", "xs", data.d_s), _sizes(data.r, "rid", "xr", data.d_r)
     if s.bad or r.bad:
         raise ValueError(f"vectors of other lengths than {data.d_s} and {data.d_r}: {s.bad} entity, {r.bad} attribute rows")
-    if not data.r.groupBy("rid").count().filter("count > 1").isEmpty():
+    if r.most > 1:
         raise ValueError("attribute keys are not unique")
     if strict_fk and not data.s.join(data.r, data.s["forkey"] == data.r["rid"], "left_anti").isEmpty():
         raise ValueError("entity rows refer to attribute rows that are not there")
-    most = data.s.groupBy("forkey").count().agg(F.max("count")).first()[0]
-    return {"n_s": s.n, "n_r": r.n, "most_s": most or 0}
+    return {"n_s": s.n, "n_r": r.n, "most_s": s.most}
+
+
+def _sizes(rows: DataFrame, key: str, x: str, d: int):
+    """n (rows), bad (vectors not of length d) and most (rows of the most frequent key), in one job."""
+    each = rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.size(x) != d).alias("bad"))
+    sums = [F.coalesce(f(c), F.lit(0)).alias(name) for f, c, name in ((F.sum, "n", "n"), (F.sum, "bad", "bad"), (F.max, "n", "most"))]
+    return each.agg(*sums).first()
 
 
 def parts_by_key(data: NormalizedData, sizes: dict[str, int]) -> int | None:

@@ -49,9 +49,10 @@ def denormalized(data: NormalizedData, key: str = "sid") -> DataFrame:
 
 def _products(parts: Sequence[tuple[str, Sequence[float]]]) -> Column:
     """The product of a row's vectors, taken one by one, with their coefficients."""
-    out = V.dot_literal(F.col(parts[0][0]), parts[0][1])
+    d = sum(len(w) for _, w in parts)
+    out = V.dot_literal(F.col(parts[0][0]), parts[0][1], d)
     for column, w in parts[1:]:
-        out = out + V.dot_literal(F.col(column), w)
+        out = out + V.dot_literal(F.col(column), w, d)
     return out
 
 
@@ -156,14 +157,14 @@ def stream_reuse(data: NormalizedData, w: Sequence[float], k: int) -> DataFrame:
 
 def partial_products(data: NormalizedData, w_r: Sequence[float]) -> DataFrame:
     """rid and the attribute part of the product (pdp)."""
-    return data.r.select("rid", V.dot_literal(F.col("xr"), w_r).alias("pdp"))
+    return data.r.select("rid", V.dot_literal(F.col("xr"), w_r, data.d).alias("pdp"))
 
 
 def scored(data: NormalizedData, w: Sequence[float], partial: DataFrame | None = None) -> DataFrame:
     """sid, rid, xs, wx, l (loss), c (gradient scale) of each entity row, from the partial products."""
     partial = partial_products(data, w[data.d_s :]) if partial is None else partial
     joined = data.s.join(partial, data.s["forkey"] == partial["rid"])
-    wx = F.col("pdp") + V.dot_literal(F.col("xs"), w[: data.d_s])
+    wx = F.col("pdp") + V.dot_literal(F.col("xs"), w[: data.d_s], data.d)
     rows = joined.select("sid", "rid", "label", "xs", wx.alias("wx"))
     return rows.select(
         "sid", "rid", "xs", "wx",
