@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import bytes_of, word_hashes
-from .pretokens import U64, scrambled
+from .pretokens import U64, scrambled, trimmed
 
-ROWS = 1024  # texts handled at once
+ROWS = 256  # texts handled at once
+HELD = 1 << 20  # bigrams counted at once
 
 
 @dataclass(frozen=True)
@@ -106,16 +107,27 @@ def count(docs: DataFrame, words: np.ndarray, spec: LmSpec, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # keys: buckets, then ids behind them
         total = np.zeros(spec.buckets + size, np.int64)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                total[:] += np.bincount(np.concatenate(held), minlength=len(total))
+                held.clear()
+
         for _, hashes, edges in _parts(batches):
             before, after, bucket, _ = _bigrams(hashes, edges, shared.value, spec)
-            total += np.bincount(bucket, minlength=len(total))
+            held.append(bucket)
             single = np.bincount(after, minlength=size)
             single[size - 2] = (before == size - 2).sum()
             total[spec.buckets :] += single
+            if sum(map(len, held)) >= HELD:
+                add()
+        add()
         keys = np.flatnonzero(total)
         for at in range(0, len(keys), 1 << 18):
             part = keys[at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["k", "n"])
+        trimmed()
 
     summed = _texts(docs, text_col).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(spec.buckets + size)
