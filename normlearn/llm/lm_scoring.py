@@ -5,11 +5,12 @@ share one vocabulary, order and smoothing.  A document's score is the mean over
 its words of the target's loss less the background's, in nats: the lower, the
 more the document is like the target.
 
-The vocabulary is the ``words`` most frequent words of the corpus; other words are
-one unknown word.  Bigram counts are summed over all documents in ``buckets``
-counters, found by a hash of both words, so a model has the same size for any
-corpus and can be broadcast.  Counts are summed by Spark with partial sums in
-each task.
+The vocabulary is all words of the corpus, or the ``words`` most frequent ones
+where that is set; other words are one unknown word.  Counts of words and bigrams
+are exact and keyed by 64-bit hashes, so the models grow with the corpus.  No
+process holds a whole model: texts are put together in chunks of bounded size,
+the distinct keys of a chunk go with their counts to the part of the key space
+they lie in, are summed there over all chunks, and the sums go back to the chunk.
 """
 
 from __future__ import annotations
@@ -19,120 +20,235 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .near_dup import bytes_of, word_hashes
 from .pretokens import U64, scrambled, trimmed
 
 ROWS = 256  # texts handled at once
-HELD = 1 << 20  # bigrams counted at once
+CHUNK_BYTES = 1 << 22  # of text, after which a chunk ends; a longer text is one whole
+BEGIN, END, UNKNOWN = U64(1), U64(2), U64(3)  # in place of a word's hash
 
 
 @dataclass(frozen=True)
 class LmSpec:
-    words: int = 50_000
-    buckets: int = 1 << 21
+    words: int | None = None  # of the vocabulary; None: all
+    buckets: int = 1 << 21  # not used: counts have keys
     pull: float = 8.0  # a word's bigrams weigh count / (count + pull) against its unigram
     extra: float = 0.5  # added to each unigram count
 
 
 @dataclass(frozen=True)
-class Counts:
-    """Counts of one model over the shared vocabulary: unknown is 0, then the words, begin and end."""
-
-    unigrams: np.ndarray  # by id; begin counts documents as a context, end as a word
-    bigrams: np.ndarray  # by bucket
-
-    def losses(self, before: np.ndarray, after: np.ndarray, bucket: np.ndarray, spec: LmSpec) -> np.ndarray:
-        """-log p(after | before), interpolated with the unigram."""
-        c = self.unigrams
-        total = c[:-2].sum() + c[-1]  # begin is never predicted
-        single = (c[after] + spec.extra) / (total + spec.extra * (len(c) - 1))
-        context = c[before]
-        pair = np.minimum(self.bigrams[bucket], context)  # a shared counter may hold more
-        share = context / (context + spec.pull)
-        return -np.log(share * pair / np.maximum(context, 1) + (1 - share) * single)
-
-
-def _bigrams(words: np.ndarray, edges: np.ndarray, vocabulary: np.ndarray, spec: LmSpec) -> tuple[np.ndarray, ...]:
-    """(before, after, bucket, text) of all bigrams, begin and end included, in the order of texts."""
-    n, texts = len(vocabulary), len(edges) - 1
-    place = np.searchsorted(vocabulary, words)
-    known = vocabulary[np.minimum(place, n - 1)] == words if n else np.zeros(len(words), bool)
-    ids = np.where(known, place + 1, 0)
-    count = np.diff(edges)
+class Keys:
+    """Distinct words (begin and end included) and bigrams of a chunk."""
+
+    keys: np.ndarray  # sorted; of words odd, of bigrams even
+    often: np.ndarray  # by key
+    place: np.ndarray  # in ``keys``, of the words, then of the bigrams
+    before: np.ndarray  # of each distinct bigram, an index of the words
+    after: np.ndarray
+    bigram: np.ndarray  # of each bigram of the chunk, in the order of texts, an index of the distinct ones
+    text: np.ndarray  # of each bigram of the chunk
+
+
+def _keys(words: np.ndarray, edges: np.ndarray, vocabulary: np.ndarray | None) -> Keys:
+    texts, count = len(edges) - 1, np.diff(edges)
+    if vocabulary is not None:
+        n = len(vocabulary)
+        place = np.searchsorted(vocabulary, words)
+        known = vocabulary[np.minimum(place, n - 1)] == words if n else np.zeros(len(words), bool)
+        words = np.where(known, words, UNKNOWN)
     # each text is begin, its words, end
-    where = np.arange(len(words)) + np.repeat(2 * np.arange(texts) + 1, count)
-    line = np.full(len(words) + 2 * texts, n + 1)
-    line[where] = ids
-    line[np.cumsum(count + 2) - 1] = n + 2
+    line = np.full(len(words) + 2 * texts, BEGIN)
+    line[np.arange(len(words)) + np.repeat(2 * np.arange(texts) + 1, count)] = words
+    last = np.cumsum(count + 2) - 1
+    line[last] = END
+    names, ids, single = np.unique(line, return_inverse=True, return_counts=True)
     pairs = np.ones(len(line), bool)
-    pairs[np.cumsum(count + 2) - 1] = False
+    pairs[last] = False
     at = np.flatnonzero(pairs)
-    before, after = line[at], line[at + 1]
-    bucket = (scrambled(before.astype(U64) * U64(0x9E3779B97F4A7C15) + after.astype(U64)) % U64(spec.buckets)).astype(np.int64)
-    return before, after, bucket, np.repeat(np.arange(texts), count + 1)
+    codes, bigram, double = np.unique(ids[at] * len(names) + ids[at + 1], return_inverse=True, return_counts=True)
+    before, after = codes // len(names), codes % len(names)
+    keys = np.concatenate([scrambled(names) | U64(1), scrambled(scrambled(names[before]) + names[after]) & ~U64(1)])
+    order = np.argsort(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    often = np.concatenate([single, double])[order]
+    return Keys(keys[order], often, place, before, after, bigram, np.repeat(np.arange(texts), count + 1))
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            yield part, *word_hashes(*bytes_of(part.column("text")))
+def _losses(k: Keys, counts: np.ndarray, total: int, types: int, spec: LmSpec) -> np.ndarray:
+    """-log p(after | before) of the distinct bigrams, interpolated with the unigram; ``counts`` is by key."""
+    counts = counts[k.place].astype(float)
+    single, pair = counts[: len(counts) - len(k.before)], counts[len(counts) - len(k.before) :]
+    context = single[k.before]
+    share = context / (context + spec.pull)
+    alone = (single[k.after] + spec.extra) / (total + spec.extra * types)
+    return -np.log(share * pair / np.maximum(context, 1) + (1 - share) * alone)
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<i8").tobytes())
 
 
-def vocabulary(docs: DataFrame, spec: LmSpec, text_col: str = "text") -> np.ndarray:
-    """Sorted hashes of the most frequent words; ties by the hash."""
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<i8")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, _ in _parts(batches):
-            names, often = np.unique(words, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(often)], ["word", "n"])
 
-    counts = _texts(docs, text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(spec.words).toArrow()
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of a column, made from some texts at a time."""
+    words, edges, n = [], [np.zeros(1, np.int64)], 0
+    for at in range(0, len(texts), ROWS):
+        w, e = word_hashes(*bytes_of(texts.slice(at, ROWS)))
+        words.append(w)
+        edges.append(e[1:] + n)
+        n += len(w)
+    return np.concatenate([np.zeros(0, U64), *words]), np.concatenate(edges)
+
+
+def _rows(docs: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
+    doc_id = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+
+def vocabulary(docs: DataFrame, n: int, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of the ``n`` most frequent words; ties by the hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                words, _ = word_hashes(*bytes_of(batch.column("text").slice(at, ROWS)))
+                names, often = np.unique(words, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(often)], ["word", "n"])
+
+    counts = _rows(docs, text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(n).toArrow()
     return np.sort(top.column("word").to_numpy().astype(np.int64).view(U64))
 
 
-def count(docs: DataFrame, words: np.ndarray, spec: LmSpec, text_col: str = "text") -> Counts:
-    """Counts over all rows of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    size = len(words) + 3
+def _chunks(rows: DataFrame) -> DataFrame:
+    """chunk, n_texts, n_words and texts (a compressed stream of doc_id and text), all rows once."""
+
+    def chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(held).combine_chunks()
+        words = len(_hashes(_column(table, "text"))[0])
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([table.num_rows]), pa.array([words]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+            ["n_texts", "n_words", "texts"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # keys: buckets, then ids behind them
-        total = np.zeros(spec.buckets + size, np.int64)
-        held: list[np.ndarray] = []
-
-        def add() -> None:
-            if held:
-                total[:] += np.bincount(np.concatenate(held), minlength=len(total))
-                held.clear()
-
-        for _, hashes, edges in _parts(batches):
-            before, after, bucket, _ = _bigrams(hashes, edges, shared.value, spec)
-            held.append(bucket)
-            single = np.bincount(after, minlength=size)
-            single[size - 2] = (before == size - 2).sum()
-            total[spec.buckets :] += single
-            if sum(map(len, held)) >= HELD:
-                add()
-        add()
-        keys = np.flatnonzero(total)
-        for at in range(0, len(keys), 1 << 18):
-            part = keys[at : at + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["k", "n"])
+        held, size = [], 0
+        for batch in batches:
+            _, offsets = bytes_of(batch.column("text"))
+            a = 0
+            while a < batch.num_rows:
+                # up to the text that fills the chunk
+                b = min(int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES - size)), batch.num_rows)
+                b = max(b, a + 1)
+                held.append(batch.slice(a, b - a))
+                size += int(offsets[b] - offsets[a])
+                a = b
+                if size >= CHUNK_BYTES:
+                    yield chunk(held)
+                    held, size = [], 0
+        if held:
+            yield chunk(held)
         trimmed()
 
-    summed = _texts(docs, text_col).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(spec.buckets + size)
-    total[summed.column("k").to_numpy()] = summed.column("n").to_numpy()
-    return Counts(total[spec.buckets :], total[: spec.buckets].astype(np.float32))
+    made = rows.mapInArrow(run, "n_texts long, n_words long, texts binary")
+    return made.select(F.monotonically_increasing_id().alias("chunk"), "n_texts", "n_words", "texts")
+
+
+def _texts(stream: bytes) -> pa.Table:
+    return pa.ipc.open_stream(stream).read_all().combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name)
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
+def _dealt(chunks: DataFrame, parts: int, target: bool, shared) -> DataFrame:
+    """The keys of each chunk by the part of the key space, with their counts in the chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+                k = _keys(*_hashes(_column(_texts(texts.as_buffer()), "text")), shared.value)
+                part = ((k.keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+                edges = np.searchsorted(part, np.arange(parts + 1))
+                some = np.flatnonzero(np.diff(edges))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(some.astype(np.int32)),
+                        pa.array(np.full(len(some), chunk)),
+                        pa.array(np.full(len(some), target)),
+                        pa.array([k.keys[edges[p] : edges[p + 1]].tobytes() for p in some], pa.binary()),
+                        pa.array([_packed(k.often[edges[p] : edges[p + 1]]) for p in some], pa.binary()),
+                    ],
+                    ["part", "chunk", "target", "keys", "often"],
+                )
+        trimmed()
+
+    return chunks.select("chunk", "texts").mapInArrow(
+        run, "part int, chunk long, target boolean, keys binary, often binary"
+    )
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
+    """Rows with the same value of ``column``, which follow each other."""
+    held: list[dict] = []
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            if held and held[0][column] != row[column]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _summed(dealt: DataFrame, parts: int) -> DataFrame:
+    """For each chunk and part: the counts of its keys over all of the corpus and of the target.
+
+    A row with a null chunk has the number of distinct words of the part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "part"):
+            rows.sort(key=lambda r: r["target"])
+            keys = [np.frombuffer(r["keys"], U64) for r in rows]
+            often = np.concatenate([_unpacked(r["often"]) for r in rows])
+            edges = np.cumsum([0, *map(len, keys)])
+            docs = [k for k, r in enumerate(rows) if not r["target"]]
+            cut = edges[len(docs)]
+            names, at = np.unique(np.concatenate(keys), return_inverse=True)
+            every = np.bincount(at[:cut], often[:cut], len(names)).astype(np.int64)
+            chosen = np.bincount(at[cut:], often[cut:], len(names)).astype(np.int64)
+            of = lambda x, k: _packed(x[at[edges[k] : edges[k + 1]]])  # noqa: E731, B023
+            words = int(((names & U64(1)).astype(bool) & (every > 0)).sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([None, *[rows[k]["chunk"] for k in docs]], pa.int64()),
+                    pa.array(np.full(len(docs) + 1, rows[0]["part"], np.int32)),
+                    pa.array([words, *[0] * len(docs)], pa.int64()),
+                    pa.array([None, *[of(every, k) for k in docs]], pa.binary()),
+                    pa.array([None, *[of(chosen, k) for k in docs]], pa.binary()),
+                ],
+                ["chunk", "part", "n_words", "every", "chosen"],
+            )
+        trimmed()
+
+    rows = dealt.repartition(parts, "part").sortWithinPartitions("part")
+    return rows.mapInArrow(run, "chunk long, part int, n_words long, every binary, chosen binary")
 
 
 def score(
@@ -150,27 +266,41 @@ def score(
     each; an empty target has no counts, so every word costs the same there; an
     empty table gives an empty result; other columns are ignored.
     """
-    words = vocabulary(docs, spec, text_col)
-    models = [count(target, words, spec, target_text), count(docs, words, spec, text_col)]
-    shared = docs.sparkSession.sparkContext.broadcast((words, models))
+    spark = docs.sparkSession
+    names = None if spec.words is None else vocabulary(docs, spec.words, text_col)
+    shared = spark.sparkContext.broadcast(names)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = scratch.written(_chunks(_rows(docs, text_col, id_col)), "lm-chunks")
+    chosen = scratch.written(_chunks(_rows(target, target_text)), "lm-target")
+    dealt = _dealt(chunks, parts, False, shared).unionByName(_dealt(chosen, parts, True, shared))
+    counts = scratch.written(_summed(dealt, parts), "lm-counts")
+    # begin and end are keyed like words; the end is predicted, the begin never
+    distinct = (counts.agg(F.sum("n_words")).first()[0] or 0) - 2
+    types = (distinct if names is None else len(names)) + 2
+
+    totals = [x.agg(F.sum(F.col("n_texts") + F.col("n_words"))).first()[0] or 0 for x in (chosen, chunks)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, (of_target, of_all) = shared.value
-        for part, hashes, edges in _parts(batches):
-            before, after, bucket, text = _bigrams(hashes, edges, names, spec)
-            n = np.diff(edges)
-            mean = [
-                np.bincount(text, m.losses(before, after, bucket, spec), len(n)) / (n + 1) for m in (of_target, of_all)
-            ]
+        for rows in _runs(batches, "chunk"):
+            table = _texts(rows[0]["texts"])
+            words, edges = _hashes(_column(table, "text"))
+            k, n = _keys(words, edges, shared.value), np.diff(edges)
+            mean = []
+            for name, total in zip(("chosen", "every"), totals, strict=True):
+                counts = np.concatenate([_unpacked(r[name]) for r in rows[1:]])
+                loss = _losses(k, counts, total, types, spec)
+                mean.append(np.bincount(k.text, loss[k.bigram], len(n)) / (n + 1))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *map(pa.array, (n, *mean, mean[0] - mean[1]))],
+                [_column(table, "doc_id"), *map(pa.array, (n, *mean, mean[0] - mean[1]))],
                 ["doc_id", "n_words", "target_loss", "background_loss", "score"],
             )
+        trimmed()
 
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    )
-    return source.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    empty = F.lit(None).cast("binary")
+    rows = chunks.select("chunk", F.lit(-1).alias("part"), "texts", empty.alias("every"), empty.alias("chosen"))
+    back = counts.filter("chunk is not null").select("chunk", "part", empty.alias("texts"), "every", "chosen")
+    rows = rows.unionByName(back).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+    return rows.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -93,3 +93,25 @@ def test_edges(shipped, edge_docs, no_docs):
     assert M.score(no_docs, target).collect() == []
     none = M.score(edge_docs, no_docs).collect()
     assert len(none) == len(found) and all(math.isfinite(r.score) for r in none)
+
+
+def test_models_hold_every_word_and_bigram(shipped):
+    """More words and bigrams than a model of fixed size has room for, and each counts by itself."""
+    texts = [" ".join(f"w{(k * 997 + j * j) % 60_000}" for j in range(600)) for k in range(400)]
+    assert len({w for t in texts for w in words_of(t)}) > 50_000
+    target = texts[::40]
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = M.score(docs, shipped.createDataFrame([(t,) for t in target], "text string"))
+    # all words are known: the vocabulary of the plain version is not cut
+    expected = brute(texts, target, M.LmSpec(words=1 << 40))
+    for r in found.collect():
+        n, of_target, of_all = expected[r.doc_id]
+        assert (r.n_words, r.target_loss, r.background_loss) == (n, pytest.approx(of_target), pytest.approx(of_all))
+
+
+def test_chunks_do_not_change_the_losses(shipped, documents, monkeypatch):
+    target = documents.limit(5)
+    rows = lambda: sorted((r.doc_id, r.n_words, round(r.score, 9)) for r in M.score(documents, target).collect())
+    whole = rows()
+    monkeypatch.setattr(M, "CHUNK_BYTES", 5000)
+    assert rows() == whole
