@@ -5,9 +5,12 @@ of minwise tokens.  A tree starts with all classes in one node; a node picks pla
 of the signature by a hash of its own path, three for each of its picks, and its
 members go to the children named by their three tokens.  Nodes with few members
 are compared exhaustively, larger ones branch again, and independent trees repeat
-this to reach the target recall: a pair of similarity 0.85 meets in a child with
-probability 0.61 a pick, so the root's three picks in six trees miss it with a
-probability below 1e-7; in a node that had to branch twice, below 1e-4.
+this to reach the target recall.  A pair at the threshold meets in a child with
+probability percent^tokens a pick (0.61 at 0.85, 0.51 at 0.80).  A node that shrinks
+faster than that holds mostly pairs below the threshold and has ``wide`` picks, so
+that such a pair has 1.5 children in common or more at every level: it is missed by
+all six trees with a probability below 1e-6 at 0.85 and of about 1e-4 at 0.80 at
+any depth.  Nodes that shrink slower hold mostly links, and have fewer picks.
 
 What is compared: first signatures, to drop pairs far from similar (6 standard
 deviations below the threshold), then the full sets, exactly.  Nodes that do not
@@ -19,6 +22,7 @@ leave it, never all its pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,12 +46,22 @@ class JoinSpec:
     words: int = 5
     percent: int = 85
     trees: int = 6
-    picks: tuple[int, ...] = (3, 2, 1)  # of a node by its level, the last for all below
+    picks: tuple[int, ...] = (3, 2, 1)  # of a node by its level, the last for all below; see ``wide``
     tokens: int = 3  # of a pick
     small: int = 1000  # members of a node that is compared exhaustively
     depth: int = 10
     seed: int = 11
 
+    @property
+    def wide(self) -> int:
+        """Picks of a node that shrinks as texts below the threshold do: 1.5 common children of a pair at it."""
+        return math.ceil(1.5 / self.met)
+
+    @property
+    def met(self) -> float:
+        """Probability that a pick takes both texts of a pair at the threshold to one child."""
+        return (self.percent / 100) ** self.tokens
+
     @property
     def least_matches(self) -> int:
         """Equal places of two signatures below which a pair is no candidate."""
@@ -181,6 +195,7 @@ def _children(nodes: np.ndarray, tokens: np.ndarray, picks: int, together: int)
 def _branched(members: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
     """Members of the next level's nodes.  At the root: cid, signature; deeper: node, parent_size, cid, signature."""
     picks = spec.picks[min(level, len(spec.picks) - 1)]
+    most = max(picks, spec.wide)
     roots = scrambled(np.arange(spec.trees, dtype=U64) + U64(spec.seed << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +204,15 @@ def _branched(members: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
             if not level:
                 cid = batch.column("cid").to_numpy()
                 for root in roots:
-                    rows, names = _children(np.full(len(cid), root), tokens, picks, spec.tokens)
+                    rows, names = _children(np.full(len(cid), root), tokens, most, spec.tokens)
                     yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(cid[rows])], ["node", "cid"])
             else:
-                rows, names = _children(batch.column("node").to_numpy().view(U64), tokens, picks, spec.tokens)
+                wide = batch.column("wide").to_numpy(zero_copy_only=False)
+                nodes, found = batch.column("node").to_numpy().view(U64), []
+                for some, number in ((np.flatnonzero(wide), most), (np.flatnonzero(~wide), picks)):
+                    rows, names = _children(nodes[some], tokens[some], number, spec.tokens)
+                    found.append((some[rows], names))
+                rows, names = (np.concatenate(x) for x in zip(*found, strict=True))
                 rest = batch.select(["n", "cid", "signature"]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names.view(np.int64)), *rest.columns], ["node", "parent_size", "cid", "signature"]
@@ -200,7 +220,7 @@ def _branched(members: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
 
     if not level:
         return members.select("cid", "signature").mapInArrow(run, "node long, cid long")
-    source = members.select("node", "n", "cid", "signature")
+    source = members.select("node", "n", "wide", "cid", "signature")
     return source.mapInArrow(run, "node long, parent_size long, cid long, signature binary")
 
 
@@ -357,7 +377,9 @@ def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, li
         if level > 1:
             stuck = stuck | (F.lit(level > 3) & (F.col("n") > 0.9 * F.col("parent_size")))
             large.append(rest.filter(stuck).select("node", "n", "cid"))
-        members = rest.filter(~stuck).select("node", "n", "cid", "signature")
+        # of the first nodes nothing is known, as their parents hold all texts
+        wide = F.col("n") < spec.met * F.col("parent_size") if level > 1 else F.lit(True)
+        members = rest.filter(~stuck).select("node", "n", wide.alias("wide"), "cid", "signature")
         if members.isEmpty():
             break
     lists = small[0]

@@ -78,6 +78,23 @@ def test_a_large_group_of_near_copies(shipped, spec):
     check(shipped.createDataFrame(rows, "doc_id long, text string"), spec)
 
 
+def test_isolated_pairs_in_a_large_group_of_unlike_texts(shipped):
+    """Pages of one template (similarity 0.70), some of them in pairs just above the threshold, at nodes of many levels."""
+    template = [f"t{k}" for k in range(160)]
+    rows = []
+    for k in range(500):
+        own = [f"p{k}x{j}" for j in range(34)]
+        rows.append((k, " ".join(template + own)))
+        if k < 100:
+            rows.append((1000 + k, " ".join(template + own[:14] + [f"q{k}x{j}" for j in range(20)])))
+    spec = N.JoinSpec(percent=80, small=4)
+    found = N.near_duplicates(shipped.createDataFrame(rows, "doc_id long, text string"), spec).collect()
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.80 < len(a & b) / len(a | b) < 0.82
+    missed = [r.doc_id for r in found if r.component_id != r.doc_id % 1000]
+    assert missed == []
+
+
 def test_threshold_is_exact(shipped):
     """17 of 20 shingles in common is a link, one less is not."""
     base = [f"a{k}" for k in range(22)]
