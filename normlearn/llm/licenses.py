@@ -1,14 +1,19 @@
 """Licence notices in documents, by a trained paragraph classifier.
 
-A paragraph is a line.  Its words and pairs of words are features of a sparse
-multinomial logistic regression whose classes are licence families and unknown.
+A paragraph is a line, or up to SPAN adjacent lines that are not blank, as notices
+are wrapped; comment marks are no words.  Of a line before or after a break only
+the REACH words next to it count.  A paragraph of several lines is a notice where
+it is confirmed and no shorter run of its lines is, for the same family; of such
+paragraphs that share a line the first counts.  Words and pairs of words are
+features of a sparse multinomial logistic regression whose classes are licence
+families and unknown.
 The model is trained here, from the notices below with words dropped, added and
 cut off, and from ordinary lines; a temperature fitted on lines kept apart
 calibrates its probabilities.  A family predicted with at least ``least``
 probability is confirmed where the line holds most words of one of its notices.
 
-Every feature holds an anchor word, so a line without one has no feature and its
-class is unknown: such lines are never scored.  Scoring is one projection of
+Every feature holds an anchor word, so a paragraph without one has no feature and its
+class is unknown: such paragraphs are never scored.  Scoring is one projection of
 DataFrame functions, without a shuffle.
 """
 
@@ -101,6 +106,8 @@ ORDINARY = (
     "rights and duties of all members",
 )
 
+SPAN = 4  # lines of a wrapped notice
+REACH = 40  # words; twice those of the longest notice
 WORD = r"[a-z0-9][a-z0-9+-]*"
 
 
@@ -185,9 +192,16 @@ def _doubles(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _line_classes(line: Column, model: LicenseModel, least: float) -> Column:
-    """struct(family, probability, confirmed) of a line; family is unknown below ``least``."""
-    words = F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"))
+def _words(line: Column) -> Column:
+    return F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"))
+
+
+def _enough(notice: Column, words: Column) -> Column:
+    return F.size(F.array_intersect(notice, words)) >= 0.75 * F.size(notice)
+
+
+def _classes(words: Column, model: LicenseModel, least: float) -> Column:
+    """struct(family, probability, confirmed) of a paragraph; family is unknown below ``least``."""
     anchors = F.array(*map(F.lit, ANCHORS))
     table = F.create_map(*[c for f in sorted(model.weights) for c in (F.lit(f), _doubles(model.weights[f]))])
     notices = F.create_map(
@@ -213,20 +227,61 @@ def _line_classes(line: Column, model: LicenseModel, least: float) -> Column:
         p = F.lit(1.0) / total
         name = F.element_at(F.array(*map(F.lit, model.classes)), F.array_position(z, top).cast("int"))
         family = F.when(p >= least, name).otherwise(F.lit(UNKNOWN))
-        enough = lambda n: F.size(F.array_intersect(n, w)) >= 0.75 * F.size(n)
-        sure = F.coalesce(F.exists(F.try_element_at(notices, family), enough), F.lit(False))
+        sure = F.coalesce(F.exists(F.try_element_at(notices, family), lambda n: _enough(n, w)), F.lit(False))
         return F.struct(family.alias("family"), p.alias("probability"), sure.alias("confirmed"))
 
     return F.transform(F.array(words), classified)[0]
 
 
+def _wrapped(every: Column, lines: Column, model: LicenseModel, least: float) -> Column:
+    """Confirmed notices over two lines or more: line, last, family, probability.
+
+    ``every`` has the words of all lines, ``lines`` those with an anchor.
+    """
+    notices = F.array(
+        *[F.array(*map(F.lit, sorted(set(words_of(n))))) for name in model.classes[1:] for n in NOTICES[name]]
+    )
+
+    def cut(first: Column, n: Column) -> Column:
+        """The words of ``n`` lines, of the outer ones those next to the others."""
+        inner = F.slice(every, first + 2, F.greatest(n - 2, F.lit(0)))
+        head, tail = F.element_at(every, first + 1), F.element_at(every, first + n)
+        head = F.slice(head, F.greatest(F.size(head) - (REACH - 1), F.lit(1)), F.lit(REACH))
+        whole = F.concat(head, F.flatten(inner), F.slice(tail, F.lit(1), F.lit(REACH)))
+        blank = F.exists(F.slice(every, first + 1, n), lambda w: F.size(w) == 0)
+        long = F.exists(inner, lambda w: F.size(w) > REACH)
+        return F.when(blank | long, F.array().cast("array<string>")).otherwise(whole)
+
+    # what all lines around do not hold, no window of them does
+    around = lambda x: F.flatten(
+        F.slice(every, F.greatest(x["line"] - (SPAN - 2), F.lit(1)), F.lit(2 * SPAN - 1))
+    )
+    near = F.filter(lines, lambda x: F.exists(notices, lambda n: _enough(n, around(x))))
+    offsets = F.array(*[F.struct(F.lit(b).alias("back"), F.lit(n).alias("n")) for n in range(2, SPAN + 1) for b in range(n)])
+    windows = F.transform(
+        near, lambda x: F.transform(offsets, lambda o: F.struct((x["line"] - o["back"]).alias("line"), o["n"].alias("n")))
+    )
+    windows = F.filter(
+        F.array_distinct(F.flatten(windows)), lambda x: (x["line"] >= 0) & (x["line"] + x["n"] <= F.size(every))
+    )
+    worded = F.transform(windows, lambda x: F.struct(x["line"], x["n"], cut(x["line"], x["n"]).alias("words")))
+    worded = F.filter(worded, lambda x: F.exists(notices, lambda n: _enough(n, x["words"])))
+    found = F.transform(
+        worded,
+        lambda x: F.struct(x["line"].alias("line"), (x["line"] + x["n"] - 1).alias("last"), _classes(x["words"], model, least).alias("c")),
+    )
+    found = F.filter(found, lambda x: (x["c"]["family"] != UNKNOWN) & x["c"]["confirmed"])
+    return F.transform(found, lambda x: F.struct(x["line"], x["last"], x["c"]["family"].alias("family"), x["c"]["probability"].alias("probability")))
+
+
 def licenses(
     docs: DataFrame, model: LicenseModel | None = None, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_notices, families, probability, n_confirmed, notices.
 
-    ``notices`` has line (from 0), family, probability and confirmed for each line
-    that the model gives to a family; ``families`` the confirmed ones, sorted and
+    ``notices`` has line (the first, from 0), family, probability and confirmed for
+    each line that the model gives to a family, and for each confirmed notice that
+    is wrapped over lines; ``families`` the confirmed ones, sorted and
     joined by commas; ``probability`` is the largest of a confirmed notice, else 0.
     Null, empty and other texts without a notice have empty lists.  Null ids stay
     null, repeated rows are scanned each, an empty table gives an empty result, and
@@ -238,17 +293,48 @@ def licenses(
     anchor = r"(?<![a-z0-9+-])(" + "|".join(sorted(map(re.escape, ANCHORS), key=len, reverse=True)) + r")(?![a-z0-9+-])"
     lines = F.transform(F.split(text, "\n"), lambda x, k: F.struct(k.alias("line"), x.alias("text")))
     lines = F.filter(lines, lambda x: F.lower(x["text"]).rlike(anchor))
+    has = F.lower(text).rlike("|".join(sorted(map(re.escape, ANCHORS))))
+    no_lines = F.array().cast("array<struct<line:int,text:string>>")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text.alias("__text"), F.when(has, lines).otherwise(no_lines).alias("__lines")
+    )
+    some = F.size("__lines") > 0
     found = F.transform(
-        lines, lambda x: F.struct(x["line"].alias("line"), _line_classes(x["text"], model, least).alias("c"))
+        "__lines", lambda x: F.struct(x["line"].alias("line"), _classes(_words(x["text"]), model, least).alias("c"))
     )
     found = F.filter(found, lambda x: x["c"]["family"] != UNKNOWN)
+    kind = "array<struct<line:int,family:string,probability:double,confirmed:boolean>>"
+    wide = "array<struct<line:int,last:int,family:string,probability:double>>"
     flat = F.transform(
         found,
         lambda x: F.struct(x["line"], x["c"]["family"], x["c"]["probability"], x["c"]["confirmed"]),
-    ).cast("array<struct<line:int,family:string,probability:double,confirmed:boolean>>")
-    nothing = F.array().cast("array<struct<line:int,family:string,probability:double,confirmed:boolean>>")
-    has = F.lower(text).rlike("|".join(sorted(map(re.escape, ANCHORS))))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(has, flat).otherwise(nothing).alias("notices"))
+    ).cast(kind)
+    every = F.transform(F.split("__text", "\n"), _words)
+    # bound once, not once for each use
+    more = F.flatten(F.transform(F.array(every), lambda w: _wrapped(w, F.col("__lines"), model, least)))
+    rows = rows.select(
+        "doc_id",
+        F.when(some, flat).otherwise(F.array().cast(kind)).alias("__single"),
+        F.when(some, more.cast(wide)).otherwise(F.array().cast(wide)).alias("__more"),
+    )
+
+    def shorter(x: Column) -> Column:
+        inside = lambda y: (y["line"] >= x["line"]) & (y["family"] == x["family"])
+        one = F.exists("__single", lambda y: y["confirmed"] & inside(y) & (y["line"] <= x["last"]))
+        less = lambda y: inside(y) & (y["last"] <= x["last"]) & (y["last"] - y["line"] < x["last"] - x["line"])
+        return one | F.exists("__more", less)
+
+    def first(held: Column, x: Column) -> Column:
+        """``held``, and ``x`` if it shares no line with those of its family."""
+        meets = F.exists(held, lambda y: (y["family"] == x["family"]) & (y["last"] >= x["line"]))
+        return F.when(meets, held).otherwise(F.concat(held, F.array(x)))
+
+    spans = F.array_sort(F.filter("__more", lambda x: ~shorter(x)))
+    spans = F.aggregate(spans, F.array().cast(wide), first)
+    wrapped = F.transform(
+        spans, lambda x: F.struct(x["line"], x["family"], x["probability"], F.lit(True))
+    ).cast(kind)
+    rows = rows.select("doc_id", F.array_sort(F.concat("__single", wrapped)).alias("notices"))
     sure = F.filter("notices", lambda x: x["confirmed"])
     return rows.select(
         "doc_id",

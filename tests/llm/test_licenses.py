@@ -83,3 +83,25 @@ def test_lines_without_an_anchor_are_unknown(model):
 def test_plan_has_no_python(edge_docs, model):
     plan = L.licenses(edge_docs, model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_wrapped_notices_are_found_once(shipped, model):
+    header = [
+        "This program is free software: you can redistribute it and/or modify",
+        "it under the terms of the GNU General Public License as published by",
+        "the Free Software Foundation, either version 3 of the License, or",
+    ]
+    long = " ".join(["filler"] * 500)
+    texts = {
+        "\n".join(["some code", *header]): "gpl",
+        "\n".join(["/*", *[f" * {x}" for x in header], " */"]): "gpl",
+        f"{long} {header[0]}\n{header[1]} {long}": "gpl",
+        f"{header[0]}\n\n{header[1]}": "",
+        "a first line\nLicensed under the Apache\nLicense, Version 2.0\nand a last": "apache-2.0",
+        "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of\nthis software": "mit",
+        "all of us went\nhome, rights and tables\nwere not reserved": "",
+    }
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in L.licenses(docs, model).collect()}
+    assert [found[k].families for k in range(len(texts))] == list(texts.values())
+    assert all(found[k].n_confirmed == (1 if family else 0) for k, family in enumerate(texts.values()))
