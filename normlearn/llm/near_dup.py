@@ -414,6 +414,11 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
     a component_id unless the whole component has none, and such rows are not kept.
     An empty table gives an empty result; other columns are ignored.
     """
+    return _named(docs, spec, id_col, text_col).drop("c")
+
+
+def _named(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates``, and c, which names the component also where components share a smallest doc_id."""
     rows = scratch.written(shingle_rows(docs, spec, id_col, text_col), "shingle-rows")
     classes = (
         rows.filter("key is not null")
@@ -436,7 +441,7 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
     label = classes.select("cid", "key", "rep").join(found.withColumnRenamed("u", "cid"), "cid", "left")
     label = label.select("key", "rep", F.coalesce("v", "cid").alias("c"))
     least = scratch.written(label.groupBy("c").agg(F.min("rep").alias("component_id")), "component-ids")
-    named = label.join(least, "c").select("key", "component_id")
+    named = label.join(least, "c").select("key", "component_id", "c")
     out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -445,16 +450,42 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
         own.alias("component_id"),
         F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"),
         F.col("key").alias("class_key"),
+        "c",
     )
 
 
 def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id names their component; rows without shingles or id all stay."""
-    found = near_duplicates(docs, spec, id_col, text_col)
-    gone = scratch.written(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    """The rows of ``docs``, all columns, whose doc_id names their component; rows without shingles or id all stay.
+
+    Where rows with one id have several texts, each goes or stays by its own set of
+    shingles; of several sets with the id that names their component one stays.
+    """
+    found = _named(docs, spec, id_col, text_col).filter("doc_id is not null")
+    key = F.col("class_key")
+    marks = found.groupBy("doc_id", "c").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.min(F.when(F.col("kept"), key)).alias("stay"))
+    marks = scratch.written(marks, "marks")
+    goes = F.col("low").isNotNull() & (F.col("stay").isNull() | (F.col("low") != F.col("stay")) | (F.col("high") != F.col("stay")))
+    stays = F.col("low").isNull() | F.col("stay").isNotNull()
+    ids = marks.groupBy("doc_id").agg(F.max(goes).alias("goes"), F.max(stays).alias("some"))
+    gone = scratch.written(ids.filter("goes").select(F.col("doc_id").alias("gone"), "some"), "gone")
     # the caller's columns in one struct, so that their names clash with none
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return rows.join(gone, F.col("row")[id_col].cast("long") == F.col("gone"), "left_anti").select("row.*")
+    same = F.col("row")[id_col].cast("long") == F.col("gone")
+    whole = rows.join(gone, same, "left_anti")
+    # ids of which some rows stay and some go: these rows' own sets decide
+    text = F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")
+    mixed = rows.join(gone.filter("some"), same).select("row", "gone", text.alias("text"), F.lit(None).cast("binary").alias("key"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_key(m) for _, _, _, sets in _sets(batch, spec.words) for m in sets]
+            yield batch.set_column(3, "key", pa.array(keys, pa.binary()))
+
+    kept = marks.filter("stay is not null").select(F.col("doc_id").alias("own"), "stay").distinct()
+    mixed = mixed.mapInArrow(keyed, mixed.schema)
+    mixed = mixed.join(kept, (F.col("gone") == F.col("own")) & (F.col("key") == F.col("stay")), "left")
+    mixed = mixed.filter("key is null or stay is not null")
+    return whole.select("row.*").unionByName(mixed.select("row.*"))
 
 
 def op8_near_dup(spark, sf_dir: str) -> DataFrame:

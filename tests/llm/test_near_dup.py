@@ -132,6 +132,19 @@ def test_keep_one(shipped, edge_docs):
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([1, 3, 4, 5, 6, 8, 8, 8, None, None, 9, 10, 11, -5], key=str)
 
 
+def test_keep_one_where_ids_repeat(shipped):
+    """Exactly the rows marked kept stay, and one of two near copies with the same id."""
+    base = [f"a{k}" for k in range(60)]
+    near, other = " ".join([*base[:-1], "z"]), " ".join(f"b{k}" for k in range(30))
+    twice, nearly = " ".join(f"c{k}" for k in range(60)), " ".join([*(f"c{k}" for k in range(59)), "y"])
+    rows = [(1, " ".join(base)), (2, near), (2, other), (2, ""), (3, twice), (3, nearly), (4, twice), (5, near)]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in N.keep_one(docs).collect()]
+    threes = [k for k in kept if k[0] == 3]
+    assert len(threes) == 1 and threes[0] in rows
+    assert sorted(k for k in kept if k[0] != 3) == sorted([rows[0], rows[2], rows[3]])
+
+
 def test_components_of_chains_stars_and_nothing(shipped):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (300, 200), (200, 300)]
     found = {r.u: r.v for r in components(shipped.createDataFrame(edges, "u long, v long")).collect()}
