@@ -128,16 +128,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     """``fit`` on the sample of ``labels`` (doc_id, quality) that may be learned."""
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(F.col("__id").isNotNull() & ~held_out(F.col("__id")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text")).filter(F.octet_length("__text") <= SAMPLE_BYTES)
+    # the sample is drawn from rows that can be learned, so that a longer text gives its place to the next row
+    known = known.join(texts.select("__id"), "__id", "left_semi")
     order = F.xxhash64("__id")
     picked = [
         known.filter(F.col("quality") == q).select("__id", "quality").orderBy(order, "__id").limit(sample_rows)
         for q in (1, 0)
     ]
-    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = (
-        docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text"))
-        .filter(F.octet_length("__text") <= SAMPLE_BYTES)
-        .join(picked[0].unionByName(picked[1]), "__id")
+        texts.join(picked[0].unionByName(picked[1]), "__id")
         .select("__id", "quality", F.col("__text").cast("binary").alias("__text"))
         .collect()
     )
@@ -174,7 +175,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier does not reject."""
+    """The rows of ``docs``, all columns, that the classifier does not reject; all of them where it could not be fitted."""
+    if not model.weights:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

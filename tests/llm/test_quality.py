@@ -63,3 +63,16 @@ def test_without_labels_every_score_is_the_prior(shipped, edge_docs):
     none = shipped.createDataFrame([(None, 1), (1, None), (1, 1), (1, 1)], "doc_id long, quality int")
     model = Q.learn(edge_docs, none)
     assert not model.weights and all(r.score == model.prior for r in Q.score(edge_docs, model).collect())
+
+
+def test_without_a_model_everything_is_kept(edge_docs):
+    """Also where good labels are the rarer ones, so that the prior is below a half."""
+    assert Q.keep_good(edge_docs, Q.fit([b"good"], [b"bad"] * 5)).count() == edge_docs.count()
+
+
+def test_long_texts_leave_their_places_in_the_sample(shipped):
+    rows = [(k, f"text {k} " * (9000 if k % 2 else 3), k // 2 % 2) for k in range(160)]
+    table = lambda some: shipped.createDataFrame(some, "doc_id long, text string, quality int")
+    whole, short = table(rows), table(rows[::2])
+    learned = Q.learn(whole, whole.select("doc_id", "quality"), 12)
+    assert learned.prior == 0.5 and learned == Q.learn(short, short.select("doc_id", "quality"), 12)
