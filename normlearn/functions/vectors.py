@@ -114,8 +114,9 @@ def sparse_axpy(x: Column, index: Column, values: Column, c) -> Column:
     return F.transform(x, lambda e, i: e + F.lit(c) * at(i))
 
 
-def _soft(v: Column, u: float) -> Column:
-    return F.when(v > u, v - F.lit(u)).when(v < -u, v + F.lit(u)).otherwise(F.lit(0.0))
+def _soft(v: Column, u: float | Column) -> Column:
+    u = u if isinstance(u, Column) else F.lit(float(u))
+    return F.when(v > u, v - u).when(v < -u, v + u).otherwise(F.lit(0.0))
 
 
 def l1_shrink(x: Column, u: float) -> Column:
@@ -124,8 +125,13 @@ def l1_shrink(x: Column, u: float) -> Column:
 
 
 def l1_shrink_at(x: Column, u: float, index: Column) -> Column:
-    """Soft threshold of the listed elements."""
-    return F.transform(x, lambda v, i: F.when(F.array_contains(index, i), _soft(v, u)).otherwise(v))
+    """Soft threshold of the listed elements, as often as each is listed: thresholds one after the other add up."""
+
+    def shrunk(v: Column, i: Column) -> Column:
+        times = F.size(F.filter(index, lambda k: k == i))
+        return F.when(times > 0, _soft(v, times * F.lit(float(u)))).otherwise(v)
+
+    return F.transform(x, shrunk)
 
 
 def l2_shrink(x: Column, u: float) -> Column:

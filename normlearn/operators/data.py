@@ -35,16 +35,32 @@ class NormalizedData:
     r: DataFrame
     d_s: int
     d_r: int
+    dealt: int | None = None  # into how many parts both tables are dealt by key and sorted, if they are
 
     @property
     def d(self) -> int:
         return self.d_s + self.d_r
 
     def cached(self, parts: int | None = None) -> NormalizedData:
-        """Both tables kept for many passes; with ``parts``, dealt out by the key once, so that passes shuffle neither."""
+        """Both tables kept for many passes; with ``parts``, dealt out by the key once, so that passes shuffle neither.
+
+        Entity rows read from fewer files than there are cores are dealt to all cores.
+        """
         s, r = (self.s.repartition(parts, "forkey"), self.r.repartition(parts, "rid")) if parts else (self.s, self.r)
+        cores = s.sparkSession.sparkContext.defaultParallelism
+        if not parts and s.rdd.getNumPartitions() < cores:
+            s = s.repartition(cores)
         return NormalizedData(s.persist(), r.persist(), self.d_s, self.d_r)
 
+    def split(self, k: int) -> NormalizedData:
+        """Both tables in k parts by the hash of the key, sorted by it: joins need neither a shuffle nor a sort."""
+        s = self.s.repartition(k, "forkey").sortWithinPartitions("forkey")
+        return NormalizedData(s, self.r.repartition(k, "rid").sortWithinPartitions("rid"), self.d_s, self.d_r, k)
+
+    def kept(self) -> NormalizedData:
+        """Both tables as they are, kept for many passes."""
+        return NormalizedData(self.s.persist(), self.r.persist(), self.d_s, self.d_r, self.dealt)
+
     def release(self) -> None:
         self.s.unpersist()
         self.r.unpersist()

@@ -97,7 +97,10 @@ def _two_loops(pairs: list[tuple[np.ndarray, np.ndarray]], g: np.ndarray, compat
 
 
 def minimize(objective: Objective, w: np.ndarray, spec: TrainSpec) -> FitResult:
-    """Runs ``spec.algo`` from w.  The line search's step, enlarged by ``spec.grow``, is used and (but for L-BFGS) kept."""
+    """Runs ``spec.algo`` from w.  The line search's step, enlarged by ``spec.grow``, is used.
+
+    The next search starts from it, and the first one from ``spec.stepsize``; those of L-BFGS all start from 1.
+    """
     out = FitResult(w)
     step, before, pairs = spec.stepsize, None, []
     for k in range(spec.iters):
@@ -121,7 +124,7 @@ def minimize(objective: Objective, w: np.ndarray, spec: TrainSpec) -> FitResult:
             p = _two_loops(pairs, g, spec.algo == "lbfgs_compat")
         quasi = spec.algo.startswith("lbfgs")
         try:
-            alpha, trials = line_search(objective, 1.0 if quasi and k else step, loss, float(g @ p), w, p, spec.max_trials)
+            alpha, trials = line_search(objective, 1.0 if quasi else step, loss, float(g @ p), w, p, spec.max_trials)
         except SearchFailed:
             out.status = "line search failed"
             break
@@ -136,7 +139,10 @@ def minimize(objective: Objective, w: np.ndarray, spec: TrainSpec) -> FitResult:
 def fit(data: NormalizedData, spec: TrainSpec = TrainSpec(), table: DataFrame | None = None, check: bool = True) -> FitResult:
     """Trains over ``data``; approaches m and t over its join, which ``table`` may give."""
     counts = validate(data, spec.strict_fk) if check or spec.approach == "auto" else {}
-    data = data.cached(parts_by_key(data, counts) if counts and spec.approach in ("s", "f", "fsql", "auto") else None)
+    if spec.approach == "sr":
+        data = data.split(spec.srsplits).kept()
+    else:
+        data = data.cached(parts_by_key(data, counts) if counts and spec.approach in ("s", "f", "fsql", "auto") else None)
     approach, joined = spec.approach, None
     try:
         if approach == "auto":

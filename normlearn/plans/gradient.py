@@ -138,20 +138,17 @@ def stream(data: NormalizedData, w: Sequence[float]) -> DataFrame:
     return _gradient(_scaled(joined, parts), parts)
 
 
-def split(data: NormalizedData, k: int) -> tuple[DataFrame, DataFrame]:
-    """Both tables with the hash partition (``part``) of their key; equal keys are in equal partitions."""
-    return (
-        data.s.withColumn("part", F.pmod(F.xxhash64("forkey"), F.lit(k))),
-        data.r.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(k))),
-    )
-
-
 def stream_reuse(data: NormalizedData, w: Sequence[float], k: int) -> DataFrame:
-    """The sum over k hash partitions, each joined by itself."""
-    s, r = split(data, k)
-    joined = s.join(r, (s["part"] == r["part"]) & (s["forkey"] == r["rid"]))
+    """The sum over k hash partitions of the key, each joined by itself.
+
+    Tables that are split already (``NormalizedData.split``, kept for the passes of
+    a training run) are used as they are; others are split in this pass.
+    """
+    if data.dealt != k:
+        data = data.split(k)
+    joined = data.s.join(data.r.hint("merge"), data.s["forkey"] == data.r["rid"])
     parts = _sides(data, w)
-    each = _gradient(_scaled(joined.select(s["part"], "label", "xs", "xr"), parts, ["part"]), parts, "part")
+    each = _gradient(_scaled(joined.select(F.spark_partition_id().alias("part"), "label", "xs", "xr"), parts, ["part"]), parts, "part")
     return each.agg(_sum(F.col("loss")).alias("loss"), *[_sum(F.col(g)).alias(g) for g in names(len(w))])
 
 
@@ -173,15 +170,30 @@ def scored(data: NormalizedData, w: Sequence[float], partial: DataFrame | None =
 
 
 def per_key(data: NormalizedData, w: Sequence[float], partial: DataFrame | None = None) -> DataFrame:
-    """For each key with entity rows: loss, sg (sum of scales), g0.. (entity part of the gradient)."""
-    return scored(data, w, partial).groupBy("rid").agg(
-        F.sum("l").alias("loss"), F.sum("c").alias("sg"), *_sums(data.d_s, "xs")
-    )
+    """For each key with entity rows: loss, sg (sum of scales), and gs, the entity part of the gradient.
+
+    Short gradients are columns g0, g1, ... in place of the vector gs.
+    """
+    plain = [F.sum("l").alias("loss"), F.sum("c").alias("sg")]
+    rows = scored(data, w, partial)
+    if data.d_s <= V.UNROLL:
+        return rows.groupBy("rid").agg(*plain, *_sums(data.d_s, "xs"))
+    whole = vector_to_array(Summarizer.sum(array_to_vector(_times("xs", F.col("c")))))
+    return rows.groupBy("rid").agg(*plain, whole.alias("gs"))
+
+
+def _entity_side(d_s: int) -> tuple[list[Column], list[Part]]:
+    """What of ``per_key`` gives the loss and the entity part of the gradient: plain sums, and vectors to sum."""
+    loss = _sum(F.col("loss")).alias("loss")
+    if d_s <= V.UNROLL:
+        return [loss, *[_sum(F.col(g)).alias(g) for g in names(d_s)]], []
+    return [loss], [("gs", "one", d_s, 0)]
 
 
 def entity_sums(keys: DataFrame, d_s: int) -> DataFrame:
     """The entity side's totals of ``per_key``: loss and its part of the gradient."""
-    return keys.agg(_sum(F.col("loss")).alias("loss"), *[_sum(F.col(g)).alias(g) for g in names(d_s)])
+    plain, parts = _entity_side(d_s)
+    return _totals(keys.withColumn("one", F.lit(1.0)), plain, parts)
 
 
 def attribute_sums(keys: DataFrame, data: NormalizedData) -> DataFrame:
@@ -192,21 +204,27 @@ def attribute_sums(keys: DataFrame, data: NormalizedData) -> DataFrame:
 
 def factorized(data: NormalizedData, w: Sequence[float]) -> DataFrame:
     """Both sides' sums from one pass over the sums per key."""
-    joined = per_key(data, w).join(data.r, "rid").drop("rid")
-    plain = [_sum(F.col(c)).alias(c) for c in ("loss", *names(data.d_s))]
-    return _totals(joined, plain, [("xr", "sg", data.d_r, data.d_s)])
+    joined = per_key(data, w).join(data.r, "rid").drop("rid").withColumn("one", F.lit(1.0))
+    plain, parts = _entity_side(data.d_s)
+    return _totals(joined, plain, [*parts, ("xr", "sg", data.d_r, data.d_s)])
 
 
 def hs_plus(data: NormalizedData, w: Sequence[float]) -> DataFrame:
     """rid and lg = [loss, sum of scales, entity part of the gradient]."""
     keys = per_key(data, w)
-    return keys.select("rid", F.array("loss", "sg", *names(data.d_s)).alias("lg"))
+    head = ["loss", "sg", *(names(data.d_s) if data.d_s <= V.UNROLL else [])]
+    lg = F.array(*head) if data.d_s <= V.UNROLL else F.concat(F.array(*head), "gs")
+    return keys.select("rid", lg.alias("lg"))
 
 
 def fsql(data: NormalizedData, w: Sequence[float]) -> DataFrame:
-    joined = hs_plus(data, w).join(data.r, "rid").select("lg", F.get("lg", 1).alias("sg"), "xr")
-    plain = [_sum(F.get("lg", 0)).alias("loss"), *[_sum(F.get("lg", 2 + i)).alias(f"g{i}") for i in range(data.d_s)]]
-    return _totals(joined, plain, [("xr", "sg", data.d_r, data.d_s)])
+    joined = hs_plus(data, w).join(data.r, "rid")
+    of_lg = [F.get("lg", 2 + i).alias(g) for i, g in enumerate(names(data.d_s))]
+    if data.d_s > V.UNROLL:
+        of_lg = [F.slice("lg", 3, data.d_s).alias("gs")]
+    rows = joined.select(F.get("lg", 0).alias("loss"), F.get("lg", 1).alias("sg"), F.lit(1.0).alias("one"), "xr", *of_lg)
+    plain, parts = _entity_side(data.d_s)
+    return _totals(rows, plain, [*parts, ("xr", "sg", data.d_r, data.d_s)])
 
 
 #: What ``auto`` needs to see before it factorizes: attribute vectors this wide, and

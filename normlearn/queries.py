@@ -7,23 +7,28 @@ sums depend on their order.
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normlearn import training_sql
 from normlearn.functions import sql as sql_functions
 from normlearn.functions import vectors as V
 from normlearn.operators import train as T
 from normlearn.operators.data import NormalizedData, normalized
+from normlearn.operators.models import Catalog, random_vector
 from normlearn.plans import gradient as G
-from normlearn.sources import datagen, text, workspace
+from normlearn.sources import datagen, spec, tables, text, workspace
 from normlearn.sources.spec import TrainSpec
 from normlearn.streaming import incremental
 
 W = [0.1] * 5
 LAMBDA = 2.0
+TOLERANCE = 0.02
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,16 +221,29 @@ def _spec(algo: str, **more) -> TrainSpec:
     return TrainSpec(**({"approach": "f", "algo": algo, "iters": 5, "w_init": 0.0, "stepsize": 1e-3, "regularizer": LAMBDA} | more))
 
 
-def _trace(algo: str, **more) -> Callable:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(T.fit(main_data(spark, sf_dir), _spec(algo, **more)).trace_frame(spark))
+def _traced(found: T.FitResult, spark: SparkSession) -> DataFrame:
+    """A trace with 4 decimals (9 of the step), since later iterations carry on the rounding of earlier ones."""
+    rows = found.trace_frame(spark)
+    four = lambda c: (F.round(c, 4) + 0.0).alias(c)
+    return rows.select("iter", four("loss"), four("grad_norm"), "ls_count", (F.round("alpha", 9) + 0.0).alias("alpha"))
 
-    return query
+
+def _trace(algo: str, **more) -> Callable:
+    return lambda spark, sf_dir: _traced(T.fit(main_data(spark, sf_dir), _spec(algo, **more)), spark)
 
 
 def _flat_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained over one flat table, with parameters as command-line arguments."""
     rows = G.denormalized(main_data(spark, sf_dir))
-    return _rounded(T.fit_rows(rows, _spec("cgd", approach="t"), 5).trace_frame(spark))
+    return _traced(T.fit_rows(rows, spec.from_arguments(["cgd", "5", "0.0", "1e-3", str(LAMBDA)]), 5), spark)
+
+
+def _spec_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters from a file; what it does not name has its default."""
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as file:
+        json.dump({"algo": "cgd", "approach": "s", "iters": 3, "stepsize": 0.002}, file)
+        file.flush()
+        return _traced(T.fit(main_data(spark, sf_dir), spec.from_json(file.name)), spark)
 
 
 def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +257,46 @@ def _step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(T.fit(main_data(spark, sf_dir), _spec("bgd", iters=1, w_init=0.1)).model_frame(spark))
 
 
+def _model_state(d_r: int) -> Callable:
+    """The life of a model: its coefficients and gradient after it is made, set, used in two passes, set again and dropped.
+
+    ``d_r`` is 0 for a model over flat rows.  The catalog is written and read again before its use.
+    """
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data, path, seen = main_data(spark, sf_dir), workspace.fresh(spark, "catalog"), []
+        rows = data if d_r else G.denormalized(data)
+        catalog = Catalog()
+        note = lambda step: seen.extend((step, i, float(v)) for i, v in enumerate(catalog.get(3)))
+        catalog.push(3, 5 - d_r, d_r)
+        note("made")
+        catalog.put(3, W)
+        catalog.save(spark, path)
+        catalog = Catalog.load(spark, path)
+        note("set")
+        catalog.gradient(3, rows)
+        note("one pass")
+        catalog.gradient(3, rows)
+        note("two passes")
+        catalog.put(3, [2 * v for v in W])
+        note("set again")
+        catalog.pop(3)
+        seen.extend(("dropped", m, 1.0) for m in catalog.models)
+        return _rounded(spark.createDataFrame(seen, "step string, i int, v double"))
+
+    return query
+
+
+def _model_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog model's loss and probability as SQL functions, by its number."""
+    catalog = Catalog()
+    catalog.push(4, 3, 2)
+    catalog.put(4, W)
+    catalog.register(spark, 4)
+    tables.register(normlearn_t=G.denormalized(main_data(spark, sf_dir)))
+    return _rounded(spark.sql("SELECT sid, model_4_loss(x, label) AS l, model_4_probability(x) AS p FROM normlearn_t"))
+
+
 STEPS = [0.01 * 0.5**k for k in range(8)]
 
 
@@ -248,15 +306,80 @@ def _ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(G.ladder(G.products(data, [W, [-1.0, 0.5, 0.25, 1.0, -2.0]], "f"), STEPS))
 
 
-def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of generated tables."""
-    s = datagen.entity_rows(spark, 10, 50, 4, 7)
-    r = datagen.attribute_rows(spark, 50, 4, 7)
-    flat = datagen.flat_rows(spark, 10, 50, 4, 7)
-    counts = s.agg(F.count("*").alias("n_s"), F.countDistinct("forkey").alias("n_keys"), F.max(F.size("xs")).alias("d_s"))
-    return counts.join(r.agg(F.count("*").alias("n_r"), F.max(F.size("xr")).alias("d_r")), F.lit(True)).join(
-        flat.agg(F.count("*").alias("n_t"), F.max(F.size("x")).alias("d_t")), F.lit(True)
-    )
+def _generated(kind: str, **more) -> Callable:
+    """A generated table, row by row."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, x, n = {
+            "s": lambda: (datagen.entity_rows(spark, 10, 50, 4, 7, **more), "xs", 3),
+            "r": lambda: (datagen.attribute_rows(spark, 50, 4, 7, **more), "xr", 7),
+            "t": lambda: (datagen.flat_rows(spark, 10, 50, 4, 7, **more), "x", 10),
+        }[kind]()
+        return _rounded(_spread(rows, x, n, "x"))
+
+    return query
+
+
+def _generated_sink(format_: int, kind: str) -> Callable:
+    """A table that the generator wrote (over another one), read again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s, r = workspace.fresh(spark, "generated-s"), workspace.fresh(spark, "generated-r")
+        datagen.write_tables(spark, s, r, 1 - format_, 2, 3, 4, 7)
+        datagen.write_tables(spark, s, r, format_, 10, 50, 4, 7, 0.5)
+        rows, x, n = (
+            (tables.source(spark, s, format_, tables.ENTITY), "xs", 3)
+            if kind == "s"
+            else (tables.source(spark, r, format_, tables.ATTRIBUTE), "xr", 7)
+        )
+        return _rounded(_spread(rows, x, n, "x"))
+
+    return query
+
+
+def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether random vectors lie where they should, their mean is near a half and no two numbers are equal."""
+    rows = _table(spark, sf_dir, "lineitem").select(random_vector(3, 5).alias("v"))
+    each = rows.select(F.explode("v").alias("v"))
+    return each.agg(
+        F.count("*").alias("n"), ((F.min("v") >= 0) & (F.max("v") < 1)).alias("within"),
+        (F.abs(F.avg("v") - 0.5) < 0.02).alias("centred"), (F.abs(F.variance("v") - 1 / 12) < 0.005).alias("spread"),
+        (F.countDistinct("v") > 0.999 * F.count("*")).alias("differ"),
+    )
+
+
+# ---- tables --------------------------------------------------------------------
+
+
+def _copied(kind: str) -> Callable:
+    """Lines copied into a table, read through SQL by its name."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data, lines, path = main_data(spark, sf_dir), workspace.fresh(spark, "lines"), workspace.fresh(spark, "table")
+        if kind == "s":
+            text.write_plain_s(data.s, lines)
+            tables.load(spark, lines, path, tables.ENTITY, "normlearn_copied_s")
+            rows = spark.sql("SELECT forkey, count(*) AS n, sum(label) AS y, sum(get(xs, 0)) AS x0 FROM normlearn_copied_s GROUP BY forkey")
+        else:
+            text.write_plain_r(data.r, lines)
+            tables.load(spark, lines, path, tables.ATTRIBUTE, "normlearn_copied_r")
+            rows = spark.sql("SELECT rid, get(xr, 0) AS x0, get(xr, 1) AS x1, size(xr) AS n FROM normlearn_copied_r")
+        return _rounded(rows)
+
+    return query
+
+
+def _sunk(format_: int, kind: str) -> Callable:
+    """A table through the sink of a format, over one of another content."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data, path = main_data(spark, sf_dir), workspace.fresh(spark, "sink")
+        rows, schema, x, n = (data.s, tables.ENTITY, "xs", 3) if kind == "s" else (data.r, tables.ATTRIBUTE, "xr", 2)
+        tables.sink(rows.limit(1), path, format_)
+        tables.sink(rows, path, format_)
+        return _rounded(_spread(tables.source(spark, path, format_, schema), x, n, "x"))
+
+    return query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -272,8 +395,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hive_text_s": _round_trip(text.write_hive_s, text.read_hive_s, lambda d: d.s, 3, "xs"),
         "hive_text_r": _round_trip(text.write_hive_r, text.read_hive_r, lambda d: d.r, 2, "xr"),
         "flat_t": _round_trip(text.write_flat, text.read_flat, G.denormalized, 5, "x"),
-        "roundtrip_s": _round_trip(text.write_hive_s, text.read_hive_s, lambda d: d.s, 3, "xs"),
-        "roundtrip_r": _round_trip(text.write_hive_r, text.read_hive_r, lambda d: d.r, 2, "xr"),
+        "copied_s": _copied("s"),
+        "copied_r": _copied("r"),
+        "sink_binary_s": _sunk(tables.BINARY, "s"),
+        "sink_binary_r": _sunk(tables.BINARY, "r"),
+        "sink_text_s": _sunk(tables.TEXT, "s"),
+        "sink_text_r": _sunk(tables.TEXT, "r"),
         "materialize_t": _materialize_t("sid"),
         "materialize_t_rid": _materialize_t("rid"),
         # passes
@@ -293,7 +420,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wide_stream_lossgrad": _pass(lambda d: G.stream(d, [0.1] * 67), wide_data),
         "wide_fact_lossgrad": _pass(lambda d: G.factorized(d, [0.1] * 67), wide_data),
         # the factorized pass piece by piece
-        "fact_pass1": _pass(lambda d: G.partial_products(d, W[3:])),
         "fsql_hr": _pass(lambda d: G.partial_products(d, W[3:])),
         "fact_sum_g": _pass(lambda d: G.per_key(d, W).select("rid", "sg")),
         "fact_s_pass": _pass(lambda d: G.entity_sums(G.per_key(d, W), 3)),
@@ -327,11 +453,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lbfgs_trace": _trace("lbfgs"),
         "lbfgs_compat_trace": _trace("lbfgs_compat"),
         "single_trace": _flat_trace,
+        "sr_trace": _trace("bgd", approach="sr", srsplits=4, iters=3),
+        "tolerance_trace": _trace("bgd", tolerance=TOLERANCE),
+        "spec_trace": _spec_trace,
         "bgd_model": _model,
         "bgd_step1": _step,
         "line_search_phi": _ladder,
         # generators
-        "generated": _generated,
+        "generated_s": _generated("s"),
+        "generated_r": _generated("r"),
+        "generated_t": _generated("t", deviation=2.0, seed=3),
+        "generated_binary_s": _generated_sink(tables.BINARY, "s"),
+        "generated_binary_r": _generated_sink(tables.BINARY, "r"),
+        "generated_text_s": _generated_sink(tables.TEXT, "s"),
+        "generated_text_r": _generated_sink(tables.TEXT, "r"),
+        "random_vectors": _random,
+        # models by number
+        "model_state": _model_state(0),
+        "fact_model_state": _model_state(2),
+        "model_functions": _model_functions,
     }
 
 
@@ -405,6 +545,44 @@ def _ladder_sql() -> str:
     return f"{_BASE} SELECT {sums} FROM (SELECT *, {px} AS px FROM t)"
 
 
+def _model_state_sql() -> str:
+    steps = ["made", "set", "one pass", "two passes", "set again"]
+    rows = [f"SELECT '{step}' AS step, {i}::INT AS i, {w!r}::DOUBLE AS v" for step, w in zip(steps, (0.0, 0.1, 0.1, 0.1, 0.2), strict=True) for i in range(5)]
+    rows += [
+        f"SELECT '{step}' AS step, {5 + i}::INT AS i, {_r(f'{n} * {_G[i]}', 'v')} FROM z"
+        for step, n in zip(steps, (0, 0, 1, 2, 0), strict=True)
+        for i in range(5)
+    ]
+    return f"{_BASE} {' UNION ALL '.join(rows)}"
+
+
+def _generated_sql(kind: str, deviation: float = 1.0, shift: bool = True, seed: int = 1) -> str:
+    """The generator's rule: two uniform numbers from a digest give a normal one."""
+
+    def uniform(text: str, at: int = 1) -> str:
+        return f"(('0x' || substr(md5({text}), {at}, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE"
+
+    def normal(table: str, key: str, i: int) -> str:
+        text = f"'{table}:{seed}:{i}:' || {key}"
+        return f"sqrt(-2 * ln({uniform(text)})) * cos(2 * pi() * {uniform(text, 13)}) * {deviation!r}::DOUBLE"
+
+    raw = ", ".join(uniform(f"'w:{seed}:{i}'") + f" - 0.5::DOUBLE AS u{i}" for i in range(10))
+    length = "sqrt(" + " + ".join(f"u{i} * u{i}" for i in range(10)) + ")"
+    w = ", ".join(f"u{i} / {length} AS w{i}" for i in range(10))
+    around = "label" if shift else "0"
+    xs = ", ".join(f"({normal('s', 'sid', i)} + {around}) * w{i} AS x{i}" for i in range(3))
+    xr = ", ".join(f"{normal('r', 'rid', i)} * w{3 + i} AS x{3 + i}" for i in range(7))
+    y = f"CASE WHEN {uniform(f"'y:{seed}:0:' || sid")} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
+    base = f"""WITH raw AS (SELECT {raw}), w AS (SELECT {w} FROM raw),
+y AS (SELECT range AS sid, (range - 1) // 10 + 1 AS forkey, {y} AS label FROM (SELECT range, range AS sid FROM range(1, 501))),
+s AS (SELECT sid, label, forkey, {xs} FROM y, w), r AS (SELECT rid, {xr} FROM range(1, 51) q(rid), w)"""
+    if kind == "s":
+        return f"{base} SELECT sid, label, forkey, {', '.join(_r(f'x{i}', f'x{i}') for i in range(3))} FROM s"
+    if kind == "r":
+        return f"{base} SELECT rid, {', '.join(_r(f'x{3 + i}', f'x{i}') for i in range(7))} FROM r"
+    return f"{base} SELECT sid, label, {', '.join(_r(f'x{i}', f'x{i}') for i in range(10))} FROM s JOIN r ON rid = forkey"
+
+
 def oracle_sql() -> dict[str, str]:
     lg = ["sum(l)", "sum(c)", *[f"sum(c * x{i})" for i in range(3)]]
     concat = ", ".join(_r(f"v[{i + 1}]", f"v{i}") for i in range(6))
@@ -419,8 +597,12 @@ def oracle_sql() -> dict[str, str]:
         "etl_r": plain_r,
         "hive_text_s": plain_s,
         "hive_text_r": plain_r,
-        "roundtrip_s": plain_s,
-        "roundtrip_r": plain_r,
+        "copied_s": f"{_BASE} SELECT forkey, count(*) AS n, {_r('sum(label)', 'y')}, {_r('sum(x0)', 'x0')} FROM s GROUP BY forkey",
+        "copied_r": f"{_BASE} SELECT rid, {_XR}, 2::INT AS n FROM r",
+        "sink_binary_s": plain_s,
+        "sink_binary_r": plain_r,
+        "sink_text_s": plain_s,
+        "sink_text_r": plain_r,
         "flat_t": f"{_BASE} SELECT sid, label, {t_columns} FROM t",
         "materialize_t": f"{_BASE} SELECT sid, label, {t_columns} FROM t",
         "materialize_t_rid": f"{_BASE} SELECT rid, label, {t_columns} FROM t",
@@ -439,7 +621,6 @@ def oracle_sql() -> dict[str, str]:
         "events_lossgrad": _two_table("events", "user_id", "event_type = 'purchase'", "value / 500"),
         "wide_stream_lossgrad": _wide_sql(),
         "wide_fact_lossgrad": _wide_sql(),
-        "fact_pass1": pdp,
         "fsql_hr": pdp,
         "fact_sum_g": f"{_BASE} SELECT rid, {_r('sum(c)', 'sg')} FROM z GROUP BY rid",
         "fact_s_pass": f"{_BASE} SELECT {_r('sum(l)', 'loss')}, {', '.join(_r(g, f'g{i}') for i, g in enumerate(_G[:3]))} FROM z",
@@ -462,11 +643,30 @@ def oracle_sql() -> dict[str, str]:
         "k_sparse_axpy": _vector_sql("[xs[1] + 0.125::DOUBLE, xs[2], xs[3] + 0.25::DOUBLE]"),
         "k_scale": _vector_sql("list_transform(xs, lambda v: v * 3)"),
         "k_sqnorm": f"{_BASE} SELECT sid, {_r('x0 * x0 + x1 * x1 + x2 * x2', 'v')} FROM s",
-        "k_l1_mask": _vector_sql(f"[list_transform([xs[1]], lambda v: {soft})[1], xs[2], list_transform([xs[3]], lambda v: {soft})[1]]"),
+        # element 2 is listed twice and shrinks twice, one after the other
+        "k_l1_mask": _vector_sql(f"[list_transform([xs[1]], lambda v: {soft})[1], xs[2], "
+        f"list_transform(list_transform([xs[3]], lambda v: {soft}), lambda v: {soft})[1]]"),
         "k_l2": _vector_sql("list_transform(xs, lambda v: v / 1.3::DOUBLE)"),
         "k_l1": _vector_sql(f"list_transform(xs, lambda v: {soft})"),
         "k_logsum": f"{_BASE} SELECT sid, {_r('greatest(x0, x1) + ln(1 + exp(-abs(x0 - x1)))', 'v')} FROM s",
         "bgd_step1": _step_sql(),
         "line_search_phi": _ladder_sql(),
-        "generated": "SELECT 500::BIGINT AS n_s, 50::BIGINT AS n_keys, 3 AS d_s, 50::BIGINT AS n_r, 7 AS d_r, 500::BIGINT AS n_t, 10 AS d_t",
+        "bgd_trace": training_sql.trace(_BASE, "bgd", 5, 1e-3, 0.0, LAMBDA),
+        "cgd_trace": training_sql.trace(_BASE, "cgd", 5, 1e-3, 0.0, LAMBDA),
+        "lbfgs_trace": training_sql.trace(_BASE, "lbfgs", 5, 1e-3, 0.0, LAMBDA),
+        "lbfgs_compat_trace": training_sql.trace(_BASE, "lbfgs_compat", 5, 1e-3, 0.0, LAMBDA),
+        "single_trace": training_sql.trace(_BASE, "cgd", 5, 1e-3, 0.0, LAMBDA),
+        "sr_trace": training_sql.trace(_BASE, "bgd", 3, 1e-3, 0.0, LAMBDA),
+        "tolerance_trace": training_sql.trace(_BASE, "bgd", 5, 1e-3, 0.0, LAMBDA, tolerance=TOLERANCE),
+        "spec_trace": training_sql.trace(_BASE, "cgd", 3, 0.002, 0.01, 0.1),
+        "bgd_model": training_sql.model(_BASE, "bgd", 5, 1e-3, 0.0, LAMBDA),
+        "generated_s": _generated_sql("s"),
+        "generated_r": _generated_sql("r"),
+        "generated_t": _generated_sql("t", deviation=2.0, seed=3),
+        **dict.fromkeys(("generated_binary_s", "generated_text_s"), _generated_sql("s", deviation=0.5, shift=False)),
+        **dict.fromkeys(("generated_binary_r", "generated_text_r"), _generated_sql("r", deviation=0.5)),
+        "random_vectors": "SELECT 3 * count(*) AS n, true AS within, true AS centred, true AS spread, true AS differ FROM lineitem",
+        "model_state": _model_state_sql(),
+        "fact_model_state": _model_state_sql(),
+        "model_functions": f"{_BASE} SELECT sid, {_r('l', 'l')}, {_r('1 / (1 + exp(-wx))', 'p')} FROM z",
     }

@@ -24,7 +24,7 @@ def descend(y, x, algo, iters, start, regularizer, w0=0.0):
     """[(loss, gradient norm, trials, step)] of bgd, cgd or textbook lbfgs with memory 5."""
     w, step, out, old = np.full(x.shape[1], w0), start, [], None
     pairs = []
-    for k in range(iters):
+    for _ in range(iters):
         loss, g = loss_gradient(y, x, w, regularizer)
         p = -g
         if old and algo == "cgd":
@@ -41,7 +41,7 @@ def descend(y, x, algo, iters, start, regularizer, w0=0.0):
             for (s, t), a in zip(pairs, alphas[::-1], strict=True):
                 r += (a - t @ r / (s @ t)) * s
             p = -r
-        begin = 1.0 if algo == "lbfgs" and k else step
+        begin = 1.0 if algo == "lbfgs" else step
         alpha, trials = search(y, x, w, p, begin, loss, g @ p, regularizer)
         out.append((loss, np.sqrt(g @ g), trials, alpha))
         old = (g, p, w)

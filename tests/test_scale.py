@@ -96,3 +96,46 @@ def test_small_tables_are_broadcast_instead(spark, threshold, limit, expected):
     data = NormalizedData(spark.range(1), spark.range(1), 3, 4)
     assert parts_by_key(data, {"n_s": 1000, "n_r": 100, "most_s": 20}) == expected
     assert parts_by_key(data, {"n_s": 1000, "n_r": 100, "most_s": 990}) is None
+
+
+def test_stream_reuse_splits_once(spark, sf_dir, threshold):
+    """Over tables that are split and kept, a pass joins the splits without a shuffle or a sort of them."""
+    threshold("-1")
+    data = main_data(spark, sf_dir)
+    expected = G.collected(G.stream(data, W))
+    kept = data.split(3).kept()
+    for _ in range(2):
+        frame = G.stream_reuse(kept, W, 3)
+        loss, g = G.collected(frame)
+        assert loss == pytest.approx(expected[0]) and g == pytest.approx(expected[1])
+        frame.collect()
+        final = explained(frame).split("== Initial Plan ==")[0]
+        below = final[final.index("SortMergeJoin") :]
+        below = "\n".join(line for line in below.splitlines() if "REPARTITION" not in line)
+        above_cache = below.split("InMemoryRelation")[0]
+        assert "Exchange" not in above_cache and "Sort [" not in above_cache
+    kept.release()
+
+
+def test_long_entity_vectors_are_summed_whole(spark):
+    """Entity vectors of any width give sums of vectors, not an aggregate for each element."""
+    from pyspark.sql import functions as F
+
+    from normlearn.operators.data import normalized
+
+    rows = spark.range(400)
+    s = rows.select(
+        F.col("id").alias("sid"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(-1.0).alias("label"), (F.col("id") % 7).alias("forkey"),
+        F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.sin(F.col("id") * i)).alias("xs"),
+    )
+    r = spark.range(7).select(F.col("id").alias("rid"), F.array(F.col("id") / 7, F.lit(1.0)).alias("xr"))
+    data = normalized(s, r)
+    w = [0.01 * (i - 20) for i in range(42)]
+    expected = G.collected(G.stream(data, w))
+    for plan in (G.factorized, G.fsql):
+        frame = plan(data, w)
+        assert explained(frame).count("partial_sum(") < 20
+        loss, g = G.collected(frame)
+        assert loss == pytest.approx(expected[0]) and g == pytest.approx(expected[1])
+    assert len(G.hs_plus(data, w).first().lg) == 42
+    assert G.collected(G.entity_sums(G.per_key(data, w), 40))[0] == pytest.approx(expected[0])

@@ -7,7 +7,7 @@ import json
 import numpy as np
 import pytest
 
-from normlearn.sources import datagen, spec, text
+from normlearn.sources import datagen, spec, tables, text
 
 S = [(1, 1.0, 4, [0.5, -1e-7]), (2, -1.0, 0, [3.0, 2.0])]
 R = [(4, [1.0, 2.5]), (0, [-0.25, 1e300])]
@@ -75,4 +75,17 @@ def test_generated_tables(spark):
     again = datagen.entity_rows(spark, 10, 500, 4, 7).repartition(7)
     assert listed(again, "sid", "label", "forkey", "xs") == listed(s, "sid", "label", "forkey", "xs")
     assert datagen.flat_rows(spark, 3, 5, 4, 7).count() == 15
+    assert listed(datagen.entity_rows(spark, 10, 500, 4, 7, seed=2), "sid", "label") != listed(s, "sid", "label")
     assert datagen.entity_rows(spark, 2, 3, 1, 2).first().xs == []
+
+
+@pytest.mark.parametrize("format_", [tables.BINARY, tables.TEXT])
+def test_sinks_replace_what_is_there(spark, tmp_path, format_):
+    s, r = frames(spark)
+    for rows, schema, columns in ((s, tables.ENTITY, ("sid", "label", "forkey", "xs")), (r, tables.ATTRIBUTE, ("rid", "xr"))):
+        path = f"{tmp_path}/{format_}-{columns[0]}"
+        tables.sink(rows.limit(1), path, format_)
+        tables.sink(rows, path, format_)
+        assert listed(tables.source(spark, path, format_, schema), *columns) == listed(rows, *columns)
+    with pytest.raises(ValueError):
+        tables.sink(s, str(tmp_path), 2)

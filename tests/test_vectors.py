@@ -34,6 +34,7 @@ def value(spark, column, **columns):
         (lambda x: V.sparse_axpy(x, F.array(F.lit(1), F.lit(1)), V.vector([1, 2]), 0.1), [3.0, 0.1, 0.0, -4.0]),
         (lambda x: V.l1_shrink(x, 0.5), [2.5, 0.0, 0.0, -3.5]),
         (lambda x: V.l1_shrink_at(x, 0.5, F.array(F.lit(1), F.lit(3))), [3.0, 0.0, 0.0, -3.5]),
+        (lambda x: V.l1_shrink_at(x, 0.5, F.array(F.lit(3), F.lit(0), F.lit(3), F.lit(3))), [2.5, -0.2, 0.0, -2.5]),
         (lambda x: V.l2_shrink(x, 1.0), [1.5, -0.1, 0.0, -2.0]),
         (lambda x: V.log_sum(F.get(x, 0), F.get(x, 1)), np.logaddexp(3.0, -0.2)),
         (lambda x: V.zeros(2), [0.0, 0.0]),
