@@ -6,8 +6,10 @@ its words of the target's loss less the background's, in nats: the lower, the
 more the document is like the target.
 
 The vocabulary is all words of the corpus, or the ``words`` most frequent ones
-where that is set; other words are one unknown word.  Counts of words and bigrams
-are exact and keyed by 64-bit hashes, so the models grow with the corpus.  No
+where that is set; other words are one unknown word.  Words and bigrams are counted
+one by one, under 64-bit hashes of their bytes with a key that is drawn for each
+run, so the models grow with the corpus; of N distinct ones about N^2 / 2^65 share
+their count with another one.  No
 process holds a whole model: texts are put together in chunks of bounded size,
 the distinct keys of a chunk go with their counts to the part of the key space
 they lie in, are summed there over all chunks, and the sums go back to the chunk.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .near_dup import bytes_of, word_hashes
+from .near_dup import _WORDS, bytes_of, with_key, word_hashes
 from .pretokens import U64, scrambled, trimmed
 
 ROWS = 256  # texts handled at once
@@ -36,9 +38,9 @@ BEGIN, END, UNKNOWN = U64(1), U64(2), U64(3)  # in place of a word's hash
 @dataclass(frozen=True)
 class LmSpec:
     words: int | None = None  # of the vocabulary; None: all
-    buckets: int = 1 << 21  # not used: counts have keys
     pull: float = 8.0  # a word's bigrams weigh count / (count + pull) against its unigram
     extra: float = 0.5  # added to each unigram count
+    key: int | None = None  # of the hashes of words; None: drawn for each run
 
 
 @dataclass(frozen=True)
@@ -98,11 +100,11 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<i8")
 
 
-def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(texts: pa.Array, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """``word_hashes`` of a column, made from some texts at a time."""
     words, edges, n = [], [np.zeros(1, np.int64)], 0
     for at in range(0, len(texts), ROWS):
-        w, e = word_hashes(*bytes_of(texts.slice(at, ROWS)))
+        w, e = word_hashes(*bytes_of(texts.slice(at, ROWS)), key)
         words.append(w)
         edges.append(e[1:] + n)
         n += len(w)
@@ -114,13 +116,13 @@ def _rows(docs: DataFrame, text_col: str, id_col: str | None = None) -> DataFram
     return docs.select(doc_id.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
-def vocabulary(docs: DataFrame, n: int, text_col: str = "text") -> np.ndarray:
+def vocabulary(docs: DataFrame, n: int, text_col: str = "text", key: int = 0) -> np.ndarray:
     """Sorted hashes of the ``n`` most frequent words; ties by the hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                words, _ = word_hashes(*bytes_of(batch.column("text").slice(at, ROWS)))
+                words, _ = word_hashes(*bytes_of(batch.column("text").slice(at, ROWS)), key)
                 names, often = np.unique(words, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(often)], ["word", "n"])
 
@@ -175,13 +177,13 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 
 
-def _dealt(chunks: DataFrame, parts: int, target: bool, shared) -> DataFrame:
+def _dealt(chunks: DataFrame, parts: int, target: bool, shared, key: int) -> DataFrame:
     """The keys of each chunk by the part of the key space, with their counts in the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
-                k = _keys(*_hashes(_column(_texts(texts.as_buffer()), "text")), shared.value)
+                k = _keys(*_hashes(_column(_texts(texts.as_buffer()), "text"), key), shared.value)
                 part = ((k.keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
                 edges = np.searchsorted(part, np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(edges))
@@ -267,12 +269,13 @@ def score(
     empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    names = None if spec.words is None else vocabulary(docs, spec.words, text_col)
+    spec = with_key(spec)
+    names = None if spec.words is None else vocabulary(docs, spec.words, text_col, spec.key)
     shared = spark.sparkContext.broadcast(names)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = scratch.written(_chunks(_rows(docs, text_col, id_col)), "lm-chunks")
     chosen = scratch.written(_chunks(_rows(target, target_text)), "lm-target")
-    dealt = _dealt(chunks, parts, False, shared).unionByName(_dealt(chosen, parts, True, shared))
+    dealt = _dealt(chunks, parts, False, shared, spec.key).unionByName(_dealt(chosen, parts, True, shared, spec.key))
     counts = scratch.written(_summed(dealt, parts), "lm-counts")
     # begin and end are keyed like words; the end is predicted, the begin never
     distinct = (counts.agg(F.sum("n_words")).first()[0] or 0) - 2
@@ -283,7 +286,7 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "chunk"):
             table = _texts(rows[0]["texts"])
-            words, edges = _hashes(_column(table, "text"))
+            words, edges = _hashes(_column(table, "text"), spec.key)
             k, n = _keys(words, edges, shared.value), np.diff(edges)
             mean = []
             for name, total in zip(("chosen", "every"), totals, strict=True):
@@ -303,5 +306,42 @@ def score(
     return rows.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
+def _sql() -> str:
+    """The same by the formulas, over rows of words; begin is an empty word, end is null in its place."""
+    spec = LmSpec()
+
+    def model(name: str, table: str) -> str:
+        return f"""{name}_line AS (SELECT unnest(list_concat([''], w, [NULL])) AS a, unnest(list_concat(w, [NULL, NULL])) AS b,
+  unnest(range(0, len(w) + 2)) <= len(w) AS inside FROM (SELECT {_WORDS} AS w FROM {table})),
+{name}_one AS (SELECT coalesce(a, chr(10)) AS a, count(*) AS n FROM {name}_line GROUP BY 1),
+{name}_two AS (SELECT a, coalesce(b, chr(10)) AS b, count(*) AS n FROM {name}_line WHERE inside GROUP BY 1, 2),
+{name}_total AS (SELECT count(*) AS total FROM {name}_line WHERE inside)"""
+
+    def loss(name: str) -> str:
+        alone = f"(coalesce(s{name}.n, 0) + {spec.extra}) / (total_{name} + {spec.extra} * types)"
+        context = f"coalesce(c{name}.n, 0)"
+        share = f"{context} / ({context} + {spec.pull}::DOUBLE)"
+        return f"-ln({share} * coalesce(p{name}.n, 0) / greatest({context}, 1) + (1 - {share}) * {alone})"
+
+    def joined(name: str) -> str:
+        return f"""LEFT JOIN {name}_one c{name} ON c{name}.a = x.a LEFT JOIN {name}_one s{name} ON s{name}.a = x.b
+  LEFT JOIN {name}_two p{name} ON p{name}.a = x.a AND p{name}.b = x.b"""
+
+    return f"""WITH {model('d', 'documents')}, {model('t', 'benchmark')},
+types AS (SELECT count(*) AS types FROM d_one),
+totals AS (SELECT d_total.total AS total_d, t_total.total AS total_t, types FROM d_total, t_total, types),
+rows_ AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+x AS (SELECT r, a, coalesce(b, chr(10)) AS b FROM (SELECT r, unnest(list_concat([''], w)) AS a, unnest(list_concat(w, [NULL])) AS b FROM rows_)),
+each AS (SELECT r, avg({loss('t')}) AS target_loss, avg({loss('d')}) AS background_loss
+  FROM x, totals {joined('t')} {joined('d')} GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(target_loss, 6) AS target_loss, round(background_loss, 6) AS background_loss,
+  round(target_loss - background_loss, 6) + 0.0 AS score FROM rows_ JOIN each ON rows_.r = each.r"""
+
+
+ORACLE = _sql()
+
+
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    six = lambda c: (F.round(c, 6) + 0.0).alias(c)
+    return rows.select("doc_id", "n_words", six("target_loss"), six("background_loss"), six("score"))

@@ -10,21 +10,29 @@ probability percent^tokens a pick (0.61 at 0.85, 0.51 at 0.80).  A node that shr
 faster than that holds mostly pairs below the threshold and has ``wide`` picks, so
 that such a pair has 1.5 children in common or more at every level: it is missed by
 all six trees with a probability below 1e-6 at 0.85 and of about 1e-4 at 0.80 at
-any depth.  Nodes that shrink slower hold mostly links, and have fewer picks.
+any depth.  A node that shrinks slower holds mostly links: it branches on with fewer
+picks to find them, and then its members that are not connected to most of the
+others are compared with all of its members, so nothing is left to chance there.
+The same is done for nodes that are too deep.
 
 What is compared: first signatures, to drop pairs far from similar (6 standard
-deviations below the threshold), then the full sets, exactly.  Nodes that do not
-shrink, or are too deep, are compared in blocks, unless the links found so far
-already connect all their members.  Only connections within a compared group
-leave it, never all its pairs.
+deviations below the threshold), then the full sets.  Only connections within a
+compared group leave it, never all its pairs; groups with very many shingles are
+compared in parts.
+
+Words and shingles stand in sets as 64-bit hashes of their bytes under a key that is
+drawn for each run (``JoinSpec.key`` fixes it).  Two sets of m and n shingles seem to
+share one they do not share with a probability of about m * n / 2^64, which no text
+written beforehand can raise.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +59,8 @@ class JoinSpec:
     small: int = 1000  # members of a node that is compared exhaustively
     depth: int = 10
     seed: int = 11
+    key: int | None = None  # of the hashes of words; None: drawn for each run
+    shingles: int = 1 << 21  # of a group that is compared whole
 
     @property
     def wide(self) -> int:
@@ -69,6 +79,11 @@ class JoinSpec:
         return max(1, int(PLACES * j - 6.1 * (PLACES * j * (1 - j)) ** 0.5))
 
 
+def with_key(spec):
+    """``spec`` with a key, which all tasks of a run share."""
+    return spec if spec.key is not None else replace(spec, key=secrets.randbits(63))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -84,14 +99,15 @@ def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column laid end to end, and where each value starts (and the last ends)."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    kind = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of texts laid end to end, and where each text's begin (and the last end)."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (under ``key``) of the lower-cased words of texts laid end to end, and where each text's begin (and the last end)."""
     if not len(raw):
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
     text = _LOWER[raw]
@@ -102,7 +118,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     begin[1:] &= ~inside[:-1] | edge[1:-1]
     end[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    return span_hashes(text, starts, ends), np.searchsorted(starts, offsets)
+    return span_hashes(text.tobytes(), starts, ends, key), np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, edges: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +156,11 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
+def _sets(batch: pa.RecordBatch, spec: JoinSpec) -> Iterator[tuple]:
     """(first row, hashes, bounds, distinct sorted sets) for parts of a batch with a column text."""
     for at in range(0, batch.num_rows, ROWS):
         part = batch.column("text").slice(at, ROWS)
-        hashes, bounds = shingle_hashes(*word_hashes(*bytes_of(part)), size)
+        hashes, bounds = shingle_hashes(*word_hashes(*bytes_of(part), spec.key), spec.words)
         edges = bounds.tolist()
         yield at, hashes, bounds, [np.unique(hashes[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -158,7 +174,7 @@ def shingle_rows(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, hashes, bounds, sets in _sets(batch, spec.words):
+            for at, hashes, bounds, sets in _sets(batch, spec):
                 tokens = iter(signatures(hashes, bounds, spec.seed))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -193,7 +209,7 @@ def _children(nodes: np.ndarray, tokens: np.ndarray, picks: int, together: int)
 
 
 def _branched(members: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
-    """Members of the next level's nodes.  At the root: cid, signature; deeper: node, parent_size, cid, signature."""
+    """Members of the next level's nodes.  At the root: cid, signature; deeper: node, parent_size, covered, cid, signature."""
     picks = spec.picks[min(level, len(spec.picks) - 1)]
     most = max(picks, spec.wide)
     roots = scrambled(np.arange(spec.trees, dtype=U64) + U64(spec.seed << 20))
@@ -213,15 +229,15 @@ def _branched(members: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
                     rows, names = _children(nodes[some], tokens[some], number, spec.tokens)
                     found.append((some[rows], names))
                 rows, names = (np.concatenate(x) for x in zip(*found, strict=True))
-                rest = batch.select(["n", "cid", "signature"]).take(pa.array(rows))
+                rest = batch.select(["n", "covered", "cid", "signature"]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.view(np.int64)), *rest.columns], ["node", "parent_size", "cid", "signature"]
+                    [pa.array(names.view(np.int64)), *rest.columns], ["node", "parent_size", "covered", "cid", "signature"]
                 )
 
     if not level:
         return members.select("cid", "signature").mapInArrow(run, "node long, cid long")
-    source = members.select("node", "n", "wide", "cid", "signature")
-    return source.mapInArrow(run, "node long, parent_size long, cid long, signature binary")
+    source = members.select("node", "n", "wide", "covered", "cid", "signature")
+    return source.mapInArrow(run, "node long, parent_size long, covered boolean, cid long, signature binary")
 
 
 def _grouped(rows: DataFrame, group: str) -> DataFrame:
@@ -267,6 +283,27 @@ def _each(table: pa.Table, column: str) -> Iterator[tuple[int, int]]:
     yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
+def parted(cid: np.ndarray, size: np.ndarray, spec: JoinSpec) -> list[np.ndarray]:
+    """Groups that hold together all pairs of a group whose sizes allow a link.
+
+    A group of up to ``spec.shingles`` shingles stays whole.  Others are dealt by
+    ascending size to blocks of half of that (or one larger member), and each two
+    blocks that may have a link are a group.
+    """
+    if size.sum() <= spec.shingles:
+        return [np.sort(cid)]
+    order = np.lexsort((cid, size))
+    cid, size = cid[order], size[order]
+    blocks, at = [], 0
+    while at < len(cid):
+        n = max(1, int(np.searchsorted(np.cumsum(size[at:]), spec.shingles // 2, "right")))
+        blocks.append(slice(at, at + n))
+        at += n
+    pairs = [(x, y) for k, x in enumerate(blocks) for y in blocks[k + 1 :] if 100 * size[x][-1] >= spec.percent * size[y][0]]
+    alone = [x for x in blocks if len(cid[x]) > 1 and not any(x in pair for pair in pairs)]
+    return [np.sort(np.concatenate([cid[x], cid[y]])) for x, y in pairs] + [np.sort(cid[x]) for x in alone]
+
+
 def _candidates(lists: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
     """Groups (arrays of cid) that signatures connect, out of groups ``members``."""
     rows = lists.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cid"))
@@ -286,7 +323,8 @@ def _candidates(lists: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFra
                 linked &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
                 label = _joined(linked)
                 for name in np.flatnonzero(np.bincount(label, minlength=b - a) > 1):
-                    found.append(np.unique(cid[a:b][label == name]))
+                    some = label == name
+                    found += parted(cid[a:b][some], n[some], spec)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["members"])
         trimmed()
 
@@ -303,7 +341,7 @@ def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, spec: JoinSpe
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, sets in _sets(batch, spec.words):
+            for _, _, _, sets in _sets(batch, spec):
                 once = {_key(s): s for s in sets if len(s)}  # rows with the same id may have the same text
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(once), pa.binary()), pa.array([s.astype("<u8").tobytes() for s in once.values()], pa.binary())],
@@ -373,13 +411,16 @@ def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, li
             active = scratch.written(classes.join(some.hint("merge"), "cid", "left_semi"), "active")
             rest = scratch.written(rest.join(active.select("cid", "signature"), "cid"), "large-0")
         level += 1
-        stuck = F.lit(level > spec.depth)
+        stuck, covered = F.lit(level > spec.depth), F.lit(False)
+        # of the first nodes nothing is known, as their parents hold all texts
+        wide = F.lit(True)
         if level > 1:
             stuck = stuck | (F.lit(level > 3) & (F.col("n") > 0.9 * F.col("parent_size")))
-            large.append(rest.filter(stuck).select("node", "n", "cid"))
-        # of the first nodes nothing is known, as their parents hold all texts
-        wide = F.col("n") < spec.met * F.col("parent_size") if level > 1 else F.lit(True)
-        members = rest.filter(~stuck).select("node", "n", wide.alias("wide"), "cid", "signature")
+            wide = F.col("n") < spec.met * F.col("parent_size")
+            covered = F.col("covered") | ~wide | stuck
+            # parts of a node that is on the list need not be on it again
+            large.append(rest.filter(covered & ~F.col("covered")).select("node", "n", "cid"))
+        members = rest.filter(~stuck).select("node", "n", wide.alias("wide"), covered.alias("covered"), "cid", "signature")
         if members.isEmpty():
             break
     lists = small[0]
@@ -388,19 +429,23 @@ def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, li
     return active, lists.distinct(), [x for x in large if not x.isEmpty()]
 
 
-def _blocks(stuck: DataFrame, found: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Groups that compare all members of large nodes pairwise, for nodes not yet connected.
+def _blocks(large: DataFrame, found: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Groups that compare the members of large nodes that are not in the node's largest component with all of its members.
 
-    Members are dealt to blocks of half a small node; each two blocks are a group.
+    Both are dealt to blocks of half a small node; each block of the former and each
+    of the latter are a group.
     """
-    label = stuck.join(found.withColumnRenamed("u", "cid"), "cid", "left").withColumn("c", F.coalesce("v", "cid"))
-    apart = label.groupBy("node").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("node")
-    rows = stuck.join(apart, "node")
-    number = F.ceil(F.col("n") / (spec.small // 2)).cast("int")
-    rows = rows.withColumn("blocks", number).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    return _node_lists(rows.select(pair.alias("node"), "cid"))
+    label = large.join(found.withColumnRenamed("u", "cid"), "cid", "left").withColumn("c", F.coalesce("v", "cid"))
+    each = label.groupBy("node", "c").agg(F.count("*").alias("k"))
+    most = each.groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("top"), (F.sum("k") - F.max("k")).alias("apart"))
+    rows = label.join(most.filter("apart > 0"), "node")
+    half = spec.small // 2
+    deal = lambda salt, n: F.pmod(F.xxhash64("cid", F.lit(salt)), F.ceil(F.col(n) / half)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / half).cast("int") - 1))
+    inside = rows.select("node", "cid", deal(1, "n").alias("b"), every("apart").alias("a"))
+    apart = rows.filter("c <> top").select("node", "cid", deal(2, "apart").alias("a"), every("n").alias("b"))
+    pairs = inside.unionByName(apart)
+    return _node_lists(pairs.select(F.xxhash64("node", "a", "b").alias("node"), "cid"))
 
 
 def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,6 +464,7 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
 
 def _named(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataFrame:
     """``near_duplicates``, and c, which names the component also where components share a smallest doc_id."""
+    spec = with_key(spec)
     rows = scratch.written(shingle_rows(docs, spec, id_col, text_col), "shingle-rows")
     classes = (
         rows.filter("key is not null")
@@ -460,6 +506,7 @@ def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id
     Where rows with one id have several texts, each goes or stays by its own set of
     shingles; of several sets with the id that names their component one stays.
     """
+    spec = with_key(spec)
     found = _named(docs, spec, id_col, text_col).filter("doc_id is not null")
     key = F.col("class_key")
     marks = found.groupBy("doc_id", "c").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.min(F.when(F.col("kept"), key)).alias("stay"))
@@ -478,7 +525,7 @@ def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_key(m) for _, _, _, sets in _sets(batch, spec.words) for m in sets]
+            keys = [_key(m) for _, _, _, sets in _sets(batch, spec) for m in sets]
             yield batch.set_column(3, "key", pa.array(keys, pa.binary()))
 
     kept = marks.filter("stay is not null").select(F.col("doc_id").alias("own"), "stay").distinct()
@@ -488,6 +535,23 @@ def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id
     return whole.select("row.*").unionByName(mixed.select("row.*"))
 
 
+_SPACES = "[^\\x20\\x09-\\x0D]+"
+_WORDS = f"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACES}')"""
+
+#: All pairs that share a shingle, compared; then the smallest id that links lead to.
+ORACLE = f"""WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[][] WHEN len(w) < 5 THEN [w]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT DISTINCT u, u AS v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+least AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least ON u = d.doc_id"""
+
+
 def op8_near_dup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")

@@ -4,9 +4,10 @@ A task packs its own rows, so nothing is shuffled.  An array holds, for each fil
 level, the number of windows filled to it.  A document gives as many full windows
 as it can; what is left goes to the level (or a new window) where the sum of the
 squares of those numbers becomes smallest, ties to the fullest window.  A window
-that reaches its length is done.  What is still open when the task ends is put
-together: the emptiest windows are emptied into the fullest, cutting documents
-where needed, so at most one window a task is not full.
+that reaches its length is done.  Where the open windows hold more than HELD ids,
+and when the task ends, they are put together: the emptiest windows are emptied
+into the fullest, cutting documents where needed.  So a task holds a bounded number
+of ids, and at most one of its windows is not full.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from . import pretokens
 from .token_counts import vocabulary
 
 WINDOW, END_ID = 2048, 1
+HELD = 1 << 21  # ids in the open windows of a task
 ROWS = 128  # texts encoded at once
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -32,11 +34,22 @@ Piece = tuple
 class Packer:
     """Windows of one task.  ``add`` and ``close`` return the windows that are done, as lists of pieces."""
 
-    def __init__(self, size: int) -> None:
-        self.size = size
+    def __init__(self, size: int, most: int = HELD) -> None:
+        self.size, self.most = size, most
+        self.held = 0  # ids in open windows
         self.level = np.zeros(size + 1, np.int64)  # windows by fill; none counted at 0 and size
         self.open: dict[int, list[list[Piece]]] = {}
 
+    def _taken(self, h: int) -> list[Piece]:
+        self.level[h] -= 1
+        self.held -= h
+        return self.open[h].pop()
+
+    def _opened(self, h: int, window: list[Piece]) -> None:
+        self.level[h] += 1
+        self.held += h
+        self.open.setdefault(h, []).append(window)
+
     def best(self, n: int) -> int:
         """The level to put ``n`` ids on top of: 0 is a new window."""
         level, size = self.level, self.size
@@ -58,36 +71,42 @@ class Packer:
         if not rest:
             return
         h = self.best(rest)
-        window = []
-        if h:
-            window = self.open[h].pop()
-            self.level[h] -= 1
+        window = self._taken(h) if h else []
         window.append((doc_id, whole, total, ids[whole:]))
         if h + rest == size:
             yield window
         else:
-            self.level[h + rest] += 1
-            self.open.setdefault(h + rest, []).append(window)
-
-    def close(self) -> Iterator[list[Piece]]:
-        windows = [w for h in sorted(self.open, reverse=True) for w in self.open[h]]
-        self.open, last = {}, len(windows) - 1
-        self.level[:] = 0
-        for k, window in enumerate(windows):
-            if k > last:
-                return
-            room = self.size - sum(len(p[3]) for p in window)
-            while room and last > k:
-                doc_id, start, total, ids = windows[last].pop()
+            self._opened(h + rest, window)
+            if self.held > self.most:
+                yield from self.together(self.most // 2)
+
+    def together(self, left: int) -> Iterator[list[Piece]]:
+        """Fills windows out of the emptiest ones until no more than ``left`` ids, or one window, are open."""
+        while self.held > left:
+            levels = np.flatnonzero(self.level)
+            top = int(levels[-1])
+            window, room = self._taken(top), self.size - top
+            while room and self.held:
+                low = int(np.argmax(self.level > 0))
+                other = self._taken(low)
+                doc_id, start, total, ids = other.pop()
                 fits = min(room, len(ids))
                 window.append((doc_id, start, total, ids[:fits]))
                 if fits < len(ids):
-                    windows[last].append((doc_id, start + fits, total, ids[fits:]))
+                    other.append((doc_id, start + fits, total, ids[fits:]))
+                if other:
+                    self._opened(low - fits, other)
                 room -= fits
-                if not windows[last]:
-                    last -= 1
+            if room:  # there was no other window
+                self._opened(self.size - room, window)
+                return
             yield window
 
+    def close(self) -> Iterator[list[Piece]]:
+        yield from self.together(0)
+        for h in np.flatnonzero(self.level).tolist():  # at most one
+            yield self._taken(h)
+
 
 def pack(
     docs: DataFrame,

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from . import exact_dedup, licenses, lm_scoring, media, mixing, near_dup, packing, quality, token_counts, token_files
-
-
 from .ship import ship
 
 
@@ -33,4 +31,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_source_mix": mixing.oracle(),
+        "op7_lm_scoring": lm_scoring.ORACLE,
+        "op8_near_dup": near_dup.ORACLE,
+        "op10_exact_dedup": exact_dedup.ORACLE,
+    }

@@ -1,11 +1,12 @@
 """Token counts of whole texts by a two-tier lookup on the map side.
 
 A compact table of the token counts of frequent pre-tokens is built once from a
-bounded sample and broadcast.  A task cuts its texts into pre-tokens, looks their
-hashes up there, takes those that are missing from its worker's own cache, and
-lets the library encode only what neither holds.  No pre-token is shuffled.
+bounded sample and broadcast.  A task cuts its texts into pre-tokens, looks them
+up there, takes those that are missing from its worker's own cache, and lets the
+library encode only what neither holds.  No pre-token is shuffled.
 
-Both tiers hold what the library returned, so counts do not depend on the sample.
+Both tiers hold what the library returned for the same bytes, so counts do not
+depend on the sample.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import pretokens
 
-HOT_BITS = 16  # the broadcast table has at most 2^16 entries of 10 bytes
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 2000
+HOT_BITS = 16  # the broadcast table has 2^16 slots of 35 bytes
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 4 << 20
 ROWS = 128  # texts counted at once
 
 
@@ -31,46 +32,39 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def hot_table(texts: list[str], path: str, bits: int = HOT_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) by slot: the most frequent pre-tokens of ``texts``; count 0 is an empty slot."""
-    table = pretokens.Table(path, bits=18, pool=1 << 21)
-    seen: dict[int, list[int]] = {}
+def hot_table(texts: list[str], path: str, bits: int = HOT_BITS) -> pretokens.Slots:
+    """The token counts of the most frequent pre-tokens of ``texts``."""
+    table = pretokens.Table(path, bits=16, pool=1 << 21)
+    seen: dict[bytes, list[int]] = {}
     for numbers, parts in pretokens.segments(texts, table.special):
         if numbers[0] < 0:
             continue
-        hashes, count = _counted(table, parts)[:2]
-        keys, where, often = np.unique(hashes, return_index=True, return_counts=True)
-        for key, n, times in zip(keys.tolist(), count[where].tolist(), often.tolist(), strict=True):
-            seen.setdefault(key, [n, 0])[1] += times
-    keys, counts = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint16)
-    best = sorted(seen.items(), key=lambda x: x[1][1])  # the most frequent one takes its slot last
+        pieces = pretokens.Pieces.of(parts)
+        count = table.lookup(pieces)[2].tolist()
+        for a, b, n in zip(pieces.starts.tolist(), pieces.ends.tolist(), count, strict=True):
+            if b - a <= pretokens.KEY_BYTES and n < 1 << 16:
+                seen.setdefault(pieces.data[a:b], [n, 0])[1] += 1
+    hot = pretokens.Slots(bits, count=np.uint16)
+    best = sorted(seen.items(), key=lambda x: (-x[1][1], x[0]))  # the most frequent one takes its slot
     if best:
-        slot = np.array([k for k, _ in best], np.uint64) >> np.uint64(64 - bits)
-        for (key, (n, _)), s in zip(best, slot.tolist(), strict=True):
-            if n < 1 << 16:
-                keys[s], counts[s] = key, n
-    return keys, counts
-
-
-def _counted(table: pretokens.Table, parts: list[str], hot=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and token count of each pre-token of ``parts``, and where each part's begin."""
-    text = "".join(parts)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    begins = np.cumsum(lengths) - lengths
-    starts = pretokens.cut(codes, begins)
-    ends = np.append(starts[1:], len(codes))
-    hashes = pretokens.span_hashes(codes, starts, ends)
-    if hot is None:
-        count = table.lookup(hashes, text, starts, ends)[2]
-    else:
-        keys, counts = hot
-        slot = (hashes >> np.uint64(64 - (len(keys) - 1).bit_length())).astype(np.int64)
-        count = counts[slot].astype(np.int64)
-        rest = np.flatnonzero((keys[slot] != hashes) | (count == 0))
-        if len(rest):
-            count[rest] = table.lookup(hashes[rest], text, starts[rest], ends[rest])[2]
-    return hashes, count, np.searchsorted(starts, begins)
+        sizes = np.array([len(p) for p, _ in best])
+        ends = np.cumsum(sizes)
+        rows, sizes, hashes = pretokens.Pieces(b"".join(p for p, _ in best), ends - sizes, ends, ends[:0]).keys()
+        hot.put(rows, sizes, hashes, count=np.array([n for _, (n, _) in best]))
+    return hot
+
+
+def _counted(table: pretokens.Table, parts: list[str], hot: pretokens.Slots) -> tuple[np.ndarray, np.ndarray]:
+    """The token count of each pre-token of ``parts``, and where each part's begin."""
+    pieces = pretokens.Pieces.of(parts)
+    rows, sizes, hashes = pieces.keys()
+    slot, hit = hot.find(rows, sizes, hashes)
+    count = hot.columns["count"][slot].astype(np.int64)
+    rest = np.flatnonzero(~hit)
+    if len(rest):
+        missed = pretokens.Pieces(pieces.data, pieces.starts[rest], pieces.ends[rest], rest[:0])
+        count[rest] = table.lookup(missed, (rows[rest], sizes[rest], hashes[rest]))[2]
+    return count, pieces.first
 
 
 def is_byte_level(path: str) -> bool:
@@ -109,11 +103,27 @@ def count_texts(texts: list[str], path: str, hot) -> np.ndarray:
         if numbers[0] < 0:
             out[-1 - numbers[0]] = len(table._library(parts)[0])
             continue
-        _, count, first = _counted(table, parts, hot)
+        count, first = _counted(table, parts, hot)
         np.add.at(out, numbers, np.add.reduceat(count, first))
     return out
 
 
+def _sample(source: DataFrame, rows: int) -> list[str]:
+    """Whole texts of rows from all over the table, of SAMPLE_BYTES together at most."""
+    many = source.count()
+    share = min(1.0, 1.2 * rows / max(many, 1))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    size = F.octet_length("text")
+    picked = source.filter(chance & (size <= SAMPLE_BYTES // 64)).select("text").limit(min(rows, 64 * (SAMPLE_BYTES >> 16)))
+    out, total = [], 0
+    for r in picked.toLocalIterator():
+        total += len(r.text)
+        if total > SAMPLE_BYTES:
+            break
+        out.append(r.text)
+    return out
+
+
 def token_counts(
     docs: DataFrame,
     path: str | None = None,
@@ -127,8 +137,8 @@ def token_counts(
     Counts are the library's for the whole text, without special tokens added.
     Null and empty texts have 0 bytes and 0 tokens; null ids stay null; repeated
     rows are counted each; an empty table gives an empty result; other columns
-    are ignored.  The sample (``sample_rows`` rows, SAMPLE_CHARS characters of
-    each) only decides which counts are broadcast.
+    are ignored.  The sample (about ``sample_rows`` rows by a hash of the row, whole
+    texts of SAMPLE_BYTES together at most) only decides which counts are broadcast.
     """
     path = path or vocabulary()
     source = docs.select(
@@ -136,8 +146,7 @@ def token_counts(
     )
     hot = None
     if is_byte_level(path):
-        sample = source.select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).limit(sample_rows).collect()
-        hot = hot_table([r.t for r in sample], path)
+        hot = hot_table(_sample(source, sample_rows), path)
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,12 @@ A file holds the ids of its documents end to end and, in place of a table of
 sequence: the low bits of each value packed, the high bits in unary, and 32-bit
 samples of the positions of every 256th one bit for ``select``.  That takes about
 2 + log2(ids / documents) bits a document.  Ascending doc_ids are kept in the
-same way.
+same way.  Both sequences and a header of fixed size follow the ids, so a writer
+needs no more memory than some texts and the boundaries, and begins a new file
+after ``FILE_IDS`` ids or ``FILE_DOCUMENTS`` documents.  A reader selects the
+documents it wants and reads their ids only.
 
-Rows are dealt to files by ranges of doc_id and sorted in them, so the files in
+Rows are dealt to writers by ranges of doc_id and sorted in them, so the files in
 order hold all documents in ascending order.  A file is written under a name of
 its own and then moved to its final name; a task that runs again writes the same.
 """
@@ -29,8 +32,11 @@ from . import pretokens, scratch
 from .token_counts import vocabulary
 
 END_ID = 2
-MAGIC = b"EFTOKEN1"
-HEADER = struct.Struct("<8sqqqqqq")  # magic, documents, null ids, least id, ids, bytes an id, bytes of the id sequence
+MAGIC = b"EFTOKEN2"
+#: Documents, null ids, least id, ids, bytes an id, bytes of both sequences, magic; at the end of a file.
+HEADER = struct.Struct("<qqqqqqq8s")
+FILE_IDS, FILE_DOCUMENTS = 1 << 25, 1 << 18
+READ_IDS, READ_DOCUMENTS = 1 << 20, 1024  # read at once, but for a longer document
 SAMPLE = 256
 ROWS = 128  # texts encoded at once
 
@@ -90,38 +96,67 @@ class EliasFano:
             out |= ((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64) << b
         return out
 
+    def between(self, a: int, b: int) -> np.ndarray:
+        """The values from the a-th to before the b-th, from the samples around them."""
+        if a >= b:
+            return np.zeros(0, np.int64)
+        index, before = np.arange(a, b), a // SAMPLE
+        last = (b - 1) // SAMPLE + 1
+        low = int(self.samples[before]) >> 3
+        high = (int(self.samples[last]) >> 3) + 1 if last < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[low:high], bitorder="little")) + 8 * low
+        ones = ones[np.searchsorted(ones, int(self.samples[before])) :]
+        ones = ones[index - before * SAMPLE]
+        return ((ones - index) << self.low_bits) | self._lows(index)
+
     def values(self) -> np.ndarray:
         """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        index = np.arange(self.n)
-        return ((ones - index) << self.low_bits) | self._lows(index)
+        return self.between(0, self.n)
+
 
+class Writer:
+    """One file: ids as they come, then the boundaries.  doc_ids ascend, nulls first."""
 
-def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
-    """One file; ``doc_ids`` ascend, nulls first."""
-    nulls = sum(d is None for d in doc_ids)
-    known = np.array([d for d in doc_ids if d is not None], np.int64)
-    least = int(known[0]) if len(known) else 0
-    names = EliasFano.build((known - least) if len(known) else known).to_bytes()
-    ends = np.cumsum([len(x) for x in ids], dtype=np.int64) if ids else np.zeros(0, np.int64)
-    head = HEADER.pack(MAGIC, len(doc_ids), nulls, least, int(ends[-1]) if len(ends) else 0, width, len(names))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    return b"".join([head, flat.astype(f"<u{width}").tobytes(), names, EliasFano.build(ends).to_bytes()])
+    def __init__(self, out, width: int) -> None:
+        self.out, self.width = out, width
+        self.doc_ids: list[int | None] = []
+        self.ends: list[int] = []
+        self.ids = 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.out.write(ids.astype(f"<u{self.width}").tobytes())
+        self.ids += len(ids)
+        self.doc_ids.append(doc_id)
+        self.ends.append(self.ids)
+
+    def close(self) -> None:
+        known = np.array([d for d in self.doc_ids if d is not None], np.int64)
+        least = int(known[0]) if len(known) else 0
+        names = EliasFano.build(known - least).to_bytes()
+        ends = EliasFano.build(np.array(self.ends, np.int64)).to_bytes()
+        sizes = (len(self.doc_ids), len(self.doc_ids) - len(known), least, self.ids, self.width, len(names), len(ends))
+        self.out.write(names + ends + HEADER.pack(*sizes, MAGIC))
+        self.out.close()
 
 
 class TokenFile:
-    """A file of ``file_bytes``: any document's ids by its place in the file."""
+    """A file of ``Writer``: any document's ids by its place in the file.  ``source`` can seek and read."""
 
-    def __init__(self, data: bytes) -> None:
-        view = memoryview(data)
-        magic, self.documents, self.nulls, self.least, self.total, width, names = HEADER.unpack_from(view)
+    def __init__(self, source) -> None:
+        self.source = source
+        source.seek(0, 2)
+        size = source.tell()
+        *sizes, magic = HEADER.unpack(self._read(size - HEADER.size, HEADER.size)) if size >= HEADER.size else (0, b"")
         if magic != MAGIC:
             raise ValueError("not a token file")
-        at = HEADER.size
-        self.ids = np.frombuffer(view, f"<u{width}", self.total, at)
-        at += self.total * width
-        self.names = EliasFano.from_bytes(view[at : at + names])
-        self.ends = EliasFano.from_bytes(view[at + names :])
+        self.documents, self.nulls, self.least, self.total, self.width, names, ends = sizes
+        at = self.total * self.width
+        self.names = EliasFano.from_bytes(memoryview(self._read(at, names)))
+        self.ends = EliasFano.from_bytes(memoryview(self._read(at + names, ends)))
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(n)
 
     def __len__(self) -> int:
         return self.documents
@@ -129,18 +164,44 @@ class TokenFile:
     def bounds(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
 
-    def document(self, i: int) -> np.ndarray:
-        a, b = self.bounds(i)
-        return self.ids[a:b]
+    def ids(self, a: int, b: int) -> np.ndarray:
+        return np.frombuffer(self._read(a * self.width, (b - a) * self.width), f"<u{self.width}")
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.values() + self.least).tolist()
+    def document(self, i: int) -> np.ndarray:
+        return self.ids(*self.bounds(i))
+
+    def doc_ids(self, a: int = 0, b: int | None = None) -> list[int | None]:
+        b = self.documents if b is None else b
+        known = self.names.between(max(a - self.nulls, 0), max(b - self.nulls, 0)) + self.least
+        return [None] * (min(b, self.nulls) - min(a, self.nulls)) + known.tolist()
+
+    def runs(self) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+        """(doc_ids, edges, ids) of documents that follow each other; document k's ids are ids[edges[k] - edges[0] : ...]."""
+        a = 0
+        while a < self.documents:
+            start = self.ends.select(a - 1) if a else 0
+            b = min(a + READ_DOCUMENTS, self.documents)
+            if self.ends.select(b - 1) - start > READ_IDS:  # the most documents that fit, one at least
+                fits, b = a, b - 1
+                while fits + 1 < b:
+                    middle = (fits + b) // 2
+                    fits, b = (middle, b) if self.ends.select(middle - 1) - start <= READ_IDS else (fits, middle)
+                b = max(fits, a + 1)
+            edges = np.append(start, self.ends.between(a, b))
+            yield self.doc_ids(a, b), edges, self.ids(start, int(edges[-1]))
+            a = b
+
+
+#: Names that Hadoop's file systems use, and those of the same stores here.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def _file_system(uri: str):
+    """(file system, path) of a folder; raises where its scheme is one that pyarrow does not know."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}" if mark else uri)
 
 
 def write_token_files(
@@ -151,13 +212,16 @@ def write_token_files(
     files: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    file_ids: int = FILE_IDS,
 ) -> list[dict]:
     """Writes the ids of all texts of ``docs``, each followed by ``end_id``, to files in ``folder``.
 
     Returns the files in order, each with its path, documents, ids and the ids in
-    all files before it (``base``); the same list is in ``manifest.json``.  Null
-    and empty texts are ``end_id`` alone; null ids come first; rows with the same
-    doc_id are ordered by text.  An empty table gives no file.
+    all files before it (``base``); the same list is in ``manifest.json``.  A file
+    ends after ``file_ids`` ids.  Null and empty texts are ``end_id`` alone; null ids
+    come first; rows with the same doc_id are ordered by text.  An empty table gives
+    no file.  ``folder`` is on a file system that pyarrow knows (local, HDFS, S3,
+    Google and Azure stores); others are an error.
     """
     path = path or vocabulary()
     source = docs.select(
@@ -170,30 +234,40 @@ def write_token_files(
 
         table = pretokens.table(path)
         width = 2 if max(table.library.get_vocab_size() - 1, end_id) < 1 << 16 else 4
-        names, ids = [], []
+        part, number = TaskContext.get().partitionId(), 0
+        target, root = _file_system(folder)
+        writer = own = None
+
+        def done() -> pa.RecordBatch:
+            writer.close()
+            name = f"{root}/tokens-{part:06d}-{number:04d}.ef"
+            target.move(own, name)
+            return pa.RecordBatch.from_pydict(
+                {"part": [part], "number": [number], "path": [name], "documents": [len(writer.ends)], "ids": [writer.ids]}
+            )
+
         for batch in batches:
-            names += batch.column("doc_id").to_pylist()
             for at in range(0, batch.num_rows, ROWS):
-                texts = batch.column("text").slice(at, ROWS).to_pylist()
-                ids += [x.astype(f"<u{width}") for x in table.ids(texts, end_id)]
-        if not names:
-            return
-        part = TaskContext.get().partitionId()
-        target, root = _file_system(folder)
-        target.create_dir(root)
-        name, own = f"{root}/tokens-{part:06d}.ef", f"{root}/.{uuid.uuid4().hex}"
-        with target.open_output_stream(own) as out:
-            out.write(file_bytes(names, ids, width))
-        target.move(own, name)
-        yield pa.RecordBatch.from_pydict(
-            {"part": [part], "path": [name], "documents": [len(names)], "ids": [sum(map(len, ids))]}
-        )
+                rows = batch.slice(at, ROWS)
+                coded = table.ids(rows.column("text").to_pylist(), end_id)
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), coded, strict=True):
+                    if writer is None:
+                        target.create_dir(root)
+                        own = f"{root}/.{uuid.uuid4().hex}"
+                        writer = Writer(target.open_output_stream(own), width)
+                    writer.add(doc_id, ids)
+                    if writer.ids >= file_ids or len(writer.ends) >= FILE_DOCUMENTS:
+                        yield done()
+                        writer, number = None, number + 1
+        if writer is not None:
+            yield done()
+        pretokens.trimmed()
 
     made = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(
-        run, "part long, path string, documents long, ids long"
+        run, "part long, number long, path string, documents long, ids long"
     )
     manifest, base = [], 0
-    for row in sorted(made.collect()):  # one short row a file
+    for row in sorted(made.collect()):  # a short row a file
         manifest.append({"path": row.path, "documents": row.documents, "ids": row.ids, "base": base})
         base += row.ids
     if manifest:
@@ -216,21 +290,17 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list[dict], wit
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with _file_system(folder)[0].open_input_file(path) as f:
-                    file = TokenFile(f.read())
-                ends = file.ends.values()
-                starts = np.append(0, ends[:-1])
-                names = file.doc_ids()
-                for at in range(0, len(file), 5000):
-                    spans = list(zip(starts[at : at + 5000].tolist(), ends[at : at + 5000].tolist(), strict=True))
-                    out = {
-                        "doc_id": pa.array(names[at : at + 5000], pa.int64()),
-                        "start": pa.array([a + base for a, _ in spans], pa.int64()),
-                        "n_tokens": pa.array([b - a for a, b in spans], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(file.ids[a:b].astype("<u4")) for a, b in spans], pa.int64()),
-                    }
-                    if with_ids:
-                        out["ids"] = pa.array([file.ids[a:b].astype(np.int32) for a, b in spans], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_pydict(out)
+                    for names, edges, ids in TokenFile(f).runs():
+                        spans = list(zip((edges[:-1] - edges[0]).tolist(), (edges[1:] - edges[0]).tolist(), strict=True))
+                        out = {
+                            "doc_id": pa.array(names, pa.int64()),
+                            "start": pa.array(edges[:-1] + base),
+                            "n_tokens": pa.array(np.diff(edges)),
+                            "ids_crc32": pa.array([zlib.crc32(ids[a:b].astype("<u4")) for a, b in spans], pa.int64()),
+                        }
+                        if with_ids:
+                            out["ids"] = pa.array([ids[a:b].astype(np.int32) for a, b in spans], pa.list_(pa.int32()))
+                        yield pa.RecordBatch.from_pydict(out)
 
     return listed.mapInArrow(run, schema)
 

@@ -150,3 +150,84 @@ def test_components_of_chains_stars_and_nothing(shipped):
     found = {r.u: r.v for r in components(shipped.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 150), 100), 300: 200}
     assert components(shipped.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_query_matches_its_sql(shipped, sf_dir, same_rows):
+    same_rows(N.op8_near_dup(shipped, sf_dir), N.ORACLE)
+
+
+def test_words_with_equal_polynomial_hashes_are_not_linked(shipped):
+    """Thue-Morse words and their complements: every polynomial modulo 2^64 gives both the same value."""
+    words = ["".join("ab"[k.bit_count() & 1] for k in range(n)) for n in (16, 64, 1024, 4096)]
+    other = str.maketrans("ab", "ba")
+    texts = [t for w in words for t in (w, w.translate(other), f"a b {w} c d e", f"a b {w.translate(other)} c d e")]
+    docs = shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(docs)
+    assert N.keep_one(docs, N.JoinSpec(percent=80)).count() == len(texts)
+
+
+def test_keys_change_hashes_and_no_result(shipped, documents):
+    raw, offsets = np.frombuffer(b"one two " + b"x" * 70, np.uint8), np.array([0, 78])
+    a, b = N.word_hashes(raw, offsets, 1)[0], N.word_hashes(raw, offsets, 2)[0]
+    assert len(a) == 3 and not set(a.tolist()) & set(b.tolist())
+    rows = [sorted(map(tuple, N.near_duplicates(documents, N.JoinSpec(key=k)).drop("class_key").collect())) for k in (1, 2)]
+    assert rows[0] == rows[1]
+
+
+def test_pairs_beside_a_connected_group(shipped):
+    """In nodes of texts that are mostly linked, a pair that only links with each other is found, with one pick a level and one tree."""
+    template = [f"t{k}" for k in range(200)]
+    rows = [(k, " ".join([*template, f"own{k}"])) for k in range(300)]  # all linked
+    for k in range(12):  # 0.77 to the others, 0.9 to each other
+        own = [f"p{k}x{j}" for j in range(50)]
+        rows.append((1000 + 2 * k, " ".join(template[:190] + own)))
+        rows.append((1001 + 2 * k, " ".join(template[:190] + own[:38] + [f"q{k}x{j}" for j in range(12)])))
+    docs = shipped.createDataFrame(rows, "doc_id long, text string")
+    check(docs, N.JoinSpec(small=8, trees=1, picks=(1,)))
+
+
+def test_groups_of_many_shingles_are_compared_in_parts(shipped):
+    rng = np.random.default_rng(3)
+    spec = N.JoinSpec(shingles=1000)
+    for _ in range(30):
+        size = rng.integers(1, 700, 40)
+        cid = rng.permutation(100)[:40]
+        groups = N.parted(cid, size, spec)
+        of = dict(zip(cid.tolist(), size.tolist(), strict=True))
+        together = {(a, b) for g in groups for a in g.tolist() for b in g.tolist()}
+        for a, m in of.items():
+            for b, n in of.items():
+                assert (a, b) in together or 100 * min(m, n) < 85 * max(m, n) or a == b
+        assert all(sum(of[c] for c in g.tolist()) <= 1000 or sum(of[c] > 500 for c in g.tolist()) for g in groups)
+    rows = [*copies(60, 6, 120, 1), *copies(30, 3, 90, 2, 1000)]
+    check(shipped.createDataFrame(rows, "doc_id long, text string"), spec)
+
+
+def test_recall_of_queries_in_deep_nodes(shipped):
+    """Rows whose id is divisible by 50 against all rows, where nodes branch over many levels."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(1200):  # similarity of about 0.6 between texts; every fifth has a partner at the threshold
+        words = list(base)
+        for j in rng.sample(range(150), 7):
+            words[j] = f"c{k}x{j}"
+        rows.append((2 * k, " ".join(words)))
+        if k % 5 == 0:
+            near = list(words)
+            for j in (3, 90):
+                near[j] = f"d{k}x{j}"
+            rows.append((2 * k + 1, " ".join(near)))
+    docs = shipped.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in N.near_duplicates(docs, N.JoinSpec(small=4, depth=12)).collect()}
+    sets = {d: shingles(t) for d, t in rows}
+    links = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) >= 40 and sum(found[a] == found[b] for a, b in links) >= 0.98 * len(links)
+
+
+def test_large_offsets():
+    import pyarrow as pa
+
+    for kind in (pa.binary(), pa.large_binary()):
+        raw, offsets = N.bytes_of(pa.array([b"ab", b"", b"cde"], kind).slice(1))
+        assert raw.tobytes() == b"cde" and offsets.tolist() == [0, 0, 3]

@@ -47,6 +47,58 @@ def test_long_texts_come_in_parts(library, table, monkeypatch):
     assert [x.tolist() for x in table.ids(texts, 7)] == [x + [7] for x in coded(library, texts)]
 
 
+def complement(text):
+    return text.translate(str.maketrans("ab", "ba"))
+
+
+def thue_morse(n):
+    """A word whose polynomial hashes modulo 2^64 equal those of its complement, whatever their base."""
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+ADVERSARIAL = [x for k in range(2, 13) for w in [thue_morse(1 << k)] for x in (w, complement(w), f"{w} {complement(w)}", f"日本{w}")]
+
+
+def test_equal_hashes_are_no_equal_pretokens(library, table):
+    """Ids come from the same bytes, whatever their hash: adversarial words, and words that share all slots."""
+    assert [x.tolist() for x in table.ids(ADVERSARIAL)] == coded(library, ADVERSARIAL)
+    words = [complement(ADVERSARIAL[-4]), thue_morse(1024), complement(thue_morse(1024))]
+    counts = token_counts.count_texts(words, token_counts.vocabulary(), token_counts.hot_table(words[:2], token_counts.vocabulary()))
+    assert counts.tolist() == [len(x) for x in coded(library, words)]
+
+
+def test_equal_keys_for_all(library, monkeypatch):
+    """With one hash for all pre-tokens everything is compared by its bytes."""
+    monkeypatch.setattr(pretokens, "scrambled", lambda x: x * np.uint64(0))
+    table = pretokens.Table(token_counts.vocabulary(), bits=4)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 60))) for _ in range(20)) for _ in range(300)]
+    assert [x.tolist() for x in table.ids(texts)] == coded(library, texts)
+
+
+def test_random_pretokens(library, table):
+    rng = random.Random(9)
+    alphabet = list("abeinrst '“”’—…дожирувпч日本語の漢字テスト😀👍🏽12٣५　\u2028é\x00")
+    texts = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(50)) for _ in range(2000)]
+    assert [x.tolist() for x in table.ids(texts)] == coded(library, texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(), max_size=8))
+def test_any_texts(library, table, texts):
+    assert [x.tolist() for x in table.ids(texts)] == coded(library, texts)
+
+
+def test_classes_are_the_librarys(library):
+    """Letters, numbers and white space of all code points that are assigned here."""
+    codes = [c for c in range(pretokens.LAST) if not 0xD800 <= c < 0xE000 and pretokens._classes()[c]]
+    for kind, before in ((pretokens.LETTER, "a"), (pretokens.NUMBER, "1"), (pretokens.OTHER, "!")):
+        for at in range(0, len(codes), 20000):
+            part = codes[at : at + 20000]
+            starts = {a for _, (a, _) in library.pre_tokenizer.pre_tokenize_str("".join(before + chr(c) for c in part))}
+            assert [c for k, c in enumerate(part) if 2 * k + 1 not in starts] == [c for c in part if pretokens._classes()[c] == kind]
+
+
 def known(docs, library):
     rows = docs.collect()
     return [(r.doc_id, r.text or "", ids) for r, ids in zip(rows, coded(library, [r.text or "" for r in rows]), strict=True)]
@@ -102,6 +154,34 @@ def test_sum_of_squares_choice():
     assert all(n == 16 for n in last[:-1]) and 0 < last[-1] <= 16
 
 
+def test_open_windows_are_bounded():
+    """Documents that leave windows nearly full, and of any length: few ids are held, and all windows but one are full."""
+    rng = np.random.default_rng(6)
+    for lengths in ([1500] * 100_000, rng.integers(1100, 2000, 20_000).tolist(), rng.integers(1, 6000, 20_000).tolist()):
+        packer, most, seen = packing.Packer(2048, 1 << 16), 0, 0
+        ids = np.arange(6000, dtype=np.uint16)
+        for k, n in enumerate(lengths):
+            for window in packer.add(k, ids[:n]):
+                assert sum(len(p[3]) for p in window) == 2048
+                seen += 2048
+            most = max(most, packer.held)
+        assert most <= 1 << 16 and packer.held == sum(h * len(w) for h, w in packer.open.items())
+        last = [sum(len(p[3]) for p in w) for w in packer.close()]
+        assert all(n == 2048 for n in last[:-1]) and seen + sum(last) == sum(lengths) and not packer.held
+
+
+def test_pieces_cut_while_packing_cover_their_documents():
+    packer, pieces = packing.Packer(32, 100), defaultdict(list)
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 99, n) for n in rng.integers(1, 80, 500)]
+    windows = [w for k, x in enumerate(texts) for w in packer.add(k, x)] + list(packer.close())
+    for window in windows:
+        for k, start, total, ids in window:
+            assert total == len(texts[k])
+            pieces[k].append((start, ids.tolist()))
+    assert [[i for _, ids in sorted(pieces[k]) for i in ids] for k in range(500)] == [x.tolist() for x in texts]
+
+
 @pytest.mark.parametrize(("which", "window"), [("edge_docs", 2048), ("edge_docs", 7), ("documents", 2048), ("no_docs", 2048)])
 def test_packing_round_trip(request, library, which, window):
     docs = request.getfixturevalue(which)
@@ -139,6 +219,8 @@ def test_elias_fano(steps):
     values = np.cumsum(steps, dtype=np.int64)
     coded_ = token_files.EliasFano.from_bytes(memoryview(token_files.EliasFano.build(values).to_bytes()))
     assert coded_.values().tolist() == values.tolist()
+    for a, b in ((0, 1), (3, 300), (255, 257), (256, 512), (len(values) // 2, len(values))):
+        assert coded_.between(min(a, len(values)), min(b, len(values))).tolist() == values[a:b].tolist()
     for i in {0, len(values) // 2, len(values) - 1} & set(range(len(values))):
         assert coded_.select(i) == values[i]
 
@@ -152,11 +234,12 @@ def test_elias_fano_is_small_and_selects_everywhere():
         data.select(5000)
 
 
-@pytest.mark.parametrize("which", ["edge_docs", "documents", "no_docs"])
-def test_token_files(request, shipped, library, which, tmp_path):
+@pytest.mark.parametrize(("which", "file_ids"), [("edge_docs", 1 << 25), ("edge_docs", 30), ("documents", 1 << 25), ("documents", 3000), ("no_docs", 9)])
+def test_token_files(request, shipped, library, which, file_ids, tmp_path):
     docs = request.getfixturevalue(which)
     folder = f"file://{tmp_path}/out"
-    manifest = token_files.write_token_files(docs, folder, files=3)
+    manifest = token_files.write_token_files(docs, folder, files=3, file_ids=file_ids)
+    assert file_ids > 1 << 20 or which == "no_docs" or len(manifest) > 3
     found = token_files.read_token_files(shipped, folder, manifest, with_ids=True).collect()
     rows = sorted(known(docs, library), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     at, expected = 0, []
@@ -166,7 +249,37 @@ def test_token_files(request, shipped, library, which, tmp_path):
     assert sorted(map(tuple, found), key=lambda r: r[1]) == expected
     for m in manifest:
         with open(m["path"], "rb") as f:
-            file = token_files.TokenFile(f.read())
-        for i in range(len(file)):
-            assert file.document(i).tolist() in [e[4] for e in expected]
-            assert m["base"] + file.bounds(i)[0] in [e[1] for e in expected]
+            file = token_files.TokenFile(f)
+            for i in range(len(file)):
+                assert file.document(i).tolist() in [e[4] for e in expected]
+                assert m["base"] + file.bounds(i)[0] in [e[1] for e in expected]
+            assert [d for names, _, _ in file.runs() for d in names] == file.doc_ids()
+
+
+@pytest.mark.parametrize(("ids", "documents"), [(5, 3), (40, 100), (1000, 2)])
+def test_runs_read_all_documents_in_bounded_parts(tmp_path, monkeypatch, ids, documents):
+    monkeypatch.setattr(token_files, "READ_IDS", ids)
+    monkeypatch.setattr(token_files, "READ_DOCUMENTS", documents)
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 1000, n) for n in rng.integers(0, 30, 700)]
+    names = [None, None, *np.sort(rng.integers(-5, 400, 698)).tolist()]
+    writer = token_files.Writer(open(tmp_path / "x", "wb"), 2)
+    for name, x in zip(names, texts, strict=True):
+        writer.add(name, x)
+    writer.close()
+    with open(tmp_path / "x", "rb") as f:
+        back, known = [], []
+        for doc_ids, edges, held in token_files.TokenFile(f).runs():
+            assert len(doc_ids) <= documents and (len(held) <= ids or len(doc_ids) == 1)
+            known += doc_ids
+            back += [held[a:b].tolist() for a, b in zip(edges[:-1] - edges[0], edges[1:] - edges[0], strict=True)]
+    assert known == names and back == [x.tolist() for x in texts]
+    with pytest.raises(ValueError):
+        (tmp_path / "y").write_bytes(bytes(200))
+        token_files.TokenFile(open(tmp_path / "y", "rb"))
+
+
+def test_names_of_file_systems(tmp_path):
+    assert token_files._file_system(f"file://{tmp_path}/a")[1] == f"{tmp_path}/a"
+    with pytest.raises(Exception, match="(?i)scheme|uri|filesystem"):
+        token_files._file_system("nosuch://bucket/a")
