@@ -1,12 +1,14 @@
 """Exact duplicates by deterministic block naming.
 
 A normalised text is cut into blocks of a fixed number of bytes.  The distinct
-blocks are sorted and get integers as names; then the names of adjacent blocks
-are paired, the distinct pairs are sorted and get names, and so on until each
-text has one name.  Two texts of the same number of blocks have the same name if
-and only if they are equal: names are given to contents, never to hashes.  A
-64-bit hash only carries a name back to its occurrences; hashes that stand for
-more than one content are found and joined by content instead.
+blocks are sorted (by their first bytes, then by their hash) and their ranks are
+their names; then the names of adjacent blocks are paired, the distinct pairs are
+sorted and get their ranks as names, and so on until each text has one name.  Ranks
+are those of all rows, so names do not depend on how rows are dealt to tasks.  Two
+texts of the same number of blocks have the same name if and only if they are
+equal: names are given to contents, never to hashes.  A 64-bit hash only carries a
+name back to its occurrences; hashes that stand for more than one content are found
+and joined by content instead.
 
 Only DataFrame operations are used.  Distinct contents are combined before the
 shuffle, so copies in any number cost one row per task; names are joined back in
@@ -17,13 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK_BYTES = 4096
+HEAD_BYTES = 32  # of a block, by which it is sorted
 
 
 def normalised(text: Column) -> Column:
@@ -34,8 +37,18 @@ def normalised(text: Column) -> Column:
 
 
 def _named(distinct: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Each row of ``distinct`` with an integer that follows the sort order in its partition."""
-    return distinct.sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    """Each row of ``distinct`` with its rank, from 0, in ``order``, which no two rows share.
+
+    The rows are sorted in ranges; a range's ranks start after the rows of those before it.
+    """
+    rows = scratch.written(distinct, f"{name}-distinct")
+    ranges = scratch.written(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), f"{name}-sorted")
+    part = F.shiftright("__at", 33)
+    sizes = ranges.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))  # one row a range
+    first = F.sum("__rows").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__rows")
+    first = F.broadcast(sizes.select("__part", first.alias("__first")))
+    placed = ranges.withColumn("__part", part).join(first, "__part")
+    return placed.withColumn(name, F.col("__first") + F.col("__at") - F.shiftleft("__part", 33)).drop("__at", "__part", "__first")
 
 
 def block_identities(
@@ -66,10 +79,10 @@ def block_identities(
         "block-rows",
     )
     pieces = source.select(F.explode(blocks).alias("block")).select(block_hash(F.col("block")).alias("h"), "block")
-    names = scratch.written(
-        _named(pieces.groupBy("h", "block").agg(F.lit(1).alias("one")), ["block"], "name").select("h", "name"),
-        "block-names",
-    )
+    contents = pieces.groupBy("h", "block").agg(F.lit(1).alias("one"))
+    # which of several blocks with one hash and the same first bytes comes first does not matter: they are named by content
+    contents = contents.select("h", F.col("block").substr(1, HEAD_BYTES).alias("head"))
+    names = scratch.written(_named(contents, ["head", "h"], "name").select("h", "name"), "block-names")
     shared = names.groupBy("h").count().filter("count > 1").select("h")
     occurs = rows.select("rid", F.posexplode("hashes").alias("idx", "h"))
     if shared.isEmpty():
@@ -95,7 +108,7 @@ def block_identities(
             f"pairs-{level}",
         )
         given = scratch.written(
-            _named(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")), ["a", "b"], "name").select("a", "b", "name"),
+            _named(pairs.select("a", "b").distinct(), ["a", "b"], "name"),
             f"pair-names-{level}",
         )
         same = (pairs["a"] == given["a"]) & pairs["b"].eqNullSafe(given["b"])
@@ -152,7 +165,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays.  Null ids come before all others; keep_id is null where a group has no
     id.  An empty table gives an empty result; other columns are ignored.
     """
+    point = scratch.mark()
     named = scratch.written(block_identities(docs, id_col, text_col, **options), "identities")
+    scratch.remove_since(point, named)
     groups = named.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")
     )
@@ -173,12 +188,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows are found by doc_id and normalised text; where several rows share both,
     one of them stays.
     """
+    point = scratch.mark()
     found = exact_dedup(docs, id_col, text_col, **options)
-    repeats = F.count("*").over(_same_row())
-    stay = found.withColumn("repeats", repeats).filter("kept").select("doc_id", "text_sha256", (F.col("repeats") > 1).alias("again"))
-    stay = scratch.written(stay, "kept").select(
-        F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "again"
-    )
+    # summed before the shuffle, however many rows share an id and a text
+    same = found.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    stay = same.agg(F.max("kept").alias("kept"), (F.count("*") > 1).alias("again")).filter("kept").drop("kept")
+    stay = scratch.written(stay, "kept")
+    scratch.remove_since(point, stay)
     # the caller's columns in one struct, so that their names clash with none
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     row = F.col("row")
@@ -189,12 +205,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return once.unionByName(many).select("row.*")
 
 
-def _same_row():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id", "text_sha256")
-
-
 ORACLE = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents)

@@ -133,14 +133,20 @@ def _count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long")
 
 
+def _own(doc_id: Column, text: Column) -> Column:
+    """What tells rows without an id apart: many of them must not share one place in the order."""
+    return F.when(doc_id.isNull(), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def _bucket(k: int) -> Column:
     """The k-th byte of the key that orders the last epoch."""
     return F.conv(F.substring("__key", 1 + 2 * k, 2), 16, 10).cast("int")
 
 
 def _ordered(rows: DataFrame, leaves: DataFrame, spec: MixSpec) -> DataFrame:
-    """``rows`` (__leaf, __id) with the plan of their leaf and their place in its last epoch."""
-    text = F.concat_ws(":", F.lit(str(spec.seed)), F.col("__epochs"), F.coalesce(F.col("__id").cast("string"), F.lit("null")))
+    """``rows`` (__leaf, __id, __own) with the plan of their leaf and their place in its last epoch."""
+    name = F.coalesce(F.col("__id").cast("string"), F.concat(F.lit("null:"), F.col("__own")))
+    text = F.concat_ws(":", F.lit(str(spec.seed)), F.col("__epochs"), name)
     rows = rows.join(leaves, "__leaf").withColumn("__key", F.md5(text))
     return rows.withColumns({"__d0": _bucket(0), "__d1": _bucket(1)})
 
@@ -184,8 +190,9 @@ def _taken(rows: DataFrame, plan: DataFrame, spec: MixSpec, tie: list[Column]) -
     placed = placed.withColumn("__side", side.otherwise(F.lit(1)))
     line = Window.partitionBy("__leaf").orderBy("__key", *tie).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("__need") - F.col("__sofar") - F.coalesce(F.sum("__n").over(line), F.lit(0))
-    inner = placed.filter("__side = 0").withColumn("__got", F.greatest(F.least(F.col("__n"), left), F.lit(0)))
-    outer = placed.filter("__side <> 0").withColumn(
+    # rows without tokens take no part in the sums, so any number of them is never sorted
+    inner = placed.filter("__side = 0 and __n > 0").withColumn("__got", F.greatest(F.least(F.col("__n"), left), F.lit(0)))
+    outer = placed.filter("__side <> 0 or __n = 0").withColumn(
         "__got", F.when(F.col("__side") < 0, F.col("__n")).otherwise(F.lit(0)).cast("long")
     )
     both = outer.unionByName(inner)
@@ -206,6 +213,7 @@ def _narrow(docs: DataFrame, spec: MixSpec, id_col: str, text_col: str) -> DataF
             F.col("lang").cast("string").alias("lang"),
             F.col("source").cast("string").alias("source"),
             _count(F.col(text_col)).alias("__n"),
+            _own(F.col(id_col).cast("long"), F.col(text_col)).alias("__own"),
         ).withColumns(_leaf(spec)),
         "mix-rows",
     )
@@ -220,8 +228,9 @@ def take(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", tex
 
     Null lang or source is a leaf of its own.  Null and empty texts have no tokens;
     they, and all rows of a leaf without budget, get 0 copies.  Rows with the same
-    doc_id follow each other in the order of their number of tokens.  An empty
-    table gives an empty result; other columns are ignored.
+    doc_id follow each other in the order of their number of tokens; rows without
+    one are ordered by a hash of their text.  An empty table gives an empty result;
+    other columns are ignored.
     """
     rows = _narrow(docs, spec, id_col, text_col)
     out = _taken(rows, _plan(rows, spec), spec, [F.col("__id").asc_nulls_first(), F.col("__n")])
@@ -252,6 +261,7 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec(), id_col: str = "doc_id", text
         row["lang"].cast("string").alias("lang"),
         row["source"].cast("string").alias("source"),
         _count(row[text_col]).alias("__n"),
+        _own(row[id_col].cast("long"), row[text_col]).alias("__own"),
     )
     tie = [F.col("__id").asc_nulls_first(), F.col("__n"), row[text_col]]
     out = _taken(wide.withColumns(_leaf(spec)), _plan(rows, spec), spec, tie)
@@ -281,7 +291,7 @@ def oracle(spec: MixSpec = MixSpec()) -> str:
 {out} AS (SELECT *, (CASE WHEN is_full = 1 THEN cap ELSE (rest::HUGEINT * open_upto) // greatest(open, 1) - (rest::HUGEINT * (open_upto - weight)) // greatest(open, 1) END)::BIGINT AS alloc FROM {out}3)"""
 
     return f"""
-WITH d AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+WITH d AS (SELECT doc_id, lang, source, md5(coalesce(text, '')) AS own, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
   'd' || (coalesce(try_cast(right(regexp_extract(source, '([0-9]+)$', 1), 9) AS BIGINT), 0) % {spec.domains}) AS domain FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * {spec.max_epochs} AS cap FROM d GROUP BY ALL),
 langs AS (SELECT domain, lang, sum(tokens)::BIGINT AS tokens, sum(cap)::BIGINT AS cap FROM leaves GROUP BY ALL),
@@ -295,7 +305,7 @@ leaves_in AS (SELECT l.*, m.alloc AS wanted, {case('l.source', spec.source_weigh
 {fill('leaves_in', 'domain, lang', 'source', 'low')},
 plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN alloc // tokens ELSE 0 END AS epochs,
   CASE WHEN tokens > 0 THEN alloc % tokens ELSE 0 END AS need FROM low),
-e AS (SELECT d.*, p.epochs, p.need, md5('{spec.seed}:' || p.epochs || ':' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM d JOIN plan p
+e AS (SELECT d.*, p.epochs, p.need, md5('{spec.seed}:' || p.epochs || ':' || coalesce(doc_id::VARCHAR, 'null:' || own)) AS k FROM d JOIN plan p
   ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source),
 g AS (SELECT *, greatest(least(n_tokens, need - coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id, n_tokens
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0)::BIGINT AS got FROM e)

@@ -464,7 +464,7 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str =
 
 def _named(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataFrame:
     """``near_duplicates``, and c, which names the component also where components share a smallest doc_id."""
-    spec = with_key(spec)
+    spec, point = with_key(spec), scratch.mark()
     rows = scratch.written(shingle_rows(docs, spec, id_col, text_col), "shingle-rows")
     classes = (
         rows.filter("key is not null")
@@ -487,7 +487,8 @@ def _named(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataF
     label = classes.select("cid", "key", "rep").join(found.withColumnRenamed("u", "cid"), "cid", "left")
     label = label.select("key", "rep", F.coalesce("v", "cid").alias("c"))
     least = scratch.written(label.groupBy("c").agg(F.min("rep").alias("component_id")), "component-ids")
-    named = label.join(least, "c").select("key", "component_id", "c")
+    named = scratch.written(label.join(least, "c").select("key", "component_id", "c"), "named")
+    scratch.remove_since(point, rows, named)
     out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -506,7 +507,7 @@ def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id
     Where rows with one id have several texts, each goes or stays by its own set of
     shingles; of several sets with the id that names their component one stays.
     """
-    spec = with_key(spec)
+    spec, point = with_key(spec), scratch.mark()
     found = _named(docs, spec, id_col, text_col).filter("doc_id is not null")
     key = F.col("class_key")
     marks = found.groupBy("doc_id", "c").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.min(F.when(F.col("kept"), key)).alias("stay"))
@@ -515,6 +516,7 @@ def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id
     stays = F.col("low").isNull() | F.col("stay").isNotNull()
     ids = marks.groupBy("doc_id").agg(F.max(goes).alias("goes"), F.max(stays).alias("some"))
     gone = scratch.written(ids.filter("goes").select(F.col("doc_id").alias("gone"), "some"), "gone")
+    scratch.remove_since(point, marks, gone)
     # the caller's columns in one struct, so that their names clash with none
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     same = F.col("row")[id_col].cast("long") == F.col("gone")

@@ -2,8 +2,10 @@
 
 One dictionary is trained on texts labelled good, one on texts labelled bad.  The
 difference of a text's two compressed sizes, per byte of the text and per byte of
-both results, and how well it compresses at all, go through a logistic
-calibration fitted on labelled texts that neither dictionary has seen.
+both results, is what tells them apart; a logistic calibration, fitted on labelled
+texts that neither dictionary has seen, turns it into a score.  The length of the
+text and how well it compresses at all are inputs of the calibration too, since the
+same difference says less about a short text than about a long one.
 
 The dictionaries and the calibration are fitted on a bounded sample of labelled
 rows (``sample_rows`` of each label, by the order of a hash of doc_id, texts of at
@@ -127,7 +129,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """``fit`` on the sample of ``labels`` (doc_id, quality) that may be learned."""
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("quality"))
-    known = known.filter(F.col("__id").isNotNull() & ~held_out(F.col("__id")))
+    known = known.filter(F.col("__id").isNotNull() & ~held_out(F.col("__id"))).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text")).filter(F.octet_length("__text") <= SAMPLE_BYTES)
     # the sample is drawn from rows that can be learned, so that a longer text gives its place to the next row
@@ -137,9 +139,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
         known.filter(F.col("quality") == q).select("__id", "quality").orderBy(order, "__id").limit(sample_rows)
         for q in (1, 0)
     ]
+    # one text of an id, so that repeated ids cannot give more rows than were picked
     rows = (
         texts.join(picked[0].unionByName(picked[1]), "__id")
-        .select("__id", "quality", F.col("__text").cast("binary").alias("__text"))
+        .groupBy("__id", "quality")
+        .agg(F.min(F.col("__text").cast("binary")).alias("__text"))
         .collect()
     )
     rows.sort(key=lambda r: (-(r["__id"] * 2654435761 % (1 << 32)), r["__id"], bytes(r["__text"])))

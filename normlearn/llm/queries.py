@@ -7,6 +7,8 @@ from .ship import ship
 
 
 def _shipped(query):
+    """A query whose tasks run Python: they need the package, and batches bounded in bytes."""
+
     def run(spark, sf_dir: str):
         ship(spark)
         return query(spark, sf_dir)
@@ -15,19 +17,18 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    found = {
+    return {
         "op1_source_mix": mixing.op1_source_mix,
-        "op2_packing": packing.op2_packing,
-        "op3_token_counts": token_counts.op3_token_counts,
-        "op4_token_files": token_files.op4_token_files,
-        "op5_quality": quality.op5_quality,
+        "op2_packing": _shipped(packing.op2_packing),
+        "op3_token_counts": _shipped(token_counts.op3_token_counts),
+        "op4_token_files": _shipped(token_files.op4_token_files),
+        "op5_quality": _shipped(quality.op5_quality),
         "op6_licenses": licenses.op6_licenses,
-        "op7_lm_scoring": lm_scoring.op7_lm_scoring,
-        "op8_near_dup": near_dup.op8_near_dup,
-        "op9_media": media.op9_media,
+        "op7_lm_scoring": _shipped(lm_scoring.op7_lm_scoring),
+        "op8_near_dup": _shipped(near_dup.op8_near_dup),
+        "op9_media": _shipped(media.op9_media),
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
-    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,9 +12,11 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a temporary folder only where unset."""
+    """``spark.checkpoint.dir`` of the session; in local mode it is set to a temporary folder where unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="normlearn-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,6 +38,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def mark() -> int:
+    """A point in time for ``remove_since``."""
+    return len(_WRITTEN)
+
+
+def remove_since(point: int, *but: DataFrame) -> None:
+    """Deletes the tables written since ``point`` except ``but``, once a table made from them is written."""
+    kept = {df._scratch_path for df in but}
+    for spark, path in _WRITTEN[point:]:
+        if path not in kept:
+            remove_path(spark, path)
+    _WRITTEN[point:] = [x for x in _WRITTEN[point:] if x[1] in kept]
+
+
 def remove(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more."""
     for df in tables:

@@ -79,3 +79,20 @@ def test_query_matches_its_sql(shipped, sf_dir, same_rows):
 def test_plan_has_no_python(edge_docs):
     plan = D.exact_dedup(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_are_ranks_and_do_not_depend_on_partitions(documents):
+    names = []
+    for parts in (1, 7):
+        rows = D.block_identities(documents.repartition(parts), block_bytes=64).collect()
+        names.append(sorted((r.doc_id, r.n_blocks, r.name) for r in rows))
+    assert names[0] == names[1]
+    singles = sorted({(plain(r.text).encode()[:32], name) for r, (_, n, name) in zip(sorted(documents.collect(), key=lambda r: r.doc_id), names[0], strict=True) if n == 1})
+    ranks = [name for _, name in singles]
+    assert all(a[1] < b[1] for a, b in zip(singles, singles[1:]) if a[0] < b[0]) and len(ranks) > 3
+
+
+def test_keep_one_of_many_rows_without_an_id(shipped):
+    rows = [(None, "the same text")] * 500 + [(None, "other")] * 2 + [(1, "the same text")]
+    kept = D.keep_one(shipped.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == [(1, "the same text"), (None, "other")]

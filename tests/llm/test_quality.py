@@ -76,3 +76,44 @@ def test_long_texts_leave_their_places_in_the_sample(shipped):
     whole, short = table(rows), table(rows[::2])
     learned = Q.learn(whole, whole.select("doc_id", "quality"), 12)
     assert learned.prior == 0.5 and learned == Q.learn(short, short.select("doc_id", "quality"), 12)
+
+
+def test_scores_are_those_of_the_formula(larger):
+    """Every score again, text by text: two compressed sizes, their differences, the calibration."""
+    import math
+
+    import zstandard
+
+    docs, labels = larger
+    model = Q.learn(docs, labels, 400)
+    coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False) for d in (model.good, model.bad)]
+    rows = docs.limit(2000)
+    texts = {r.doc_id: (r.text or "").encode() for r in rows.collect()}
+    for r in Q.score(rows, model).collect():
+        good, bad = (len(c.compress(texts[r.doc_id])) for c in coders)
+        n = max(1, len(texts[r.doc_id]))
+        per_byte, shrunk = (bad - good) / n, min((good + bad) / (2 * n), 1.5)
+        x = [per_byte, (bad - good) / (good + bad), shrunk, shrunk * shrunk, math.log(n), per_byte * math.log(n)]
+        z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale, strict=True))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), abs=1e-9)
+
+
+def test_the_difference_alone_ranks_texts(larger):
+    """Of a good and a bad held-out text, the compressed sizes' difference puts the good one first nearly always."""
+    import numpy as np
+
+    docs, labels = larger
+    scorer = Q.Scorer(Q.learn(docs, labels))
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in docs.filter(Q.held_out(docs["doc_id"])).collect() if r.doc_id in quality]
+    x = scorer.features([(r.text or "").encode() for r in rows])[:, 0]
+    y = np.array([quality[r.doc_id] for r in rows])
+    order = (x[y == 1][:, None] > x[y == 0][None, :]).mean()
+    assert order > 0.97
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(shipped):
+    rows = [(k % 40, f"text number {k % 40} with copy {k} " * 5, k % 2) for k in range(4000)]
+    table = shipped.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = shipped.createDataFrame([(k, k % 2) for k in range(40)] * 5, "doc_id long, quality int")
+    assert Q.learn(table, labels, 30) == Q.learn(table.repartition(5), labels.distinct(), 30)
