@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet and reads again as the next one's ``docs``.  All but the last
 return the columns of documents.
+
+Null and empty texts, null and repeated ids, ties and further columns are handled
+as the stages' operators state; an empty table gives an empty result.  Without
+enough labelled rows for a classifier the first stage keeps everything.  Texts
+without words are equal to each other, and the mix never takes them.
 """
 
 from __future__ import annotations
@@ -59,6 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    point = scratch.mark()
     for name, stage in STAGES[:-1]:
         docs = scratch.written(stage(spark, docs, sf_dir), name)
+        scratch.remove_since(point, docs)  # what the stages before it wrote
     return STAGES[-1][1](spark, docs, sf_dir)
