@@ -396,8 +396,8 @@ def _node_lists(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.sort_array(F.collect_set("cid")).alias("members")).select("members").distinct()
 
 
-def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Classes that share a node with another, groups to compare, and members of nodes that stayed large."""
+def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Classes that share a node with another, groups to compare, and members of nodes that shrink slowly or are too deep."""
     small, large = [], []
     members, active, level = classes, classes, 0
     while True:
@@ -426,19 +426,26 @@ def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, li
     lists = small[0]
     for part in small[1:]:
         lists = lists.unionByName(part)
-    return active, lists.distinct(), [x for x in large if not x.isEmpty()]
+    nodes = large[0] if large else None
+    for part in large[1:]:
+        nodes = nodes.unionByName(part)
+    return active, lists.distinct(), nodes
 
 
-def _blocks(large: DataFrame, found: DataFrame, spec: JoinSpec) -> DataFrame:
+def _blocks(large: DataFrame, found: DataFrame, spec: JoinSpec) -> DataFrame | None:
     """Groups that compare the members of large nodes that are not in the node's largest component with all of its members.
 
     Both are dealt to blocks of half a small node; each block of the former and each
-    of the latter are a group.
+    of the latter are a group.  None where all nodes are connected.
     """
-    label = large.join(found.withColumnRenamed("u", "cid"), "cid", "left").withColumn("c", F.coalesce("v", "cid"))
+    label = large.join(found.withColumnRenamed("u", "cid"), "cid", "left").select("node", "n", "cid", F.coalesce("v", "cid").alias("c"))
+    label = scratch.written(label, "large-labels")
     each = label.groupBy("node", "c").agg(F.count("*").alias("k"))
     most = each.groupBy("node").agg(F.max_by("c", F.struct("k", "c")).alias("top"), (F.sum("k") - F.max("k")).alias("apart"))
-    rows = label.join(most.filter("apart > 0"), "node")
+    most = scratch.written(most.filter("apart > 0"), "large-apart")  # a row a node of more than ``small`` members
+    if most.isEmpty():
+        return None
+    rows = label.join(most, "node")
     half = spec.small // 2
     deal = lambda salt, n: F.pmod(F.xxhash64("cid", F.lit(salt)), F.ceil(F.col(n) / half)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / half).cast("int") - 1))
@@ -448,6 +455,21 @@ def _blocks(large: DataFrame, found: DataFrame, spec: JoinSpec) -> DataFrame:
     return _node_lists(pairs.select(F.xxhash64("node", "a", "b").alias("node"), "cid"))
 
 
+def _further(links: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with ``links`` added: components of components, which are few, where links join any."""
+    name = lambda side: found.select(F.col("u").alias(side), F.col("v").alias(f"{side}_in"))
+    rows = links.join(name("u"), "u", "left").join(name("v"), "v", "left")
+    rows = rows.select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v")).filter("u <> v")
+    rows = scratch.written(rows.distinct(), "joined-components")
+    if rows.isEmpty():
+        return found
+    merged = components(rows)
+    after = merged.select(F.col("u").alias("v"), F.col("v").alias("low"))
+    moved = found.join(after, "v", "left").select("u", F.coalesce("low", "v").alias("v"))
+    # what was the smallest of its component, or in none, is named by another now
+    return scratch.written(moved.unionByName(merged), "components")
+
+
 def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, class_key.
 
@@ -477,13 +499,10 @@ def _named(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataF
     groups = scratch.written(_candidates(lists, active, spec), "groups")
     links = scratch.written(_links(groups, active, docs, spec, id_col, text_col), "links")
     found = components(links)
-    if stuck:
-        left = stuck[0]
-        for part in stuck[1:]:
-            left = left.unionByName(part)
-        again = scratch.written(_candidates(_blocks(left, found, spec), active, spec), "block-groups")
-        more = scratch.written(_links(again, active, docs, spec, id_col, text_col), "block-links")
-        found = components(found.unionByName(more))
+    lists = _blocks(stuck, found, spec) if stuck is not None else None
+    if lists is not None:
+        again = scratch.written(_candidates(lists, active, spec), "block-groups")
+        found = _further(_links(again, active, docs, spec, id_col, text_col), found)
     label = classes.select("cid", "key", "rep").join(found.withColumnRenamed("u", "cid"), "cid", "left")
     label = label.select("key", "rep", F.coalesce("v", "cid").alias("c"))
     least = scratch.written(label.groupBy("c").agg(F.min("rep").alias("component_id")), "component-ids")
