@@ -1,24 +1,28 @@
 """Licence notices in documents, by a trained paragraph classifier.
 
 A paragraph is a line, or up to SPAN adjacent lines that are not blank, as notices
-are wrapped; comment marks are no words.  Of a line before or after a break only
-the REACH words next to it count.  A paragraph of several lines is a notice where
-it is confirmed and no shorter run of its lines is, for the same family; of such
-paragraphs that share a line the first counts.  Words and pairs of words are
-features of a sparse multinomial logistic regression whose classes are licence
-families and unknown.
+are wrapped; comment marks are no words, and "licence" counts as "license".  Of a
+line before or after a break only the REACH words next to it count.  A paragraph of
+several lines is a notice where it is confirmed and no shorter run of its lines is,
+for the same family; of such paragraphs that share a line the first counts.  Words
+and pairs of words are features of a sparse multinomial logistic regression whose
+classes are licence families and unknown.
 The model is trained here, from the notices below with words dropped, added and
-cut off, and from ordinary lines; a temperature fitted on lines kept apart
-calibrates its probabilities.  A family predicted with at least ``least``
-probability is confirmed where the line holds most words of one of its notices.
-
-Every feature holds an anchor word, so a paragraph without one has no feature and its
-class is unknown: such paragraphs are never scored.  Scoring is one projection of
-DataFrame functions, without a shuffle.
+cut off, and, for the class unknown, from ordinary lines and notices of licences
+that are no family; a temperature fitted on lines kept apart, those of other
+licences among them, calibrates its probabilities.  A family predicted with at least
+``least`` probability is confirmed where the paragraph holds most words of one of its
+notices, and most of the notice's pairs of adjacent words, so their order counts.
+
+Lines are scored where they hold an anchor.  Anchors follow from the notices: of each
+notice, so many of its rarest words that a paragraph cannot hold most of the notice
+and none of them.  So no line that could be confirmed alone is passed over.  Scoring
+is one projection of DataFrame functions, without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -39,6 +43,7 @@ NOTICES: Mapping[str, tuple[str, ...]] = {
     ),
     "mit": (
         "Released under the MIT License",
+        "Licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
         "SPDX-License-Identifier: MIT",
     ),
@@ -46,31 +51,55 @@ NOTICES: Mapping[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3",
         "redistribute it and/or modify it under the terms of the GNU General Public License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0",
+        "SPDX-License-Identifier: GPL-2.0",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License",
+        "redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-3.0",
+    ),
+    "agpl": (
+        "Licensed under the GNU Affero General Public License",
+        "redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "SPDX-License-Identifier: AGPL-3.0",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted",
         "Released under the BSD License",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "epl": (
+        "made available under the terms of the Eclipse Public License",
+        "Licensed under the Eclipse Public License",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "SPDX-License-Identifier: ISC",
+    ),
     "cc-by": (
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "Dieses Werk ist lizenziert unter CC BY 4.0",
     ),
     "cc-by-sa": (
         "Licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "Dieses Werk ist lizenziert unter CC BY-SA 4.0",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "Dieses Werk ist lizenziert unter CC BY-NC 4.0",
     ),
     "public-domain": (
         "This is free and unencumbered software released into the public domain",
@@ -82,11 +111,26 @@ NOTICES: Mapping[str, tuple[str, ...]] = {
     ),
 }
 
-#: Words of which every feature holds one.
-ANCHORS = (
-    "apache", "bsd", "by-nc", "by-sa", "cc", "cc0", "commons", "copying", "copyright", "domain", "gnu", "gpl",
-    "lgpl", "licence", "license", "license-identifier", "licensed", "mozilla", "mpl", "permission", "permitted",
-    "redistribute", "redistribution", "reserved", "software", "spdx", "spdx-license-identifier",
+#: Notices of licences that are no family here.
+OTHERS = (
+    "Distributed under the Boost Software License, Version 1.0",
+    "Licensed under the European Union Public License",
+    "This package is licensed under the Artistic License 2.0",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: BSL-1.0",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1",
+    "Licensed under the Open Data Commons Open Database License",
+    "Licensed under the Microsoft Public License",
+    "Released under the Academic Free License version 3.0",
+    "made available under the Community Data License Agreement",
+)
+
+#: Words too common to be anchors, where a notice has others.
+COMMON = (
+    "a", "all", "and", "and-or", "any", "are", "available", "charge", "copy", "except", "extent", "fee", "file", "for", "form",
+    "forms", "free", "general", "has", "in", "international", "into", "is", "ist", "it", "law", "made", "may", "modify", "not",
+    "obtaining", "of", "or", "person", "possible", "public", "purpose", "rights", "source", "subject", "terms", "the", "this",
+    "to", "under", "unter", "use", "version", "with", "without", "work", "you", "dieses", "werk", "code", "author", "or",
 )
 
 #: Ordinary lines with anchor words, for the class unknown.
@@ -109,16 +153,34 @@ ORDINARY = (
 SPAN = 4  # lines of a wrapped notice
 REACH = 40  # words; twice those of the longest notice
 WORD = r"[a-z0-9][a-z0-9+-]*"
+MOST, MOST_PAIRS = 0.75, 0.5  # of a notice's words and pairs of adjacent words, in a paragraph that confirms it
 
 
 def words_of(line: str) -> list[str]:
-    return re.findall(WORD, line.lower())
+    return re.findall(WORD, line.lower().replace("licence", "license"))
+
+
+def pairs_of(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def _anchors() -> tuple[str, ...]:
+    """Of each notice one word more than a paragraph may lack: first the words that are not common, then the longer ones."""
+    out: set[str] = set()
+    for notice in [n for family in NOTICES.values() for n in family]:
+        words = set(words_of(notice))
+        lacking = len(words) - math.ceil(MOST * len(words))
+        ranked = sorted(words, key=lambda w: (w in COMMON or w.isdigit(), w not in out, -len(w), w))
+        out.update(ranked[: lacking + 1])
+    return tuple(sorted(out))
+
+
+ANCHORS = _anchors()
 
 
 def features_of(words: list[str]) -> set[str]:
     """Words and pairs of adjacent words that hold an anchor."""
-    pairs = [f"{a} {b}" for a, b in zip(words, words[1:]) if a in ANCHORS or b in ANCHORS]
-    return {w for w in words if w in ANCHORS} | set(pairs)
+    return {w for w in words if w in ANCHORS} | {p for p in pairs_of(words) if not set(p.split()).isdisjoint(ANCHORS)}
 
 
 @dataclass(frozen=True)
@@ -156,7 +218,7 @@ def train(variants: int = 40, rounds: int = 400, l2: float = 2e-3, seed: int = 3
     rows: list[tuple[list[str], int]] = []
     for k, name in enumerate(classes[1:], 1):
         rows += [(v, k) for line in NOTICES[name] for v in _variants(line, filler, rng, variants)]
-    rows += [(v, 0) for line in ORDINARY for v in _variants(line, filler, rng, variants)]
+    rows += [(v, 0) for line in (*ORDINARY, *OTHERS) for v in _variants(line, filler, rng, variants)]
     for anchor in ANCHORS:  # an anchor alone among other words says little
         rows += [(rng.choice(filler, 4).tolist() + [anchor] + rng.choice(filler, 4).tolist(), 0) for _ in range(variants // 4)]
     rows += [(rng.choice(filler, 8).tolist(), 0) for _ in range(20 * variants)]
@@ -193,11 +255,28 @@ def _doubles(values) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"))
+    return F.regexp_extract_all(F.replace(F.lower(line), F.lit("licence"), F.lit("license")), F.lit(f"({WORD})"))
 
 
 def _enough(notice: Column, words: Column) -> Column:
-    return F.size(F.array_intersect(notice, words)) >= 0.75 * F.size(notice)
+    return F.size(F.array_intersect(notice, words)) >= MOST * F.size(notice)
+
+
+def _pairs(words: Column) -> Column:
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _in_order(pairs: Column, words: Column) -> Column:
+    """Whether most pairs of a notice are in a paragraph."""
+    return F.size(F.array_intersect(pairs, _pairs(words))) >= MOST_PAIRS * F.size(pairs)
+
+
+def _notice(notice: str) -> Column:
+    """struct(words, pairs) of a notice, each once."""
+    words = words_of(notice)
+    array = lambda x: F.array(*map(F.lit, sorted(set(x)))).cast("array<string>")
+    return F.struct(array(words).alias("words"), array(pairs_of(words)).alias("pairs"))
 
 
 def _classes(words: Column, model: LicenseModel, least: float) -> Column:
@@ -208,7 +287,7 @@ def _classes(words: Column, model: LicenseModel, least: float) -> Column:
         *[
             c
             for name in model.classes[1:]
-            for c in (F.lit(name), F.array(*[F.array(*map(F.lit, sorted(set(words_of(n))))) for n in NOTICES[name]]))
+            for c in (F.lit(name), F.array(*[_notice(n) for n in NOTICES[name]]))
         ]
     )
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
@@ -227,7 +306,8 @@ def _classes(words: Column, model: LicenseModel, least: float) -> Column:
         p = F.lit(1.0) / total
         name = F.element_at(F.array(*map(F.lit, model.classes)), F.array_position(z, top).cast("int"))
         family = F.when(p >= least, name).otherwise(F.lit(UNKNOWN))
-        sure = F.coalesce(F.exists(F.try_element_at(notices, family), lambda n: _enough(n, w)), F.lit(False))
+        holds = lambda n: _enough(n["words"], w) & _in_order(n["pairs"], w)
+        sure = F.coalesce(F.exists(F.try_element_at(notices, family), holds), F.lit(False))
         return F.struct(family.alias("family"), p.alias("probability"), sure.alias("confirmed"))
 
     return F.transform(F.array(words), classified)[0]
@@ -292,8 +372,9 @@ def licenses(
     # an anchor as a word of its own: not inside a longer one
     anchor = r"(?<![a-z0-9+-])(" + "|".join(sorted(map(re.escape, ANCHORS), key=len, reverse=True)) + r")(?![a-z0-9+-])"
     lines = F.transform(F.split(text, "\n"), lambda x, k: F.struct(k.alias("line"), x.alias("text")))
-    lines = F.filter(lines, lambda x: F.lower(x["text"]).rlike(anchor))
-    has = F.lower(text).rlike("|".join(sorted(map(re.escape, ANCHORS))))
+    lines = F.filter(lines, lambda x: F.replace(F.lower(x["text"]), F.lit("licence"), F.lit("license")).rlike(anchor))
+    plain = F.replace(F.lower(text), F.lit("licence"), F.lit("license"))
+    has = plain.rlike("|".join(sorted(map(re.escape, ANCHORS))))
     no_lines = F.array().cast("array<struct<line:int,text:string>>")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text.alias("__text"), F.when(has, lines).otherwise(no_lines).alias("__lines")

@@ -23,7 +23,11 @@ def expected(text, model, least=0.5):
         p = model.probabilities(words)
         family = model.classes[int(np.argmax(p))]
         if family != L.UNKNOWN and p.max() >= least:
-            sure = any(len(set(L.words_of(n)) & set(words)) >= 0.75 * len(set(L.words_of(n))) for n in L.NOTICES[family])
+            sure = any(
+                len(set(L.words_of(n)) & set(words)) >= 0.75 * len(set(L.words_of(n)))
+                and len(set(L.pairs_of(L.words_of(n))) & set(L.pairs_of(words))) >= 0.5 * len(set(L.pairs_of(L.words_of(n))))
+                for n in L.NOTICES[family]
+            )
             out.append((k, family, sure))
     return out
 
@@ -56,7 +60,7 @@ def test_notices_in_other_words(shipped, model):
     lines = {
         "Copyright 2020 Somebody. All rights reserved.": "proprietary",
         "// SPDX-License-Identifier: MIT": "mit",
-        "released under the mit licence": "unknown",
+        "released under the mit licence": "mit",
         "Licensed under the Apache License, Version 2.0 (the License)": "apache-2.0",
         "* This program: you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
         "This text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
@@ -105,3 +109,36 @@ def test_wrapped_notices_are_found_once(shipped, model):
     found = {r.doc_id: r for r in L.licenses(docs, model).collect()}
     assert [found[k].families for k in range(len(texts))] == list(texts.values())
     assert all(found[k].n_confirmed == (1 if family else 0) for k, family in enumerate(texts.values()))
+
+
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        ("SPDX-License-Identifier: EPL-2.0", "epl"),
+        ("# SPDX-License-Identifier: AGPL-3.0", "agpl"),
+        ("This is licensed under the GNU Affero General Public License", "agpl"),
+        ("Dieses Werk ist lizenziert unter CC BY-SA 4.0.", "cc-by-sa"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files", "mit"),
+        ("Released under the MIT licence", "mit"),
+        ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License", "lgpl"),
+        ("This program is free software: you can redistribute it and/or modify", ""),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", "isc"),
+        ("Distributed under the Boost Software License, Version 1.0", ""),
+        ("Licensed under the Open Software License version 3.0", ""),
+        ("SPDX-License-Identifier: WTFPL", ""),
+        ("License the Apache under, 2.0 Licensed Version", ""),
+        ("we asked for permission, free of charge, and any person got a copy of the software", ""),
+    ],
+)
+def test_families_and_other_licences(shipped, model, text, family):
+    docs = shipped.createDataFrame([(1, f"some words\n{text}\nmore words")], "doc_id long, text string")
+    assert L.licenses(docs, model).first().families == family
+
+
+def test_no_confirmed_line_lacks_an_anchor():
+    """Whatever a paragraph lacks of a notice, the words it must hold have an anchor among them."""
+    import math
+
+    for notice in [n for family in L.NOTICES.values() for n in family]:
+        words = set(L.words_of(notice))
+        assert len(words - set(L.ANCHORS)) < math.ceil(L.MOST * len(words))
