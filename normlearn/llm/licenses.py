@@ -89,17 +89,17 @@ NOTICES: Mapping[str, tuple[str, ...]] = {
     "cc-by": (
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
-        "Dieses Werk ist lizenziert unter CC BY 4.0",
+        "lizenziert unter CC BY 4.0",
     ),
     "cc-by-sa": (
         "Licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-        "Dieses Werk ist lizenziert unter CC BY-SA 4.0",
+        "lizenziert unter CC BY-SA 4.0",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-        "Dieses Werk ist lizenziert unter CC BY-NC 4.0",
+        "lizenziert unter CC BY-NC 4.0",
     ),
     "public-domain": (
         "This is free and unencumbered software released into the public domain",
@@ -127,10 +127,10 @@ OTHERS = (
 
 #: Words too common to be anchors, where a notice has others.
 COMMON = (
-    "a", "all", "and", "and-or", "any", "are", "available", "charge", "copy", "except", "extent", "fee", "file", "for", "form",
-    "forms", "free", "general", "has", "in", "international", "into", "is", "ist", "it", "law", "made", "may", "modify", "not",
+    "a", "all", "and", "and-or", "any", "are", "available", "by", "charge", "copy", "except", "extent", "fee", "file", "for", "form",
+    "forms", "free", "general", "has", "in", "international", "into", "is", "it", "law", "made", "may", "modify", "not",
     "obtaining", "of", "or", "person", "possible", "public", "purpose", "rights", "source", "subject", "terms", "the", "this",
-    "to", "under", "unter", "use", "version", "with", "without", "work", "you", "dieses", "werk", "code", "author", "or",
+    "to", "under", "unter", "use", "version", "with", "without", "work", "you", "code", "author",
 )
 
 #: Ordinary lines with anchor words, for the class unknown.
