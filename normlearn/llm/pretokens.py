@@ -35,7 +35,8 @@ _MULTIPLY, _MIX = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
 
 #: The code points with Unicode's property White_Space.
-_WHITE = "\t-\r \x85\xa0  -     　"
+WHITE_SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_WHITE = "".join(map(chr, WHITE_SPACE))
 #: Where a pre-token starts in any case: white space after something else, a letter or number after a mark.
 _EDGE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])|(?<=[^\\s\\w'])(?=[^\\W_])")
 
@@ -48,8 +49,7 @@ def _classes() -> np.ndarray:
     for code in range(LAST):
         kind = unicodedata.category(chr(code))
         out[code] = of.get(kind, of.get(kind[0], OTHER))
-    white = re.compile(f"[{_WHITE}]")
-    out[[code for code in range(0x3001) if white.match(chr(code))]] = SPACE
+    out[list(WHITE_SPACE)] = SPACE
     return out
 
 
@@ -131,7 +131,7 @@ def _for_library(text: str, special: tuple[str, ...]) -> bool:
     """Whether a text has a string of an added token, or a code point without a class."""
     if any(s in text for s in special):
         return True
-    return not text.isascii() and max(text) >= "Ͱ" and not _kinds(_codes(text)).all()
+    return not text.isascii() and max(text) >= chr(0x370) and not _kinds(_codes(text)).all()
 
 
 def segments(texts: list[str], special: tuple[str, ...]) -> Iterator[tuple[list[int], list[str]]]:
