@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from normlearn.llm import jpeg
+
 SIDE = 24
 FRAME = SIDE * SIDE
 FPS = 25
@@ -204,39 +206,121 @@ class Avi:
 
 
 def read_avi(data: bytes) -> Avi:
-    """The frames of an AVI file by its index, or by walking its chunks where it has none."""
+    """The frames of the first video stream of an AVI file, by its index, or by walking its chunks where it has none.
+
+    Chunks in ``rec`` lists and in further RIFF parts of long files are walked too.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     micros = width = height = 0
-    movi, index = (0, 0), None
+    lists, index = [], None
     at = 12
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"RIFF":  # a further part: its chunks follow
+            at += 12
+            continue
         if name == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
             main = data.index(b"avih", at) + 8
             micros, (width, height) = struct.unpack_from("<I", data, main)[0], struct.unpack_from("<II", data, main + 32)
+            video = data.find(b"strh", main)
+            while 0 <= video < at + size and data[video + 8 : video + 12] != b"vids":
+                video = data.find(b"strh", video + 4)
+            if 0 <= video < at + size:
+                scale, rate = struct.unpack_from("<II", data, video + 28)
+                micros = 1_000_000 * scale // rate if scale and rate else micros
         elif name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, at + 8 + size)
-        elif name == b"idx1":
-            index = (at + 8, size)
+            lists.append((at + 8, min(at + 8 + size, len(data))))
+        elif name == b"idx1" and index is None:
+            index = (at + 8, min(size, len(data) - at - 8))
         at += 8 + size + (size & 1)
-    frames = []
-    if index:
-        for k in range(index[0], index[0] + index[1], 16):
-            name, _, offset, size = struct.unpack_from("<4sIII", data, k)
-            if name[2:] in (b"dc", b"db"):
-                begin = movi[0] + offset + 8
-                if data[begin - 8 : begin - 4] != name:  # some writers count from the file's start
-                    begin = offset + 8
-                frames.append(data[begin : begin + size])
-    else:
-        at = movi[0] + 4
-        while at + 8 <= movi[1]:
-            name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if name[2:] in (b"dc", b"db"):
-                frames.append(data[at + 8 : at + 8 + size])
-            at += 8 + size + (size & 1)
-    return Avi(micros, width, height, frames)
+    if not lists:
+        raise ValueError("an AVI file without frames")
+    found: list[tuple[bytes, int, int]] = []
+    for k, (begin, end) in enumerate(lists):
+        found += _indexed(data, begin, index) if index and not k else _walked(data, begin + 4, end)
+    frames = [(name, begin, size) for name, begin, size in found if name[2:] in (b"dc", b"db")]
+    if any(begin + size > len(data) for _, begin, size in frames):
+        raise ValueError("the file ends early")
+    return Avi(micros, width, height, [data[b : b + n] for name, b, n in frames if name[:2] == frames[0][0][:2]])
+
+
+def _indexed(data: bytes, movi: int, index: tuple[int, int]) -> list[tuple[bytes, int, int]]:
+    """Name, first byte and size of the chunks that an index lists."""
+    out = []
+    for name, _, offset, size in struct.iter_unpack("<4sIII", data[index[0] : index[0] + index[1] // 16 * 16]):
+        begin = movi + offset + 8
+        if data[begin - 8 : begin - 4] != name:  # some writers count from the file's start
+            begin = offset + 8
+        out.append((name, begin, size))
+    return out
+
+
+def _walked(data: bytes, at: int, end: int) -> list[tuple[bytes, int, int]]:
+    """The same, of the chunks from ``at`` to ``end``."""
+    out = []
+    while at + 8 <= end:
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"LIST":  # a group of chunks: they follow
+            at += 12
+            continue
+        out.append((name, at + 8, size))
+        at += 8 + size + (size & 1)
+    return out
+
+
+def clips_of_file(data: bytes) -> tuple[int, list[tuple[int, int]]]:
+    """Microseconds a frame, and (first, past the last) frame of each shot of a Motion-JPEG AVI file of any size.
+
+    Frames are decoded one at a time, of which only the histograms stay.  An empty
+    frame repeats the one before.
+    """
+    avi = read_avi(data)
+    if not avi.frames or not avi.micros:
+        raise ValueError("no frames, or no time of a frame")
+    counts, pixels = [], 0
+    for image in avi.frames:
+        if not image and counts:
+            counts.append(counts[-1])
+            continue
+        samples = jpeg.luma(image)
+        if pixels not in (0, samples.size):
+            raise ValueError("frames of unequal size")
+        pixels = samples.size
+        counts.append(np.bincount(samples.reshape(-1) >> 4, minlength=BINS))
+    whole = np.array(counts)
+    steps = np.zeros(len(whole), np.int64)
+    steps[1:] = np.abs(whole[1:] - whole[:-1]).sum(1)
+    return avi.micros, shots(steps, floor=pixels // 4)
+
+
+def file_clips(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """A row per shot of a column of AVI files: doc_id, shot, first_frame, end_frame, start_ms, end_ms, error.
+
+    The files hold Motion-JPEG of any writer (see ``jpeg``).  Null, empty and other
+    bytes that cannot be read as such give one row with a null shot and the reason as
+    ``error``, which is null elsewhere.  Null ids stay null, repeated rows are read
+    each, an empty table gives an empty result, and other columns are ignored.
+    """
+    names = ["doc_id", "shot", "first_frame", "end_frame", "start_ms", "end_ms", "error"]
+    schema = "doc_id long, shot int, first_frame int, end_frame int, start_ms long, end_ms long, error string"
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, data in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
+                try:
+                    micros, found = clips_of_file(data.as_py() or b"")
+                except (ValueError, struct.error) as error:
+                    rows.append((key, None, None, None, None, None, str(error)))
+                    continue
+                rows += [(key, k, a, b, a * micros // 1000, b * micros // 1000, None) for k, (a, b) in enumerate(found)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    source = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media"))
+    return source.mapInArrow(run, schema)
 
 
 def histogram_steps(samples: np.ndarray) -> np.ndarray:
