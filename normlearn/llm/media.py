@@ -362,7 +362,7 @@ class Stored:
     clips: list[tuple[int, int]]
 
 
-BATCH = 1 << 13  # frames coded at once
+BATCH = 1 << 11  # frames coded at once
 
 
 def store(payloads: list[bytes]) -> Iterator[Stored]:
@@ -452,7 +452,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return source.mapInArrow(run, schema)
 
 
-def groups(lengths: list[int], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def groups(lengths: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive rows whose lengths sum to about ``most``; a longer row is alone."""
     begin, held = 0, 0
     for k, n in enumerate(lengths):
