@@ -32,6 +32,7 @@ from .pretokens import U64, scrambled, trimmed
 
 ROWS = 256  # texts handled at once
 CHUNK_BYTES = 1 << 22  # of text, after which a chunk ends; a longer text is one whole
+PART_KEYS = 1 << 22  # words and bigrams summed at once, so the parts of the key space grow in number with the corpus
 BEGIN, END, UNKNOWN = U64(1), U64(2), U64(3)  # in place of a word's hash
 
 
@@ -272,17 +273,16 @@ def score(
     spec = with_key(spec)
     names = None if spec.words is None else vocabulary(docs, spec.words, text_col, spec.key)
     shared = spark.sparkContext.broadcast(names)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = scratch.written(_chunks(_rows(docs, text_col, id_col)), "lm-chunks")
     chosen = scratch.written(_chunks(_rows(target, target_text)), "lm-target")
+    totals = [x.agg(F.sum(F.col("n_texts") + F.col("n_words"))).first()[0] or 0 for x in (chosen, chunks)]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * sum(totals) // PART_KEYS))
     dealt = _dealt(chunks, parts, False, shared, spec.key).unionByName(_dealt(chosen, parts, True, shared, spec.key))
     counts = scratch.written(_summed(dealt, parts), "lm-counts")
     # begin and end are keyed like words; the end is predicted, the begin never
     distinct = (counts.agg(F.sum("n_words")).first()[0] or 0) - 2
     types = (distinct if names is None else len(names)) + 2
 
-    totals = [x.agg(F.sum(F.col("n_texts") + F.col("n_words"))).first()[0] or 0 for x in (chosen, chunks)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, "chunk"):
             table = _texts(rows[0]["texts"])

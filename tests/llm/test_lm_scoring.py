@@ -112,5 +112,15 @@ def test_chunks_do_not_change_the_losses(shipped, documents, monkeypatch):
     assert rows() == whole
 
 
+def test_parts_of_the_key_space_do_not_change_the_losses(shipped, documents, monkeypatch):
+    docs, target = documents.limit(60), documents.limit(5)
+    rows = lambda: sorted((r.doc_id, r.n_words, round(r.score, 9)) for r in M.score(docs, target).collect())
+    whole = rows()
+    words = sum(n + 1 for _, n, _ in whole)
+    parts = int(shipped.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(M, "PART_KEYS", 2 * words // (4 * parts))  # some times as many
+    assert rows() == whole
+
+
 def test_query_matches_its_sql(shipped, sf_dir, same_rows):
     same_rows(M.op7_lm_scoring(shipped, sf_dir), M.ORACLE)
