@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to this many terms a product with known coefficients is written out; beyond,
@@ -32,17 +32,47 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
+class Coefficients(Sequence[float]):
+    """Coefficients that a plan takes from a table of one row, and not from its own text.
+
+    Passes that differ in nothing else share their generated code, which is compiled once.
+    """
+
+    def __init__(self, values: Sequence[float], row: Column, first: int = 0) -> None:
+        self.values, self.row, self.first = values, row, first
+
+    @classmethod
+    def of(cls, spark: SparkSession, values: Sequence[float]) -> Coefficients:
+        table = spark.sql("SELECT w FROM VALUES (:w) AS t(w)", args={"w": vector(values)})
+        return cls(values, table.scalar())
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return Coefficients(self.values[at], self.row, self.first + at.indices(len(self))[0])
+        return self.values[at]
+
+    def column(self, i: int) -> Column:
+        return F.get(self.row, self.first + i)
+
+
+def coefficient(w: Sequence[float], i: int) -> Column:
+    return w.column(i) if isinstance(w, Coefficients) else F.lit(float(w[i]))
+
+
 def dot_literal(x: Column, w: Sequence[float], of: int | None = None) -> Column:
     """The inner product with known coefficients; ``of`` is the length of the whole product it is a part of.
 
     Written-out coefficients are part of the generated code, which is compiled anew
-    for others; in a wide pass that costs more than it saves.
+    for others unless they are ``Coefficients``; in a wide pass it is too long.
     """
     if max(len(w), of or 0) > UNROLL:
         return dot(x, vector(w))
     out = F.lit(0.0)
-    for i, v in enumerate(w):
-        out = out + F.get(x, i) * F.lit(float(v))
+    for i in range(len(w)):
+        out = out + F.get(x, i) * coefficient(w, i)
     return out
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from normlearn.functions import vectors as V
 from normlearn.operators.data import NormalizedData, parts_by_key, validate
 from normlearn.plans import gradient as G
 from normlearn.sources.spec import TrainSpec
@@ -136,6 +137,21 @@ def minimize(objective: Objective, w: np.ndarray, spec: TrainSpec) -> FitResult:
     return out
 
 
+def _objective(
+    spark: SparkSession,
+    gradient: Callable[[Sequence[float]], DataFrame],
+    products: Callable[[list[Sequence[float]]], DataFrame],
+    regularizer: float,
+) -> Objective:
+    """An objective by plans of a pass and of rows' products; coefficients and steps are no part of their code."""
+
+    def along(w: np.ndarray, p: np.ndarray, steps: list[float]) -> list[float]:
+        d, every = len(w), V.Coefficients.of(spark, [*w.tolist(), *p.tolist(), *steps])
+        return list(G.ladder(products([every[:d], every[d : 2 * d]]), every[2 * d :]).first())
+
+    return Objective(lambda w: G.collected(gradient(V.Coefficients.of(spark, w.tolist()))), along, regularizer)
+
+
 def fit(data: NormalizedData, spec: TrainSpec = TrainSpec(), table: DataFrame | None = None, check: bool = True) -> FitResult:
     """Trains over ``data``; approaches m and t over its join, which ``table`` may give."""
     counts = validate(data, spec.strict_fk) if check or spec.approach == "auto" else {}
@@ -149,9 +165,10 @@ def fit(data: NormalizedData, spec: TrainSpec = TrainSpec(), table: DataFrame |
             approach = G.choose(data, counts["n_s"], counts["n_r"])
         if approach in ("m", "t"):
             joined = (table if table is not None else G.denormalized(data)).persist()
-        objective = Objective(
-            lambda w: G.collected(G.build(data, w.tolist(), approach, joined, spec.srsplits)),
-            lambda w, p, a: list(G.ladder(G.products(data, [w.tolist(), p.tolist()], approach, joined), a).first()),
+        objective = _objective(
+            data.s.sparkSession,
+            lambda w: G.build(data, w, approach, joined, spec.srsplits),
+            lambda vectors: G.products(data, vectors, approach, joined),
             spec.regularizer,
         )
         return minimize(objective, np.full(data.d, spec.w_init), spec)
@@ -165,19 +182,16 @@ def fit_rows(rows: DataFrame, spec: TrainSpec, d: int | None = None) -> FitResul
     """Trains over one flat table (label, x)."""
     from pyspark.sql import functions as F
 
-    from normlearn.functions import vectors as V
-
     rows = rows.select(V.sign_label(F.col("label").cast("double")).alias("label"), F.col("x").cast("array<double>").alias("x"))
     rows = rows.dropna().persist()
     try:
         if d is None:
             first = rows.select(F.size("x")).first()
             d = first[0] if first else 0
-        objective = Objective(
-            lambda w: G.collected(G.over_rows(rows, w.tolist())),
-            lambda w, p, a: list(
-                G.ladder(rows.select("label", V.dot_literal(F.col("x"), w.tolist()).alias("p0"), V.dot_literal(F.col("x"), p.tolist()).alias("p1")), a).first()
-            ),
+        objective = _objective(
+            rows.sparkSession,
+            lambda w: G.over_rows(rows, w),
+            lambda vectors: rows.select("label", *[V.dot_literal(F.col("x"), v).alias(f"p{i}") for i, v in enumerate(vectors)]),
             spec.regularizer,
         )
         return minimize(objective, np.full(d, spec.w_init), spec)
@@ -189,8 +203,6 @@ def predict(data: NormalizedData, w: np.ndarray, factorized: bool = True) -> Dat
     """sid and the probability of label 1 for each joined row."""
     from pyspark.sql import functions as F
 
-    from normlearn.functions import vectors as V
-
     if factorized:
         rows = G.scored(data, list(w)).select("sid", "wx")
     else:

@@ -269,7 +269,7 @@ def products(data: NormalizedData, vectors: Sequence[Sequence[float]], approach:
 def ladder(products_: DataFrame, steps: Sequence[float]) -> DataFrame:
     """phi0, phi1, ...: the loss at w + step * p for each step, from products with w (p0) and p (p1), in one pass."""
     y, wx, px = F.col("label"), F.col("p0"), F.col("p1")
-    return products_.agg(*[_sum(V.row_loss(y, wx + F.lit(float(a)) * px)).alias(f"phi{i}") for i, a in enumerate(steps)])
+    return products_.agg(*[_sum(V.row_loss(y, wx + V.coefficient(steps, i) * px)).alias(f"phi{i}") for i in range(len(steps))])
 
 
 def collected(plan: DataFrame) -> tuple[float, np.ndarray]:

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from normlearn.functions import vectors as V
 from normlearn.operators.data import Names, NormalizedData, normalized, validate
 from normlearn.plans import gradient as G
 
@@ -146,3 +147,22 @@ def test_long_vectors(spark, d_s, d_r, matched):
     for approach, (found, gradient) in results(tables(spark, s, r, d_s, d_r), w):
         assert found == pytest.approx(loss), approach
         assert gradient == pytest.approx(g, abs=1e-9), approach
+
+
+@pytest.mark.parametrize("approach", ["m", "s", "sr", "f", "fsql"])
+def test_coefficients_outside_the_code(spark, approach):
+    """The same sums as with written-out coefficients, from code that does not change with them."""
+    s = spark.createDataFrame([(k, k % 2, k % 5, [0.1 * k, -0.3]) for k in range(40)], "sid long, label int, forkey long, xs array<double>")
+    r = spark.createDataFrame([(k, [1.0, 0.2 * k, -0.5]) for k in range(4)], "rid long, xr array<double>")
+    data = normalized(s, r, d_s=2, d_r=3)
+    w = [0.3, -0.2, 0.5, 0.1, float(2**-40)]
+    held = V.Coefficients.of(spark, w)
+    assert len(held) == 5 and list(held) == w and list(held[1:4][1:]) == w[2:4]
+    written, other = (G.collected(G.build(data, x, approach, k=3)) for x in (w, held))
+    assert other[0] == pytest.approx(written[0]) and other[1] == pytest.approx(written[1])
+    plan = G.build(data, held, approach, k=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" in plan and "* 0.3" not in plan
+    steps = V.Coefficients.of(spark, [1.0, 0.5])
+    rows = G.products(data, [held, held], approach)
+    expected = G.ladder(G.products(data, [w, w], approach), [1.0, 0.5]).first()
+    assert list(G.ladder(rows, steps).first()) == pytest.approx(list(expected))
