@@ -68,7 +68,13 @@ class Objective:
 
 
 def line_search(objective: Objective, start: float, phi0: float, slope: float, w: np.ndarray, p: np.ndarray, most: int) -> tuple[float, int]:
-    """(step, trials): the first of start, start/2, ... with enough decrease."""
+    """(step, trials): the first of start, start/2, ... with enough decrease.
+
+    The objective is convex, so it decreases nowhere along a direction of no descent,
+    and a step that seems to pass there passes by rounding alone.
+    """
+    if not slope < 0:
+        raise SearchFailed(f"the direction does not descend: its slope is {slope}")
     tried = 0
     while tried < most:
         alphas = [start * SHRINK**k for k in range(tried, min(tried + RUNGS, most))]

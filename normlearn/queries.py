@@ -221,15 +221,21 @@ def _spec(algo: str, **more) -> TrainSpec:
     return TrainSpec(**({"approach": "f", "algo": algo, "iters": 5, "w_init": 0.0, "stepsize": 1e-3, "regularizer": LAMBDA} | more))
 
 
-def _traced(found: T.FitResult, spark: SparkSession) -> DataFrame:
-    """A trace with 4 decimals (9 of the step), since later iterations carry on the rounding of earlier ones."""
-    rows = found.trace_frame(spark)
+def _traced(found: T.FitResult, spark: SparkSession, iters: int = 0) -> DataFrame:
+    """A trace with 4 decimals (9 of the step), since later iterations carry on the rounding of earlier ones.
+
+    Of ``iters`` iterations, those after one that found no step have nulls.
+    """
+    done = len(found.trace)
+    rest = [(k + 1, None, None, None, None) for k in range(done, iters)] if found.status != "tolerance" else []
+    rows = T.FitResult(found.w, found.trace + rest).trace_frame(spark)
     four = lambda c: (F.round(c, 4) + 0.0).alias(c)
     return rows.select("iter", four("loss"), four("grad_norm"), "ls_count", (F.round("alpha", 9) + 0.0).alias("alpha"))
 
 
 def _trace(algo: str, **more) -> Callable:
-    return lambda spark, sf_dir: _traced(T.fit(main_data(spark, sf_dir), _spec(algo, **more)), spark)
+    run = _spec(algo, **more)
+    return lambda spark, sf_dir: _traced(T.fit(main_data(spark, sf_dir), run), spark, run.iters)
 
 
 def _flat_trace(spark: SparkSession, sf_dir: str) -> DataFrame:

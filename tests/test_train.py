@@ -85,6 +85,13 @@ def test_a_search_without_a_step_ends_with_a_status(generated):
     assert found.status == "line search failed" and found.w.tolist() == [0, 0]
 
 
+def test_a_direction_that_does_not_descend_takes_no_step():
+    flat = T.Objective(lambda w: (1.0, np.ones(2)), lambda w, p, a: [1.0 - 1e-16] * len(a), 0.0)  # equal but for rounding
+    for slope in (1e-20, 0.0):
+        with pytest.raises(T.SearchFailed):
+            T.line_search(flat, 1.0, 1.0, slope, np.zeros(2), np.ones(2), 60)
+
+
 def test_empty_join_is_stationary(spark):
     s = spark.createDataFrame([], "sid long, label double, forkey long, xs array<double>")
     r = spark.createDataFrame([], "rid long, xr array<double>")
