@@ -249,7 +249,8 @@ def _spec_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     with tempfile.NamedTemporaryFile("w", suffix=".json") as file:
         json.dump({"algo": "cgd", "approach": "s", "iters": 3, "stepsize": 0.002}, file)
         file.flush()
-        return _traced(T.fit(main_data(spark, sf_dir), spec.from_json(file.name)), spark)
+        run = spec.from_json(file.name)
+    return _traced(T.fit(main_data(spark, sf_dir), run), spark, run.iters)
 
 
 def _model(spark: SparkSession, sf_dir: str) -> DataFrame:

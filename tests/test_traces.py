@@ -33,3 +33,7 @@ def _same(spark, repeated, name: str) -> None:
 
 def test_cgd_trace(spark, repeated):
     _same(spark, repeated, "cgd_trace")
+
+
+def test_spec_trace(spark, repeated):
+    _same(spark, repeated, "spec_trace")
