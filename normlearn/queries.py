@@ -221,7 +221,7 @@ def _spec(algo: str, **more) -> TrainSpec:
     return TrainSpec(**({"approach": "f", "algo": algo, "iters": 5, "w_init": 0.0, "stepsize": 1e-3, "regularizer": LAMBDA} | more))
 
 
-def _traced(found: T.FitResult, spark: SparkSession, iters: int = 0) -> DataFrame:
+def _traced(found: T.FitResult, spark: SparkSession, iters: int) -> DataFrame:
     """A trace with 4 decimals (9 of the step), since later iterations carry on the rounding of earlier ones.
 
     Of ``iters`` iterations, those after one that found no step have nulls.
@@ -241,7 +241,8 @@ def _trace(algo: str, **more) -> Callable:
 def _flat_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained over one flat table, with parameters as command-line arguments."""
     rows = G.denormalized(main_data(spark, sf_dir))
-    return _traced(T.fit_rows(rows, spec.from_arguments(["cgd", "5", "0.0", "1e-3", str(LAMBDA)]), 5), spark)
+    run = spec.from_arguments(["cgd", "5", "0.0", "1e-3", str(LAMBDA)])
+    return _traced(T.fit_rows(rows, run, 5), spark, run.iters)
 
 
 def _spec_trace(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,7 @@ def test_cgd_trace(spark, repeated):
 
 def test_spec_trace(spark, repeated):
     _same(spark, repeated, "spec_trace")
+
+
+def test_single_trace(spark, repeated):
+    _same(spark, repeated, "single_trace")
