@@ -15,6 +15,14 @@ picks to find them, and then its members that are not connected to most of the
 others are compared with all of its members, so nothing is left to chance there.
 The same is done for nodes that are too deep.
 
+Links matter only between components, and a large group of near copies would be compared
+in nodes of every tree and level.  So the members of the first large nodes are compared
+once before the trees grow on, in parts that have some members in common.  Large nodes
+with the same largest component are put together, and where that moves fewer rows than
+another level, their members outside it are compared with all of theirs at once.  Then
+members of one component or of nodes put together need not meet again: nodes without
+others are dropped, and pairs of them are no candidates.
+
 What is compared: first signatures, to drop pairs far from similar (6 standard
 deviations below the threshold), then the full sets.  Only connections within a
 compared group leave it, never all its pairs; groups with very many shingles are
@@ -31,12 +39,12 @@ from __future__ import annotations
 import hashlib
 import math
 import secrets
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -57,6 +65,7 @@ class JoinSpec:
     picks: tuple[int, ...] = (3, 2, 1)  # of a node by its level, the last for all below; see ``wide``
     tokens: int = 3  # of a pick
     small: int = 1000  # members of a node that is compared exhaustively
+    common: int = 8  # members that the parts of a large node have in common
     depth: int = 10
     seed: int = 11
     key: int | None = None  # of the hashes of words; None: drawn for each run
@@ -209,7 +218,7 @@ def _children(nodes: np.ndarray, tokens: np.ndarray, picks: int, together: int)
 
 
 def _branched(members: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
-    """Members of the next level's nodes.  At the root: cid, signature; deeper: node, parent_size, covered, cid, signature."""
+    """Members of the next level's nodes.  At the root: node, cid; deeper: node, parent_size, covered, c, cid, signature."""
     picks = spec.picks[min(level, len(spec.picks) - 1)]
     most = max(picks, spec.wide)
     roots = scrambled(np.arange(spec.trees, dtype=U64) + U64(spec.seed << 20))
@@ -229,15 +238,15 @@ def _branched(members: DataFrame, spec: JoinSpec, level: int) -> DataFrame:
                     rows, names = _children(nodes[some], tokens[some], number, spec.tokens)
                     found.append((some[rows], names))
                 rows, names = (np.concatenate(x) for x in zip(*found, strict=True))
-                rest = batch.select(["n", "covered", "cid", "signature"]).take(pa.array(rows))
+                rest = batch.select(["n", "covered", "c", "cid", "signature"]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.view(np.int64)), *rest.columns], ["node", "parent_size", "covered", "cid", "signature"]
+                    [pa.array(names.view(np.int64)), *rest.columns], ["node", "parent_size", "covered", "c", "cid", "signature"]
                 )
 
     if not level:
         return members.select("cid", "signature").mapInArrow(run, "node long, cid long")
-    source = members.select("node", "n", "wide", "covered", "cid", "signature")
-    return source.mapInArrow(run, "node long, parent_size long, covered boolean, cid long, signature binary")
+    source = members.select("node", "n", "wide", "covered", "c", "cid", "signature")
+    return source.mapInArrow(run, "node long, parent_size long, covered boolean, c long, cid long, signature binary")
 
 
 def _grouped(rows: DataFrame, group: str) -> DataFrame:
@@ -305,21 +314,23 @@ def parted(cid: np.ndarray, size: np.ndarray, spec: JoinSpec) -> list[np.ndarray
 
 
 def _candidates(lists: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Groups (arrays of cid) that signatures connect, out of groups ``members``."""
+    """Groups (arrays of cid) that signatures connect, of members that differ in c, out of groups ``members``."""
     rows = lists.select(F.xxhash64("members").alias("g"), F.explode("members").alias("cid"))
-    rows = rows.join(classes.select("cid", "n_shingles", "signature"), "cid")
+    rows = rows.join(classes.select("cid", "n_shingles", "c", "signature"), "cid")
     least, percent = spec.least_matches, spec.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "g"):
             cid, size = table.column("cid").to_numpy(), table.column("n_shingles").to_numpy()
+            known = table.column("c").to_numpy()
             tokens = _tokens(table.column("signature").combine_chunks())
             found = []
             for a, b in _each(table, "g"):
-                own, n = tokens[a:b], size[a:b]
+                own, n, c = tokens[a:b], size[a:b], known[a:b]
                 linked = np.zeros((b - a, b - a), bool)
                 for k in range(b - a):
                     linked[k] = (own == own[k]).sum(1) >= least
+                linked &= c[:, None] != c
                 linked &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
                 label = _joined(linked)
                 for name in np.flatnonzero(np.bincount(label, minlength=b - a) > 1):
@@ -328,7 +339,7 @@ def _candidates(lists: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["members"])
         trimmed()
 
-    return _grouped(rows.select("g", "cid", "n_shingles", "signature"), "g").mapInArrow(run, "members array<long>").distinct()
+    return _grouped(rows.select("g", "cid", "n_shingles", "c", "signature"), "g").mapInArrow(run, "members array<long>").distinct()
 
 
 def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataFrame:
@@ -391,25 +402,110 @@ def linked_sets(members: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * common >= percent * union
 
 
-def _node_lists(rows: DataFrame) -> DataFrame:
-    """The members of (small) nodes as sorted arrays, each array once."""
-    return rows.groupBy("node").agg(F.sort_array(F.collect_set("cid")).alias("members")).select("members").distinct()
+def _node_lists(rows: DataFrame, apart: bool = False) -> DataFrame:
+    """The members of (small) nodes as sorted arrays, each array once; ``apart``: only of nodes whose members differ in c."""
+    members = F.sort_array(F.collect_set("cid")).alias("members")
+    if apart:
+        lists = rows.groupBy("node").agg(members, F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    else:
+        lists = rows.groupBy("node").agg(members)
+    return lists.select("members").distinct()
+
+
+def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``rows`` and c: members (cid) with the same c need not meet."""
+    if known is None:
+        return rows.withColumn("c", F.col("cid"))
+    rows = rows.join(known.select(F.col("u").alias("cid"), F.col("v").alias("c")), "cid", "left")
+    return rows.withColumn("c", F.coalesce("c", "cid"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """n (members) of the nodes of ``rows`` whose members differ in c."""
+    each = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    return each.filter("low < high").select("node", "n")
+
+
+def _first_groups(large: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Groups that hold each member of ``large`` nodes once, in the largest of its nodes, by parts of half a small node.
+
+    All parts of a node have the same few members of it too, which connect what links connect with them.
+    """
+    parts = F.ceil(F.col("n") / (spec.small // 2)).cast("int")
+    home = large.groupBy("cid").agg(F.max_by("node", F.struct("n", "node")).alias("node"), F.max("n").alias("n"))
+    home = home.select("node", "cid", F.pmod(F.xxhash64("cid", F.lit(3)), parts).cast("int").alias("part"))
+    common = [F.min_by("cid", F.xxhash64("cid", F.lit(10 + k))) for k in range(spec.common)]
+    common = large.groupBy("node").agg(F.max("n").alias("n"), F.array(*common).alias("some"))
+    common = common.select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "some")
+    common = common.select("node", F.explode("some").alias("cid"), "part")
+    return _node_lists(home.unionByName(common).select(F.xxhash64("node", "part").alias("node"), "cid"))
+
+
+def _moved(n: str, apart: str, spec: JoinSpec) -> Column:
+    """Rows of the groups that ``_blocks`` makes of a node of n members."""
+    blocks = lambda k: F.ceil(F.col(k) / (spec.small // 2))
+    return F.col(n) * blocks(apart) + F.col(apart) * blocks(n)
+
 
+def _together(large: DataFrame, found: DataFrame, spec: JoinSpec, otherwise: Column | None = None) -> DataFrame:
+    """Nodes with the same largest component put together, named by it, where their blocks have fewer rows: node, n, cid.
 
-def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Classes that share a node with another, groups to compare, and members of nodes that shrink slowly or are too deep."""
+    Fewer than those nodes' ``otherwise``, and the others are left out; without it, than
+    the blocks of each alone, and the others stay as they are.
+    """
+    label = scratch.written(_labelled(large.select("node", "n", "cid"), found), "together")
+    each = label.groupBy("node", "c").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    top = each.groupBy("node").agg(
+        F.max_by("c", F.struct("k", "c")).alias("top"), F.max("n").alias("n"), (F.sum("k") - F.max("k")).alias("apart")
+    )
+    top = scratch.written(top, "tops")  # a row a node of more than ``small`` members
+    rows = label.join(top.select("node", "top"), "node").select("top", "cid", "c").distinct()
+    size = rows.groupBy("top").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("top")).alias("apart"))
+    alone = top.groupBy("top").agg(F.sum(_moved("n", "apart", spec) if otherwise is None else otherwise).alias("alone"))
+    size = scratch.written(size.join(alone, "top").filter(_moved("n", "apart", spec) <= F.col("alone")).select("top", "n"), "put-together")
+    out = rows.join(size, "top").select(F.col("top").alias("node"), "n", "cid")
+    if otherwise is None:
+        stay = top.select("node", "top").join(size.select("top"), "top", "left_anti")
+        out = out.unionByName(label.select("node", "n", "cid").join(stay.select("node"), "node", "left_semi"))
+    return scratch.written(out, "whole")
+
+
+def _met_early(large: DataFrame, active: DataFrame, spec: JoinSpec, compared: Callable) -> tuple[DataFrame, DataFrame]:
+    """Links of members of the first large nodes, and which of them (u) need not meet again: those with the same v."""
+    links = scratch.written(compared(_first_groups(large, spec), active), "first-links")
+    found = components(links)
+    whole = _together(large, found, spec, spec.wide * F.col("n"))
+    lists = _blocks(whole, found, spec)
+    if lists is not None:
+        links = links.unionByName(scratch.written(compared(lists, active, found), "whole-links"))
+    # members of nodes put together have names below zero, since others of their component did not meet all of them
+    named = whole.groupBy("cid").agg(F.max(-1 - F.col("node")).alias("name"))
+    known = found.join(named, found["u"] == named["cid"], "full").select(F.coalesce("cid", "u").alias("u"), F.coalesce("name", "v").alias("v"))
+    return links, scratch.written(known, "known")
+
+
+def _trees(classes: DataFrame, spec: JoinSpec, compared: Callable) -> tuple[DataFrame, DataFrame, DataFrame | None, tuple]:
+    """Classes that share a node with another, groups to compare, members of nodes that shrink slowly or are too deep, and ``_met_early``.
+
+    ``compared`` gives the links of groups.
+    """
     small, large = [], []
-    members, active, level = classes, classes, 0
+    members, active, first, known, level = classes, classes, None, None, 0
     while True:
         rows = _branched(members, spec, level)  # made twice, which is cheaper than to write them
-        counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+        counts = _mixed(rows) if level else rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         shared = scratch.written(rows.join(counts.hint("merge"), "node"), f"shared-{level}")
-        small.append(_node_lists(shared.filter(F.col("n") <= spec.small).select("node", "cid")))
         rest = shared.filter(F.col("n") > spec.small)
         if not level:
             some = shared.select("cid").distinct()
             active = scratch.written(classes.join(some.hint("merge"), "cid", "left_semi"), "active")
             rest = scratch.written(rest.join(active.select("cid", "signature"), "cid"), "large-0")
+            if not rest.isEmpty():
+                first, known = _met_early(rest, active, spec, compared)
+            shared, rest = _labelled(shared, known), _labelled(rest, known)
+            if known is not None:
+                rest = scratch.written(rest.join(_mixed(rest).select("node"), "node", "left_semi"), "mixed-0")
+        small.append(_node_lists(shared.filter(F.col("n") <= spec.small), apart=True))
         level += 1
         stuck, covered = F.lit(level > spec.depth), F.lit(False)
         # of the first nodes nothing is known, as their parents hold all texts
@@ -420,7 +516,7 @@ def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, Da
             covered = F.col("covered") | ~wide | stuck
             # parts of a node that is on the list need not be on it again
             large.append(rest.filter(covered & ~F.col("covered")).select("node", "n", "cid"))
-        members = rest.filter(~stuck).select("node", "n", wide.alias("wide"), covered.alias("covered"), "cid", "signature")
+        members = rest.filter(~stuck).select("node", "n", wide.alias("wide"), covered.alias("covered"), "c", "cid", "signature")
         if members.isEmpty():
             break
     lists = small[0]
@@ -429,7 +525,7 @@ def _trees(classes: DataFrame, spec: JoinSpec) -> tuple[DataFrame, DataFrame, Da
     nodes = large[0] if large else None
     for part in large[1:]:
         nodes = nodes.unionByName(part)
-    return active, lists.distinct(), nodes
+    return active, lists.distinct(), nodes, (first, known)
 
 
 def _blocks(large: DataFrame, found: DataFrame, spec: JoinSpec) -> DataFrame | None:
@@ -495,14 +591,17 @@ def _named(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataF
         .withColumn("cid", F.monotonically_increasing_id())
     )
     classes = scratch.written(classes, "classes")
-    active, lists, stuck = _trees(classes, spec)
-    groups = scratch.written(_candidates(lists, active, spec), "groups")
-    links = scratch.written(_links(groups, active, docs, spec, id_col, text_col), "links")
-    found = components(links)
-    lists = _blocks(stuck, found, spec) if stuck is not None else None
+
+    def compared(lists: DataFrame, active: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        groups = scratch.written(_candidates(lists, _labelled(active, known), spec), "groups")
+        return _links(groups, active, docs, spec, id_col, text_col)
+
+    active, lists, stuck, (first, known) = _trees(classes, spec, compared)
+    links = scratch.written(compared(lists, active, known), "links")
+    found = components(links if first is None else links.unionByName(first))
+    lists = None if stuck is None or stuck.isEmpty() else _blocks(_together(stuck, found, spec), found, spec)
     if lists is not None:
-        again = scratch.written(_candidates(lists, active, spec), "block-groups")
-        found = _further(_links(again, active, docs, spec, id_col, text_col), found)
+        found = _further(compared(lists, active, found), found)
     label = classes.select("cid", "key", "rep").join(found.withColumnRenamed("u", "cid"), "cid", "left")
     label = label.select("key", "rep", F.coalesce("v", "cid").alias("c"))
     least = scratch.written(label.groupBy("c").agg(F.min("rep").alias("component_id")), "component-ids")

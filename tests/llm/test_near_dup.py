@@ -78,6 +78,25 @@ def test_a_large_group_of_near_copies(shipped, spec):
     check(shipped.createDataFrame(rows, "doc_id long, text string"), spec)
 
 
+def test_rows_compared_grow_with_a_group_and_not_with_its_square(shipped, monkeypatch):
+    """Members of the groups that are compared, for groups of near copies of two sizes, with some texts that link with few."""
+    candidates, met = N._candidates, []
+
+    def counted(lists, *more):
+        met.append(sum(len(r.members) for r in lists.collect()))
+        return candidates(lists, *more)
+
+    monkeypatch.setattr(N, "_candidates", counted)
+    each = []
+    for n in (100, 400):
+        met.clear()
+        rows = [*copies(n, 3, 300, 1), *((5000 + k, t) for k, (_, t) in enumerate(copies(12, 30, 300, 1)))]
+        docs = shipped.createDataFrame(rows, "doc_id long, text string")
+        check(docs, N.JoinSpec(percent=80, small=16, key=1))
+        each.append(sum(met) / len(rows))
+    assert each[1] < 1.5 * each[0]
+
+
 def test_isolated_pairs_in_a_large_group_of_unlike_texts(shipped):
     """Pages of one template (similarity 0.70), some of them in pairs just above the threshold, at nodes of many levels."""
     template = [f"t{k}" for k in range(160)]
